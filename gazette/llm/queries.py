@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import html_extract, pii, quality_rules, url_filter
+from gazette.llm import html_extract, minhash, pii, quality_rules, url_filter
 from gazette.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -18,6 +18,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -33,12 +37,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
+    "op6_minhash": op6_minhash,
     "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_minhash": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i+3], 'string_agg', ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN c x ON x.doc_id = p.a JOIN c y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
+FROM w JOIN m ON m.a = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+""",
     "op10_url_filter": """
 WITH r(h, p, v) AS (VALUES ('com','/en/','block'), ('example.com','/en/7','allow'), ('net','/de/','allow'), ('example.net','/de/8','block'), ('org','/es/','block')),
 u AS (SELECT page_id, row_number() OVER () AS k,
