@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,5 +44,27 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bitmap(hashes: DataFrame, column: str, least_bits: int = 1 << 20, most_bits: int = 1 << 27) -> np.ndarray:
+    """One-hash Bloom filter of a bigint column, as 64-bit words. About 16 bits a row, at most
+    most_bits (16 MB): what the driver gets and sends is bounded, and a fuller filter only lets
+    more false positives through to the exact join behind it."""
+    bits = least_bits
+    wanted = 16 * hashes.count()
+    while bits < wanted and bits < most_bits:
+        bits *= 2
+    h = F.pmod(F.col(column), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    got = hashes.select(F.floor(h / 64).cast("long").alias("w"), one.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    return words.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the int64 hashes may be in the filter."""
+    h = np.mod(hashes, np.int64(len(words) * 64)).astype(np.uint64)
+    return ((words[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -22,7 +22,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "large")
         # small star: n and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        least = materialize(least, "least")
         tied = large.join(least, F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = materialize(tied.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         # a star forest: each node has one edge, and no centre has an edge of its own

@@ -7,12 +7,12 @@
 3. Inverted lists of retained values generate overlaps. Values held by one class only are dropped;
    of the rest each class enters the lists of its rarest values only. Two sketches with at least
    ``K - prefix + 1`` values in common must meet in one of those lists (prefix filter, see _prefix).
-4. In a list, classes meet a pivot and not each other (two rounds: the class with the most shared
-   values, then a random one). Components so far are found, and lists that are of one component
-   are done. What is left in short lists is compared pair by pair across components; classes in
-   long lists are listed again by the rarest fifth of their *full* sets, which is exact for the
-   similarity asked for, meet pivots again, and then all that is left is compared. Nothing is
-   capped, dropped or sampled.
+4. In a list, classes meet a pivot (the class with the fewest values of its own) and not each
+   other. Components so far are found, and lists that are of one component are done. What is left
+   in short lists is compared pair by pair across components; classes in long lists are listed
+   again by the rarest fifth of their *full* sets, which is exact for the similarity asked for,
+   meet pivots again, and then all that is left is compared, but for pairs that cannot reach the
+   similarity by where they first meet. Nothing is capped, dropped or sampled.
 5. A pair's similarity is estimated on the union sketch (the K smallest of both), and dropped when
    it lies 6 standard errors under the threshold; what passes is confirmed on the full sets.
 6. Components are found by star contraction.
@@ -20,8 +20,9 @@
 Bottom-k of size 64 misses a link of similarity exactly 0.8 with a probability of about 1e-7.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked with nothing;
-its component is itself. A text with fewer words than a shingle is one shingle. Rows that share a
-doc_id are one document: their sets are linked. A row with a null doc_id is linked with nothing,
+its component is itself. A text with fewer words than a shingle is one shingle. doc_id is
+taken as a key: repeated rows get the same result each, and rows of one doc_id with different texts
+are judged each by its own set. A row with a null doc_id is linked with nothing,
 and has a null component and kept false. An empty table gives an empty result. Only the id and
 text columns are read.
 """
@@ -32,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import materialize
+from gazette.llm.common import bitmap, in_bitmap, materialize
 from gazette.llm.graph import components
 
 K = 64
@@ -101,15 +103,21 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
-def _full_sets(docs: DataFrame, size: int) -> DataFrame:
+def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(cls, members): the full sets of the documents in nodes (cls). A Bloom filter of the ids is
+    applied where the texts are read, so no text is shuffled."""
+    held = bitmap(nodes, "cls")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.compute.is_valid(b.column("doc_id")))
+            b = b.filter(pa.array(in_bitmap(held, b.column("doc_id").to_numpy())))
             sets = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_pydict({"cls": b.column("doc_id"), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
 
-    return docs.mapInArrow(run, "cls bigint, members array<bigint>")
+    return docs.mapInArrow(run, "cls bigint, members array<bigint>").join(nodes, "cls", "left_semi")
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -123,21 +131,22 @@ def _prefix(n: Column, percent: int) -> Column:
     return F.least(F.lit(PREFIX), missing)
 
 
-def _rare_lists(values: DataFrame, prefix: Column) -> DataFrame:
-    """values: cls, n, s (values listed in all), u (shared), v. Gives v, cls, n, u, rank of the lists."""
+def _rare_lists(values: DataFrame, held: Column, prefix: Column) -> DataFrame:
+    """values: cls, n, v; held: how many a class has. Gives the lists as rows v, cls, n, alone
+    (how many of the class's values no other class has) and at (the rank of v among its values)."""
     shared = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    held = values.join(shared, "v").groupBy("cls", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))
+    met = values.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))
+    alone = (held - F.size("x")).cast("bigint")
     # values of one class alone come first in the order and take their part of the prefix
-    room = (prefix - (F.col("s") - F.size("x"))).cast("int")
-    listed = held.filter(room > 0).select("cls", "n", (F.col("s") - F.size("x")).alias("alone"), F.explode(F.slice("x", F.lit(1), room)).alias("x"))
-    return listed.select(F.col("x.v").alias("v"), "cls", "n", "alone")
+    room = (prefix - alone).cast("int")
+    listed = met.filter(room > 0).select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), room)).alias("k", "x"))
+    return listed.select(F.col("x.v").alias("v"), "cls", "n", "alone", (F.col("alone") + F.col("k") + 1).alias("at"))
 
 
-def _labelled(lists: DataFrame, edges: DataFrame | None) -> DataFrame:
+def _labelled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     """lists with the component of each class so far."""
-    if edges is None:
+    if comp is None:
         return lists.withColumn("comp", F.col("cls"))
-    comp = materialize(components(edges), "comp")
     return lists.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
 
 
@@ -147,23 +156,30 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     return lists.join(materialize(open_, "open"), "v")
 
 
-def _fits(n: str, m: str, percent: int) -> Column:
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def _fits(whole: bool, percent: int) -> Column:
+    """Whether the sizes n and pn allow a link. With whole sets listed, also whether v can be the
+    first value in common: then no more than v and what follows it in either set is shared. A link
+    passes in the list of its first common value, so none is lost."""
+    fits = (F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent)
+    needed = F.col("n") + F.col("pn")
+    return fits & (F.least(F.col("n") - F.col("at") + 1, F.col("pn") - F.col("pat") + 1) * (100 + percent) >= needed * percent) if whole else fits
 
 
-def _pivot_pairs(lists: DataFrame, order: Column, percent: int) -> DataFrame:
-    """Each class with the first class of each of its lists, where they are not yet of one component."""
-    pivots = lists.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("x"))
-    pivots = materialize(pivots.select("v", "x.p", "x.pn", "x.pc"), "pivots")
-    met = lists.join(pivots, "v").filter((F.col("comp") != F.col("pc")) & _fits("n", "pn", percent))
+def _pivot_pairs(lists: DataFrame, whole: bool, percent: int) -> DataFrame:
+    """Each class with the first class of each of its lists, where they are not yet of one
+    component. First is the class with the fewest values of its own: the least changed copy."""
+    first = F.struct("alone", F.xxhash64("cls").alias("h"), "cls", "n", "comp", "at")
+    pivots = lists.groupBy("v").agg(F.min(first).alias("x"))
+    pivots = materialize(pivots.select("v", F.col("x.cls").alias("p"), F.col("x.n").alias("pn"), F.col("x.comp").alias("pc"), F.col("x.at").alias("pat")), "pivots")
+    met = lists.join(pivots, "v").filter((F.col("comp") != F.col("pc")) & _fits(whole, percent))
     return met.select(F.greatest("cls", "p").alias("a"), F.least("cls", "p").alias("b")).distinct()
 
 
-def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(lists: DataFrame, whole: bool, percent: int) -> DataFrame:
     """Every pair of a list whose classes are of two components: the exact rest."""
-    left = materialize(lists.select("v", "cls", "n", "comp"), "rest")
-    right = left.select("v", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-    met = left.join(right, (left.v == right.v) & (F.col("cls") > F.col("p")) & (F.col("comp") != F.col("pc")) & _fits("n", "pn", percent))
+    left = materialize(lists.select("v", "cls", "n", "comp", "at"), "rest")
+    right = left.select(F.col("v").alias("w"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("at").alias("pat"))
+    met = left.join(right, (F.col("v") == F.col("w")) & (F.col("cls") > F.col("p")) & (F.col("comp") != F.col("pc")) & _fits(whole, percent))
     return met.select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
 
 
@@ -176,8 +192,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, pe
     near = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) / F.size("u") >= F.lit(t) - F.lit(slack) / F.sqrt(F.size("u"))
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").withColumn("u", least).filter(near).select("a", "b")
     likely = materialize(likely, "likely")
-    nodes = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(_full_sets(docs.join(nodes, "doc_id", "left_semi"), size), "sets")
+    nodes = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
+    sets = materialize(_full_sets(docs, materialize(nodes, "nodes"), size), "sets")
     full = lambda c: sets.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}"))
     both = F.size(F.array_intersect("ma", "mb"))
     linked = both * 100 >= (F.size("ma") + F.size("mb") - both) * percent
@@ -194,32 +210,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = some.join(classes.select("h1", "h2", F.col("cls").alias("doc_id")), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("cls"), "n", "sketch")
     reps = materialize(reps.dropDuplicates(["cls", "n"]), "reps")
 
-    values = reps.select("cls", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    lists = materialize(_rare_lists(values, _prefix(F.col("n"), percent)), "lists")
-    edges = None
-    rest = lists
-    for order in (F.col("alone"), F.xxhash64("cls").cast("bigint")):
-        rest = materialize(_open_lists(_labelled(rest.select("v", "cls", "n", "alone"), edges)), "open")
-        found = _confirmed(_pivot_pairs(rest, order, percent), reps, rows, size, percent)
-        edges = materialize(found if edges is None else edges.union(found), "links")
-    rest = materialize(_open_lists(_labelled(rest.select("v", "cls", "n", "alone"), edges)), "open")
-    edges = edges.union(_confirmed(_all_pairs(rest.filter(F.col("size") <= SHORT), percent), reps, rows, size, percent))
-
-    crowded = rest.filter(F.col("size") > SHORT).select(F.col("cls").alias("doc_id")).distinct()
-    if not crowded.isEmpty():
-        sets = _full_sets(rows.join(crowded, "doc_id", "left_semi"), size)
-        values = sets.select("cls", F.size("members").cast("bigint").alias("n"), F.size("members").alias("s"), F.explode("members").alias("v"))
-        values = materialize(values, "values")
-        exact = materialize(_rare_lists(values, F.floor(F.col("n") * (100 - percent) / 100) + 1), "exact")
-        edges = materialize(edges, "links")
-        rest = materialize(_open_lists(_labelled(exact, edges)), "open")
-        edges = materialize(edges.union(_confirmed(_pivot_pairs(rest, F.col("alone"), percent), reps, rows, size, percent)), "links")
-        rest = _open_lists(_labelled(rest.select("v", "cls", "n", "alone"), edges))
-        edges = edges.union(_confirmed(_all_pairs(rest, percent), reps, rows, size, percent))
-
-    # rows that share a doc_id but not a set are one document
-    comp = components(materialize(edges.select("a", "b"), "links"))
-    comp = materialize(comp.filter("node <> component"), "comp")
+    def relisted(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+        return materialize(_open_lists(_labelled(lists.select("v", "cls", "n", "alone", "at"), comp)), "open")
+
+    def joined(comp: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        links = _confirmed(pairs, reps, rows, size, percent)
+        if comp is not None:
+            links = links.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return materialize(components(links).filter("node <> component"), "comp")
+
+    values = reps.select("cls", "n", F.explode("sketch").alias("v"))
+    n = F.col("n")
+    lists = materialize(_rare_lists(values, F.least(n, F.lit(K)), _prefix(n, percent)), "lists")
+    rest = relisted(lists, None)
+    comp = joined(None, _pivot_pairs(rest, False, percent))
+
+    rest = relisted(rest, comp)
+    pairs = _all_pairs(rest.filter(F.col("size") <= SHORT), False, percent)
+    crowded = materialize(rest.filter(F.col("size") > SHORT).select("cls").distinct(), "crowded")
+    sets = _full_sets(rows, crowded, size)
+    values = materialize(sets.select("cls", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("v")), "values")
+    exact = materialize(_rare_lists(values, n, F.floor(n * (100 - percent) / 100) + 1), "exact")
+    rest = relisted(exact, comp)
+    comp = joined(comp, pairs.union(_pivot_pairs(rest, True, percent)).distinct())
+
+    rest = relisted(rest, comp)
+    comp = joined(comp, _all_pairs(rest, True, percent))
+
     several = materialize(classes.filter("copies > 1").select("h1", "h2", "n", "cls"), "several")
     own = drawn.select("doc_id", "n", "h1", "h2").join(several, ["h1", "h2", "n"], "left").withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")))
     final = own.join(comp, F.col("cls") == F.col("node"), "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "cls")).otherwise(F.col("doc_id")))
