@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,5 +67,34 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((words[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+#: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise, and rows
+#: taken from it at a time. Long texts then come a few at a time and a worker's memory is bounded.
+BATCH_BYTES = "8m"
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+CHUNK_ROWS = 512
+
+
+def mapped(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """df.mapInArrow, with run called on chunks of at most CHUNK_ROWS rows."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BYTES_KEY):
+        spark.conf.set(BYTES_KEY, BATCH_BYTES)
+    rows = CHUNK_ROWS
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield run(b.slice(at, rows))
+
+    return df.mapInArrow(chunks, schema)
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column from one numpy array a row."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

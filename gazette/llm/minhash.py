@@ -29,8 +29,6 @@ text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (as pa.compute)
@@ -38,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import bitmap, in_bitmap, materialize
+from gazette.llm.common import bitmap, in_bitmap, lists, mapped, materialize
 from gazette.llm.graph import components
 
 K = 64
@@ -47,7 +45,7 @@ PREFIX = 32
 #: A list with up to this many classes left is compared pair by pair at once.
 SHORT = 16
 #: Words hashed so far in this worker; emptied at this size.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _words: dict[bytes, int] = {}
 
@@ -86,21 +84,18 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, h1, h2, sketches = [], [], [], []
-            for text in b.column("text").to_pylist():
-                x = shingle_hashes(text, size)
-                a, c = _digest(x) if len(x) else (0, 0)
-                n.append(len(x))
-                h1.append(a)
-                h2.append(c)
-                sketches.append(x[:K])
-            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-            values = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, h1, h2, sketches = [], [], [], []
+        for text in b.column("text").to_pylist():
+            x = shingle_hashes(text, size)
+            a, c = _digest(x) if len(x) else (0, 0)
+            n.append(len(x))
+            h1.append(a)
+            h2.append(c)
+            sketches.append(x[:K].copy())
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "sketch": lists(sketches, pa.int64())})
+
+    return mapped(docs, run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -108,16 +103,13 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     applied where the texts are read, so no text is shuffled."""
     held = bitmap(nodes, "cls")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("doc_id")))
-            b = b.filter(pa.array(in_bitmap(held, b.column("doc_id").to_numpy())))
-            sets = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"cls": b.column("doc_id"), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        b = b.filter(pa.compute.is_valid(b.column("doc_id")))
+        b = b.filter(pa.array(in_bitmap(held, b.column("doc_id").to_numpy())))
+        sets = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"cls": b.column("doc_id"), "members": lists(sets, pa.int64())})
 
-    return docs.mapInArrow(run, "cls bigint, members array<bigint>").join(nodes, "cls", "left_semi")
+    return mapped(docs, run, "cls bigint, members array<bigint>").join(nodes, "cls", "left_semi")
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -210,8 +202,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = some.join(classes.select("h1", "h2", F.col("cls").alias("doc_id")), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("cls"), "n", "sketch")
     reps = materialize(reps.dropDuplicates(["cls", "n"]), "reps")
 
-    def relisted(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
-        return materialize(_open_lists(_labelled(lists.select("v", "cls", "n", "alone", "at"), comp)), "open")
+    def relisted(listed: DataFrame, comp: DataFrame | None) -> DataFrame:
+        return materialize(_open_lists(_labelled(listed.select("v", "cls", "n", "alone", "at"), comp)), "open")
 
     def joined(comp: DataFrame | None, pairs: DataFrame) -> DataFrame:
         links = _confirmed(pairs, reps, rows, size, percent)
@@ -221,8 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     values = reps.select("cls", "n", F.explode("sketch").alias("v"))
     n = F.col("n")
-    lists = materialize(_rare_lists(values, F.least(n, F.lit(K)), _prefix(n, percent)), "lists")
-    rest = relisted(lists, None)
+    listed = materialize(_rare_lists(values, F.least(n, F.lit(K)), _prefix(n, percent)), "lists")
+    rest = relisted(listed, None)
     comp = joined(None, _pivot_pairs(rest, False, percent))
 
     rest = relisted(rest, comp)

@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import mapped
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url", "secret", "account")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -183,24 +184,23 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = SCHEMA + (", redacted string" if with_redacted else "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
-            clean = []
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                found = find_spans(text)
-                for k in KINDS:
-                    out[f"n_{k}"].append(len(found[k]))
-                out["base_sha256"].append(hashlib.sha256(_joined(found, BASE_KINDS).encode()).hexdigest())
-                out["spans"].append(_joined(found, KINDS))
-                if with_redacted:
-                    clean.append(redact(text, found))
-            cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(out[f"n_{k}"], pa.int64()) for k in BASE_KINDS}
-            cols |= {c: pa.array(out[c], pa.string()) for c in ("base_sha256", "spans")}
-            cols |= {f"n_{k}": pa.array(out[f"n_{k}"], pa.int64()) for k in ADDED_KINDS}
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
+        clean = []
+        for text in b.column("text").to_pylist():
+            text = text or ""
+            found = find_spans(text)
+            for k in KINDS:
+                out[f"n_{k}"].append(len(found[k]))
+            out["base_sha256"].append(hashlib.sha256(_joined(found, BASE_KINDS).encode()).hexdigest())
+            out["spans"].append(_joined(found, KINDS))
             if with_redacted:
-                cols["redacted"] = pa.array(clean, pa.string())
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return rows.mapInArrow(run, schema)
+                clean.append(redact(text, found))
+        cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(out[f"n_{k}"], pa.int64()) for k in BASE_KINDS}
+        cols |= {c: pa.array(out[c], pa.string()) for c in ("base_sha256", "spans")}
+        cols |= {f"n_{k}": pa.array(out[f"n_{k}"], pa.int64()) for k in ADDED_KINDS}
+        if with_redacted:
+            cols["redacted"] = pa.array(clean, pa.string())
+        return pa.RecordBatch.from_pydict(cols)
+
+    return mapped(rows, run, schema)
