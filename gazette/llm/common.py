@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words in every operator here: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -74,7 +75,7 @@ BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 CHUNK_ROWS = 512
 
 
-def mapped(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, with run called on chunks of at most CHUNK_ROWS rows."""
     spark = df.sparkSession
     if not spark.sparkContext.getConf().contains(BYTES_KEY):

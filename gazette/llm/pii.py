@@ -204,3 +204,14 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
         return pa.RecordBatch.from_pydict(cols)
 
     return mapped(rows, run, schema)
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every span of the text replaced by its kind; all other columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if t is None else redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
+        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return mapped(docs, run, docs.schema)

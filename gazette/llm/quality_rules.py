@@ -80,8 +80,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the id and every figure that a rule needs."""
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: the id, every figure that a rule needs, and the columns in keep."""
     text = text_of(text_col)
     length = F.length(text)
     without = lambda chars: length - F.length(F.translate(text, chars, ""))
@@ -89,6 +89,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:-1]}]"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
+        *keep,
         bind(all_words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("_w"),
         (length - without(SPACE)).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
@@ -98,6 +99,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.length(F.regexp_replace(text, "\\P{L}", ""))).cast("long").alias("n_letters"),
     ).select(
         "doc_id",
+        *keep,
         F.col("_w.n").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -129,9 +131,9 @@ def rule_bits() -> Column:
     return total.cast("long")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and ``failed_bits`` (bit k: RULES[k] failed), one row a document."""
-    return measurements(docs, id_col, text_col).withColumn("failed_bits", rule_bits())
+    return measurements(docs, id_col, text_col, keep).withColumn("failed_bits", rule_bits())
 
 
 def apply_policy(rows: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:

@@ -5,19 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gazette.llm import decontaminate, html_extract, minhash, pii, quality_rules, url_filter
+from gazette.llm import decontaminate, html_extract, minhash, pii, quality_rules, sentencepiece_codec, sp_model, token_counts, toxicity, url_filter, weak_quality
 from gazette.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+#: The public vocabulary that the token queries use.
+SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sp_model.load(SP_MODEL))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), sp_model.load(SP_MODEL))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -40,7 +59,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
+    "op5_token_counts": op5_token_counts,
     "op6_minhash": op6_minhash,
     "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
