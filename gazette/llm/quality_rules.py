@@ -52,51 +52,50 @@ POLICIES = {p.version: p for p in (BASE_POLICY, Policy("v1", RULES))}
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of WINDOW words found twice or more in the text.
 
-    Sorts (window hash, start) so that equal windows are neighbours, O(n log n) in the text, then
-    adds up how far the sorted starts of repeated windows reach; each word counts once.
+    The window hashes are sorted, O(n log n) in the text. Where two neighbours are equal, the
+    starts of all repeated windows are found by a second sort of (hash, start), and how far they
+    reach is added up; each word counts once.
     """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
-        parts = lambda i: [F.get(h, i + k) for k in range(WINDOW)]
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(*parts(i)).alias("h"), i.alias("i")))
-
-    def repeated(s: Column) -> Column:
-        same = lambda k, d: F.coalesce(F.get(s, k + d)["h"] == F.get(s, k)["h"], F.lit(False))
-        return F.filter(s, lambda x, k: ((k > 0) & same(k, -1)) | same(k, 1))
-
-    def covered(starts: Column) -> Column:
-        step = lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - x, F.lit(WINDOW)))
-        return F.aggregate(F.transform(starts, step), F.lit(0), lambda a, x: a + x)
-
-    found = bind(
-        hashes,
-        lambda h: bind(
-            F.array_sort(windows(h)),
-            lambda s: bind(F.array_sort(F.transform(repeated(s), lambda x: x["i"])), covered),
-        ),
-    )
-    return F.when(F.size(words) > WINDOW, found).otherwise(F.lit(0)).cast("long")
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+
+    def any_equal(s: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda k: F.get(s, k) == F.get(s, k - 1))
+
+    def starts(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        twice = bind(placed, lambda s: F.filter(s, lambda x, k: ((k > 0) & same(s, x, F.greatest(k - 1, F.lit(0)))) | same(s, x, k + 1)))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        step = lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))
+        return F.aggregate(F.transform(at, step), F.lit(0), lambda a, x: a + x)
+
+    def counted(h: Column) -> Column:
+        return F.when(bind(F.sort_array(h), any_equal), bind(starts(h), covered)).otherwise(F.lit(0))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) > WINDOW, bind(hashes, lambda h: bind(windows(h), counted))).otherwise(F.lit(0)).cast("long")
 
 
 def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: the id, every figure that a rule needs, and the columns in keep."""
     text = text_of(text_col)
-    length = F.length(text)
-    without = lambda chars: length - F.length(F.translate(text, chars, ""))
-    all_words = F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:-1]}]"))
+    only = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
+    trimmed = F.btrim(text, F.lit(SPACE))
+    words = F.when(trimmed != "", F.split(trimmed, f"{SPACE_CLASS}+")).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         *keep,
-        bind(all_words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("_w"),
-        (length - without(SPACE)).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
+        bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("_w"),
+        F.length(F.regexp_replace(text, f"{SPACE_CLASS}+", "")).cast("long").alias("word_chars"),
+        only("#*$%&|<>").alias("n_symbols"),
         bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("_l"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        without("abcdefghijklmnopqrstuvwxyz").cast("long").alias("n_lower"),
-        (F.length(F.regexp_replace(text, "\\P{L}", ""))).cast("long").alias("n_letters"),
+        only("A-Z").alias("n_upper"),
+        F.length(F.regexp_replace(text, "\\P{L}+", "")).cast("long").alias("n_letters"),
     ).select(
         "doc_id",
         *keep,
@@ -107,7 +106,6 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_w.r").alias("n_repeat_words"),
         F.col("_l.n").alias("n_lines"),
         "n_upper",
-        "n_lower",
         "n_letters",
     )
 
@@ -120,9 +118,9 @@ def rule_bits() -> Column:
         "repeated_windows": F.col("n_repeat_words") * 100 > n * 20,
         "symbol_heavy": F.col("n_symbols") * 10 > n * 3,
         "mean_word_length": (n > 0) & ((chars < n * 2) | (chars > n * 15)),
-        "duplicate_lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 3,
-        "mostly_upper_case": F.col("n_upper") > F.col("n_lower"),
-        "few_letters": F.col("n_letters") * 10 < chars * 6,
+        "duplicate_lines": F.col("n_dup_lines") * 2 > F.col("n_lines"),
+        "mostly_upper_case": F.col("n_upper") * 2 > F.col("n_letters"),
+        "few_letters": F.col("n_letters") * 2 < chars,
     }
     bits = [F.when(failed[r], F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)]
     total = bits[0]

@@ -104,12 +104,11 @@ cov AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM rep
 m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
       (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-      len(lines)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
-      length(regexp_replace(t, '[^a-z]', '', 'g'))::BIGINT AS n_lower, length(regexp_replace(t, '[^\\p{L}]', '', 'g'))::BIGINT AS n_letters
+      len(lines)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(t, '[^\\p{L}]', '', 'g'))::BIGINT AS n_letters
       FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 20)::BIGINT + 4 * (n_symbols * 10 > n_words * 3)::BIGINT
-      + 8 * (n_words > 0 AND (word_chars < n_words * 2 OR word_chars > n_words * 15))::BIGINT + 16 * (n_dup_lines * 10 > n_lines * 3)::BIGINT
-      + 32 * (n_upper > n_lower)::BIGINT + 64 * (n_letters * 10 < word_chars * 6)::BIGINT)::BIGINT AS failed_bits FROM m)
+      + 8 * (n_words > 0 AND (word_chars < n_words * 2 OR word_chars > n_words * 15))::BIGINT + 16 * (n_dup_lines * 2 > n_lines)::BIGINT
+      + 32 * (n_upper * 2 > n_letters)::BIGINT + 64 * (n_letters * 2 < word_chars)::BIGINT)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """,
 }

@@ -38,7 +38,9 @@ EXAMPLES = 3000
 FEATURES = 2048
 NEIGHBOURS = 15
 BLOCK = 32
+#: A feature occurs in this many examples at least, and in this share of them.
 LEAST_DOCS = 3
+LEAST_SHARE = 0.004
 #: A feature is chosen if its rate differs from the base rate by this many standard errors.
 LEAST_Z = 4.0
 TOKEN_CACHE = 250_000
@@ -184,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_features
     rate = n[True] / (n[True] + n[False])
     seen = mapped(sample.select("text", "toxic"), occurring, "f string, toxic bigint").groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     z = F.abs(F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    chosen = seen.filter(F.col("n") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(n_features)
+    least = max(LEAST_DOCS, LEAST_SHARE * (n[True] + n[False]))
+    chosen = seen.filter(F.col("n") >= least).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(n_features)
     names = sorted(r["f"] for r in chosen.select("f").collect())
     if not names:
         names = ["\0"]  # a feature that no text has
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_features
     df = np.zeros(len(names))
     for r in mapped(docs.select("text"), frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row a feature
         df[r["f"]] = r["n"]
-    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+    idf = np.log((2.0 + n_docs) / (1.0 + df))
 
     def vectors_of(b: pa.RecordBatch) -> pa.RecordBatch:
         vectors = _vectors(names)

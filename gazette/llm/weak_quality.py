@@ -48,10 +48,10 @@ def votes() -> dict[str, Column]:
     return {
         "length": vote(n >= 40, n < 10),
         "symbols": vote(some & (F.col("n_symbols") * 50 <= n), some & (F.col("n_symbols") * 5 > n)),
-        "upper_case": vote(some & (F.col("n_upper") * 8 <= F.col("n_lower")), some & (F.col("n_upper") > F.col("n_lower"))),
+        "upper_case": vote(some & (F.col("n_upper") * 8 <= F.col("n_letters")), some & (F.col("n_upper") * 2 > F.col("n_letters"))),
         "repetition": vote(some & (F.col("n_repeat_words") * 20 <= n), some & (F.col("n_repeat_words") * 4 > n)),
         "duplicate_lines": vote(F.col("n_lines") >= 4, some & (F.col("n_dup_lines") * 4 > F.col("n_lines"))),
-        "letters": vote(some & (F.col("n_letters") * 10 >= chars * 9), some & (F.col("n_letters") * 4 < chars * 3)),
+        "letters": vote(some & (F.col("n_letters") * 100 >= chars * 94), some & (F.col("n_letters") * 100 < chars * 88)),
         "word_length": vote(some & chars.between(n * 3, n * 9), some & ((chars < n * 2) | (chars > n * 15))),
     }
 
