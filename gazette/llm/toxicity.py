@@ -41,6 +41,8 @@ BLOCK = 32
 #: A feature occurs in this many examples at least, and in this share of them.
 LEAST_DOCS = 3
 LEAST_SHARE = 0.004
+#: ... and its rate of label 1 lies this far from the examples' rate at least.
+LEAST_LEAN = 0.2
 #: A feature is chosen if its rate differs from the base rate by this many standard errors.
 LEAST_Z = 4.0
 TOKEN_CACHE = 250_000
@@ -187,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_features
     seen = mapped(sample.select("text", "toxic"), occurring, "f string, toxic bigint").groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     z = F.abs(F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
     least = max(LEAST_DOCS, LEAST_SHARE * (n[True] + n[False]))
-    chosen = seen.filter(F.col("n") >= least).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(n_features)
+    chosen = seen.filter(F.col("n") >= least).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.abs(F.col("pos") / F.col("n") - rate) >= LEAST_LEAN)).orderBy(F.desc("z"), "f").limit(n_features)
     names = sorted(r["f"] for r in chosen.select("f").collect())
     if not names:
         names = ["\0"]  # a feature that no text has
