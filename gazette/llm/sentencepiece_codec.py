@@ -69,7 +69,7 @@ def _same_length(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return last, size
 
 
-def _one_long(model: Model, word: str) -> list[tuple[int, int]]:
+def one_long(model: Model, word: str) -> list[tuple[int, int]]:
     """The same pass for one word of any length: (piece, length) at each place."""
     out: list[tuple[int, int]] = [(START, 0)]
     total = [0.0]
@@ -109,7 +109,7 @@ def encode_words(model: Model, words: list[str]) -> dict[str, tuple[int, ...]]:
     for length, group in groups.items():
         if length > LONG_WORD:
             for w in group:
-                steps = _one_long(model, w)
+                steps = one_long(model, w)
                 out[w] = traced(w, [p for p, _ in steps], [k for _, k in steps])
             continue
         for at in range(0, len(group), 8192):
