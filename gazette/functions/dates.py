@@ -73,3 +73,20 @@ def freshness(seen: Column, as_of: dt.datetime, stale_days: int = STALE_DAYS) ->
 def urgency(deadline: Column, as_of: dt.date) -> Column:
     left = F.datediff(deadline, F.lit(as_of))
     return F.when(deadline.isNull(), "Open").when(left < 0, "Expired").when(left == 0, "Today").when(left <= 2, "Soon").when(left <= 7, "Week").otherwise("Open")
+
+
+def instant_in_zone(text: Column, zone: str) -> Column:
+    """(kind, at) of a date-time without an offset, read in a zone. 'instant' with the UTC time if the
+    zone has exactly one such moment; 'local' with the time as given where clocks skip or repeat it;
+    null if the text is no date-time."""
+    local = F.try_to_timestamp(F.regexp_replace(text, "T", " "))
+    utc = F.to_utc_timestamp(local, zone)
+    shown = lambda shift: F.from_utc_timestamp(utc + F.expr(f"INTERVAL {shift} MINUTES"), zone)
+    unique = (shown(0) == local) & (shown(60) != local) & (shown(-60) != local)
+    pair = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"))
+    return F.when(local.isNull(), None).when(unique, pair("instant", utc)).otherwise(pair("local", local))
+
+
+def local_day_end(at: Column, zone: str) -> Column:
+    """The UTC time at which the zone's day that holds the moment ends."""
+    return F.to_utc_timestamp(F.date_add(F.from_utc_timestamp(at, zone).cast("date"), 1).cast("timestamp"), zone)

@@ -69,6 +69,11 @@ def title_tokens(text: Column, most: int = 12) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$")))), 1, most)
 
 
+def clean_tags(tags: Column, most: int = 40) -> Column:
+    """Of the first most tags, trimmed and in lower case, the distinct ones that are not empty, in order."""
+    return F.array_distinct(F.filter(F.transform(F.slice(tags, 1, most), lambda t: F.trim(F.lower(t))), lambda t: t != ""))
+
+
 def html_title(html: Column) -> Column:
     title = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

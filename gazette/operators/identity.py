@@ -19,6 +19,13 @@ def profiles(rows: DataFrame) -> DataFrame:
     return rows.select("id", search_form(F.col("title")).alias("title"), search_form(F.col("organizer")).alias("organizer"), title_tokens(F.col("title")).alias("tokens"), "day", "format")
 
 
+def edition_key(title: Column, organizer: Column, day: Column, format: Column, place: Column) -> Column:
+    """Digest of what makes two listings the same edition; null if any of it is missing."""
+    parts = [search_form(title), search_form(organizer), day.cast("string"), format, F.lower(place)]
+    missing = title.isNull() | organizer.isNull() | day.isNull() | format.isNull() | place.isNull()
+    return F.when(~missing, F.sha2(F.concat_ws("|", *parts), 256))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """(id, tier, block): organizer and window (tier 1), title pair and window (2), organizer and
     token (3). A window is a bucket of 14 days or one beside it."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, measures, text
-from gazette.operators import catalog, identity, ledger
+from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
 from gazette.plans.views import AS_OF, LISTINGS_SQL, listings
 from gazette.session import table
@@ -319,3 +319,39 @@ def signal_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT n_nationkey AS id, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS digest, md5(n_name) AS etag FROM nation")
 def backup_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("digest"), F.md5("n_name").alias("etag"))
+
+
+@register(f"""WITH {LISTINGS_SQL} SELECT id, CASE WHEN title IS NOT NULL AND organizer IS NOT NULL AND deadline IS NOT NULL AND mode IS NOT NULL AND city IS NOT NULL
+THEN sha256(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(lower(organizer), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '|' || CAST(deadline AS VARCHAR) || '|' || mode || '|' || lower(city)) END AS edition FROM listings""")
+def edition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listings(spark, sf_dir)
+    return rows.select("id", identity.edition_key(F.col("title"), F.col("organizer"), F.col("deadline"), F.col("mode"), F.col("city")).alias("edition"))
+
+
+@register("""WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-10 00:00:00' ELSE TIMESTAMP '2024-11-03 00:00:00' END + to_minutes(CAST(event_id % 10 * 30 AS INT)) AS t FROM events),
+k AS (SELECT event_id, t, (t >= TIMESTAMP '2024-03-10 02:00:00' AND t < TIMESTAMP '2024-03-10 03:00:00') OR (t >= TIMESTAMP '2024-11-03 01:00:00' AND t < TIMESTAMP '2024-11-03 02:00:00') AS odd,
+CASE WHEN t < TIMESTAMP '2024-03-10 02:00:00' OR t >= TIMESTAMP '2024-11-03 02:00:00' THEN 5 ELSE 4 END AS h FROM e)
+SELECT event_id, CASE WHEN odd THEN 'local' ELSE 'instant' END AS kind, strftime(CASE WHEN odd THEN t ELSE t + to_hours(h) END, '%Y-%m-%d %H:%M') AS at FROM k""")
+def event_instant_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    shown = F.concat(F.when(k % 2 == 0, "2024-03-10 ").otherwise("2024-11-03 "), F.format_string("%02d:%02d", F.floor(k % 10 / 2), k % 2 * 30))
+    return table(spark, sf_dir, "events").select("event_id", dates.instant_in_zone(shown, "America/New_York").alias("x")).select("event_id", "x.kind", "x.at")
+
+
+@register("SELECT event_id, strftime(date_trunc('day', ts + INTERVAL 330 MINUTE) + INTERVAL 1 DAY - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS day_end FROM events")
+def local_day_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).select("event_id", F.date_format(dates.local_day_end(F.col("ts"), "Asia/Kolkata"), "yyyy-MM-dd HH:mm").alias("day_end"))
+
+
+@register("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' ')[1:40], lambda x: trim(lower(x))), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|')) AS tags FROM t""")
+def tag_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.clean_tags(F.split("text", " ")), "|")).alias("tags"))
+
+
+ALIASES = {"crimson": ("red",), "shade": ("dark", "light")}
+
+
+@register()
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "wiget crimson", ALIASES).select("p_partkey", "p_name")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, measures, text
-from gazette.operators import catalog, identity, ledger
+from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
 from gazette.plans import queries
 from gazette.streaming import activity
@@ -120,3 +120,25 @@ def test_entry_works_without_the_llm_subpackage(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns
+
+
+def test_fuzzy_search(spark):
+    from difflib import SequenceMatcher
+
+    texts = ["Red widget", "red WIDGETS, large", "crimson gear", "blue widgte", "tiny bolt", "", None, "red"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+    def found(query, **more):
+        return {r["id"] for r in search.search(df, ["t"], query, **more).collect()}
+
+    aliases = {"crimson": ("red",)}
+    assert found("") == found("!!!") == set(range(8))
+    assert found("wiget crimson", aliases=aliases) == {0, 1}
+    assert found("wiget crimson", aliases=aliases, fuzzy=False) == set()
+    assert found("WIDGET") == {i for i, t in enumerate(texts) if any("widget" in w or (len(w) >= 4 and abs(len(w) - 6) <= 3 and SequenceMatcher(None, "widget", w).ratio() >= 0.78) for w in (t or "").lower().replace(",", "").split())}
+
+
+def test_instant_in_zone(spark):
+    want = {"2024-03-10 02:30": "local", "2024-11-03T01:15": "local", "2024-07-01 09:00": "instant", "soon": None, None: None}
+    df = spark.createDataFrame([(k,) for k in want], "t string").select("t", dates.instant_in_zone(F.col("t"), "America/New_York").alias("x"))
+    assert {r["t"]: r["x"] and r["x"]["kind"] for r in df.collect()} == want
