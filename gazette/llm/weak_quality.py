@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import mapped
+from gazette.llm.common import mapped, materialize
 from gazette.llm.quality_rules import measurements
 
 SAMPLE = 6000
@@ -139,7 +139,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """doc_id, score (0 to 1, higher: better), weak_label (posterior of the votes) and kept."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    voted = measurements(rows).select("doc_id", pattern().alias("p"))
+    # the labellers read each text once; repeated rows agree, so one vote per id and text is enough
+    votes_of = measurements(rows.withColumn("h", _row_key()), keep=("h",)).select("doc_id", "h", "n_words", pattern().alias("p"))
+    voted = materialize(votes_of, "votes")
     got = voted.groupBy("p").count().collect()  # at most 3^labellers rows
     patterns = np.array(sorted(r["p"] for r in got), np.int64)
     counts = np.array([r["count"] for r in sorted(got, key=lambda r: r["p"])], np.float64)
@@ -156,9 +158,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         logits = [_score(weights, bias, hashed.of(t)) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "p": b.column("p"), "n_words": b.column("n_words"), "linear": pa.array(logits, pa.float64())})
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "h": b.column("h"), "linear": pa.array(logits, pa.float64())})
 
-    scored = mapped(_with_pattern(rows), run, "doc_id bigint, p int, n_words bigint, linear double")
+    linear = mapped(rows.withColumn("h", _row_key()), run, "doc_id bigint, h bigint, linear double")
+    once = voted.dropDuplicates(["doc_id", "h"]).withColumnsRenamed({"doc_id": "d", "h": "k"})
+    scored = linear.join(once, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")))
     table = spark.createDataFrame([(int(k), float(v)) for k, v in soft.items()], "p int, weak_label double")
     out = scored.join(F.broadcast(table), "p", "left").withColumn("weak_label", F.coalesce("weak_label", F.lit(0.5)))
     odds = F.log(F.greatest(F.lit(1e-6), F.col("weak_label")) / F.greatest(F.lit(1e-6), 1 - F.col("weak_label")))
@@ -166,6 +170,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return out.withColumn("score", score).select("doc_id", "score", "weak_label", ((F.col("score") >= threshold) & (F.col("n_words") > 0)).alias("kept"))
 
 
+def _row_key() -> Column:
+    """A key of the whole text beside the id: rows that share both have equal votes."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _with_pattern(rows: DataFrame) -> DataFrame:
     """doc_id, text, n_words and the vote pattern of each row, in one pass and without a join."""
     return measurements(rows, keep=("text",)).select("doc_id", "text", "n_words", pattern().alias("p"))
