@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, measures, text
 from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
-from gazette.plans import queries
+from gazette.plans import intake, queries  # noqa: F401
 from gazette.streaming import activity
 
 SF = "/root/testdata/sf0.001"
