@@ -150,7 +150,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     _, _, post = expectation_maximisation(patterns, counts)
     soft = dict(zip(patterns.tolist(), post.tolist(), strict=True))
 
-    drawn = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
+    # the sample's last hash is found on ids alone, so that no other text is sorted
+    placed = rows.withColumn("h", F.xxhash64("doc_id"))
+    last = placed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = placed.filter(F.col("h") <= F.lit(last).cast("bigint")).orderBy("h", "doc_id").limit(sample)
     learnt = _with_pattern(drawn).select("text", "p").collect() if counts.sum() else []  # at most sample rows
     weights, bias = train([r["text"] for r in learnt], np.array([soft.get(r["p"], 0.5) for r in learnt])) if learnt else (np.zeros(DIMENSIONS), 0.0)
     weights = weights.astype(np.float32)
