@@ -5,9 +5,12 @@ in which numbers become <num>, units <unit> and names (capitalised words inside
 Windows of SIZE words of both forms are hashed. Document windows meet the benchmark's in a hash
 join; what a Bloom filter of the benchmark's windows rules out never leaves the scan. An item leaks
 into a document when at least SHARE % of the item's windows are found in it. Windows that meet only
-as templates count if the slots are consistent: the same number, name or unit of the item has to
-stand for one and the same value wherever the document repeats it, for SHARE % of the item's slot
-values, so re-parameterised questions are caught and chance likenesses are not.
+as templates are aligned first: an occurrence is a run of windows whose places in the document and
+in the item differ by one shift, give or take SLACK % of the item's words. Such windows count if the
+slots of the occurrence are consistent: the same number, name or unit of the item has to stand for
+one and the same value wherever the occurrence repeats it, for SHARE % of the item's slot values, so
+re-parameterised questions are caught and chance likenesses are not. One occurrence that passes is
+enough, whatever else the document holds. Literal windows count wherever in the document they stand.
 
 Cases: null or empty texts have no windows and nothing leaks into or from them; an item shorter
 than a window is one window of all its words and is compared as such, so it is found in documents
@@ -18,6 +21,7 @@ give one row by doc_id; null ids are left out of the result; empty tables give a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ from gazette.llm.common import bitmap, in_bitmap, lists, mapped, materialize
 
 SIZE = 5
 SHARE = 80
+SLACK = 20
 WORD_CACHE = 200_000
 
 #: Units of measure and money in their literal form.
@@ -129,11 +134,10 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
-    """Windows of documents that may be an item's: one row for each document, form and hash, and for
-    template windows each different filling of the slots."""
+    """Windows of documents that may be an item's: one row for each place and form."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hs, ts, slots = [], [], [], []
+        ids, at, hs, ts, slots = [], [], [], [], []
         for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             literal, template, kind = _canonical(text)
             for size in sizes:
@@ -141,20 +145,73 @@ def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
                     continue
                 for templ, x in ((False, literal), (True, template)):
                     w = _windows(x, size)
-                    seen = set()
                     for pos in np.flatnonzero(in_bitmap(held, w)).tolist():
                         own = _slots(literal, kind, pos, size) if templ else np.empty(0, np.int64)
-                        key = (int(w[pos]), own.tobytes())
-                        if (templ and not len(own)) or key in seen:
+                        if templ and not len(own):
                             continue
-                        seen.add(key)
                         ids.append(doc)
-                        hs.append(key[0])
+                        at.append(pos)
+                        hs.append(int(w[pos]))
                         ts.append(templ)
                         slots.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ts, pa.bool_()), lists(slots, pa.int64())], names=["doc_id", "h", "templ", "slots"])
+        cols = [pa.array(c, t) for c, t in zip((ids, at, hs, ts), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64())], names=["doc_id", "doc_pos", "h", "templ", "slots"])
+
+    return mapped(docs, run, "doc_id bigint, doc_pos int, h bigint, templ boolean, slots array<bigint>")
+
+
+def _steady(pairs: list[tuple[int, int]], share: int) -> bool:
+    """Whether SHARE % of the item's values stand for one value each."""
+    meant: dict[int, set[int]] = {}
+    for own, other in pairs:
+        meant.setdefault(own, set()).add(other)
+    return sum(len(x) == 1 for x in meant.values()) * 100 >= len(meant) * share
+
+
+def _occurrences(places: dict[int, list[int]], slack: int) -> list[list[tuple[int, int]]]:
+    """Ways to lay an item over a document: for each shift that occurs, the windows of the item in
+    order, each at its place in the document nearest to the shift so far, at most slack off."""
+    found: dict[tuple[tuple[int, int], ...], None] = {}
+    order = sorted(places)
+    for shift in {d - p for p in order for d in places[p]}:
+        laid, now = [], shift
+        for p in order:
+            at = places[p]
+            i = bisect_left(at, p + now)
+            near = min(at[max(0, i - 1) : i + 1], key=lambda d: abs(d - p - now))
+            if abs(near - p - shift) <= slack:
+                laid.append((p, near))
+                now = near - p
+        found[tuple(laid)] = None
+    return [list(x) for x in found]
+
+
+def _verdict(hits: list[dict], n_words: int, n_windows: int, share: int) -> tuple[int, int, bool]:
+    """n_literal, n_found and whether the item leaks, from the windows of one item met in one document."""
+    places: dict[int, set[int]] = {}
+    plain, slots = set(), {}
+    for x in hits:
+        key = (x["pos"], x["doc_pos"])
+        places.setdefault(x["pos"], set()).add(x["doc_pos"])
+        if x["templ"]:
+            slots.setdefault(key, []).extend(zip(x["item_slots"], x["slots"], strict=True))
+        else:
+            plain.add(key)
+    n_literal = n_found = len({p for p, _ in plain})
+    if n_literal < n_windows and len(places) * 100 >= n_windows * share:
+        for laid in _occurrences({p: sorted(d) for p, d in places.items()}, n_words * SLACK // 100):
+            if len(laid) > n_found and _steady([v for x in laid for v in slots.get(x, ())], share):
+                n_found = len(laid)
+    return n_literal, n_found, n_found * 100 >= n_windows * share
+
+
+def _judged(pairs: DataFrame, share: int) -> DataFrame:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [_verdict(r["hits"], r["n_words"], r["n_windows"], share) for r in b.to_pylist()]
+        cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), b.column("n_windows"), *cols], names=["doc_id", "item_id", "n_windows", "n_literal", "n_found", "contaminated"])
 
-    return mapped(docs, run, "doc_id bigint, h bigint, templ boolean, slots array<bigint>")
+    return mapped(pairs, run, "doc_id bigint, item_id bigint, n_windows bigint, n_literal bigint, n_found bigint, contaminated boolean")
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -167,14 +224,9 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHAR
     short = [r[0] for r in windows.filter(F.col("n_words") < size).select("n_words").distinct().collect()]  # at most size - 1
     hits = materialize(_doc_hits(rows, held, sorted({size, *short})), "hits")
     met = hits.join(windows.withColumnRenamed("slots", "item_slots"), ["h", "templ"])
-    # each slot value of an item has to meet one value of the document
-    pairs = met.filter("templ").select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    values = pairs.groupBy("doc_id", "item_id", F.col("z.item_slots").alias("v")).agg((F.min("z.slots") == F.max("z.slots")).alias("one"))
-    steady = values.groupBy("doc_id", "item_id").agg((F.sum(F.col("one").cast("int")) * 100 >= F.count(F.lit(1)) * share).alias("steady"))
-    found = met.groupBy("doc_id", "item_id", "pos").agg(F.max((~F.col("templ")).cast("int")).alias("literal"))
-    found = found.groupBy("doc_id", "item_id").agg(F.sum("literal").alias("n_literal"), F.count(F.lit(1)).alias("n_any"))
+    hit = F.struct("pos", "doc_pos", "templ", "item_slots", "slots")
+    # fewer hits than the windows that have to be found can't be a leak
+    pairs = met.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"))
     total = windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
-    both = found.join(steady, ["doc_id", "item_id"], "left").join(total, "item_id")
-    n_found = F.when(F.coalesce("steady", F.lit(False)), F.col("n_any")).otherwise(F.col("n_literal"))
-    out = both.withColumn("n_found", n_found).filter(F.col("n_found") * 100 >= F.col("n_windows") * share)
-    return out.select("doc_id", "item_id", "n_windows", "n_literal", "n_found", F.lit(True).alias("contaminated"))
+    pairs = pairs.join(total, "item_id").filter(F.size("hits") * 100 >= F.col("n_windows") * share)
+    return _judged(pairs.select("doc_id", "item_id", "n_words", "n_windows", "hits"), share).filter("contaminated")

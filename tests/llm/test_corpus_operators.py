@@ -103,6 +103,26 @@ def test_slots_have_to_be_steady(spark):
     assert [r["doc_id"] for r in decontaminate.leaks(docs, items).collect()] == [0]
 
 
+def test_slots_are_compared_in_aligned_occurrences(spark):
+    item = "a bike costs 3 euros per day and a tent costs 5 euros per day and a boat costs 8 euros per day"
+    other = lambda *n: f"a bike costs {n[0]} euros per day and a tent costs {n[1]} euros per day and a boat costs {n[2]} euros per day"
+    items = [(0, item), (1, "costs 3 euros per day and costs 5 euros per day")]
+    docs = [
+        (0, other(7, 9, 2)),
+        (1, f"{other(7, 9, 2)} {'filler words stand here ' * 9} {other(11, 12, 13)}"),
+        (2, f"{other(7, 9, 2)} {'filler words stand here ' * 9} each tent costs 99 euros per day"),
+        (3, "costs 7 euros per day and costs 9 euros per day"),
+        (4, "a bike costs 7 euros per day and also a tent costs 9 euros per day and a boat costs 2 euros per day"),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["item_id"] == 0} >= {0, 1, 2}
+    assert {r["doc_id"] for r in got if r["item_id"] == 1} >= {3}
+    steady = [(0, "3 cats and 3 dogs and 3 hens and 3 cows and 3 pigs were in the yard")]
+    mixed = [(0, "4 cats and 5 dogs and 6 hens and 7 cows and 8 pigs were in the yard"), (1, "4 cats and 4 dogs and 4 hens and 4 cows and 4 pigs were in the yard")]
+    got = decontaminate.leaks(spark.createDataFrame(mixed, "doc_id long, text string"), spark.createDataFrame(steady, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {1}
+
+
 def test_literal_leaks_equal_brute_force(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
