@@ -6,7 +6,7 @@ anchor to the span around it and validates it.
 
 Base kinds (leftmost, non-overlapping per kind, failing matches dropped without a retry): email,
 ip, card, phone. Added kinds: url (scheme up to white space, trailing punctuation left out),
-secret (value after ``password=`` and the like, and access key ids), account (IBAN by mod 97, or
+secret (value after a cue word, = or :, in quotes or bare, and access key ids), account (IBAN by mod 97, or
 6 to 20 digits and letters after an account cue). Added spans never replace base ones.
 
 Cases: a null or empty text has no spans; positions are code points, end exclusive; a null doc_id
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,14 +36,15 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"://[^\s<>\"']+")
-VALUE = re.compile(r"[^\s\"'<>,;]{6,}")
+#: Behind a secret cue: a sign between blanks (the cue may be a quoted key), then a value in quotes or a bare one.
+SECRET = re.compile(r"""["']?[ \t]*(?::=|=>|[=:])[ \t]*(?:"(?![ \t])([^"\r\n]{6,})"|'(?![ \t])([^'\r\n]{6,})'|["']?([^\s"'<>,;]{6,}))""")
 ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"[\s:#.]{0,3}((?:[A-Z]{2}[0-9]{2}[\x20]?)?[A-Z0-9](?:[\x20-]?[A-Z0-9]){5,33})")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
 
-#: Cues in front of a value: kind and the text that the search compares without regard to case.
-SECRET_CUES = ("password=", "passwd=", "pwd=", "token=", "secret=", "api_key=", "apikey=")
+#: Cue words in front of a value; the search finds them in any case.
+SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
 ACCOUNT_CUES = ("iban", "account no", "account number", "acct", "konto")
 
 
@@ -61,8 +63,8 @@ def _anchors():
                 a.add_word(f"{x}{sep}{y}", ("card", 2 + len(sep)))
     for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account")):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            for form in product(*({c, c.upper()} for c in cue)):
+                a.add_word("".join(form), (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -138,10 +140,10 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 past["secret"] = m.end()
                 found["secret"].append(m.span())
         elif what == "secret":
-            m = VALUE.match(text, end + 1) if end + 1 >= past["secret"] else None
+            m = SECRET.match(text, end + 1) if end + 1 >= past["secret"] else None
             if m:
                 past["secret"] = m.end()
-                found["secret"].append(m.span())
+                found["secret"].append(m.span(m.lastindex))
         else:
             m = ACCOUNT.match(text, end + 1) if end + 1 >= past["account"] and not (at and text[at - 1].isalnum()) else None
             if m and sum(c in DIGITS for c in m[1]) >= 6:

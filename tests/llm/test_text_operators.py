@@ -63,6 +63,32 @@ def test_pii_odd_rows(odd_docs):
     assert pii.detect(odd_docs.limit(0)).isEmpty()
 
 
+def test_secrets_in_common_forms():
+    hexed = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text, value in [
+        (f'so token = "{hexed}" it goes', hexed),
+        (f"TOKEN = '{hexed}'", hexed),
+        (f'{{"aPi_KeY": "{hexed}"}}', hexed),
+        ("PassWord : hunter22, then", "hunter22"),
+        ("secret:=abcdef1;", "abcdef1"),
+        ('pwd="three plain words"', "three plain words"),
+        ('token="neverclosed now', "neverclosed"),
+    ]:
+        spans = [text[a:b] for a, b in pii.find_spans(text)["secret"]]
+        assert spans == [value]
+    assert pii.find_spans("the token of the secret has no value")["secret"] == []
+    text = "AcCoUnT nO: 12345678"
+    assert [text[a:b] for a, b in pii.find_spans(text)["account"]] == ["12345678"]
+
+
+def test_secrets_of_the_given_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    planted = r'(?i)token = "[0-9a-f]{40}"'
+    with_secret = rows.filter(F.col("text").rlike(planted))
+    got = pii.redacted(with_secret).select(F.col("text").rlike(planted).alias("left")).collect()
+    assert len(got) > 100 and not any(r["left"] for r in got)
+
+
 def test_html_sections():
     html = """<html><head><title>no</title><style>p{}</style></head><body><header>top</header><nav><ul><li>menu</li></ul></nav>
     <div class="cookie notice">accept</div><article><h1>Head &amp; line</h1><p><b>One<br>two <i>th</i>ree<p>four</p><aside>side</aside>
