@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Every word is brought to a literal form (lower case, outer punctuation dropped) and a template form,
-in which numbers become <num>, units <unit> and names (capitalised words inside a sentence) <name>.
-Windows of SIZE words of both forms are hashed. Document windows meet the benchmark's in a hash
+in which numbers become <num>, units <unit> and names (capitalised words) <name>. A capitalised word at
+the beginning of a sentence may be a name or not, so its windows have a template for either reading.
+Windows of SIZE words of all forms are hashed. Document windows meet the benchmark's in a hash
 join; what a Bloom filter of the benchmark's windows rules out never leaves the scan. An item leaks
-into a document when at least SHARE % of the item's windows are found in it. Windows that meet only
+into a document when at least SHARE % of the item's windows are found in it, or when the windows found
+in one occurrence cover SHARE % of its words, so that one changed word costs one word and not SIZE
+windows; equal words in line with a found window, up to SIZE - 1 of them, count as covered. Windows that meet only
 as templates are aligned first: an occurrence is a run of windows whose places in the document and
 in the item differ by one shift, give or take SLACK % of the item's words. Such windows count if the
 slots of the occurrence are consistent: the same number, name or unit of the item has to stand for
@@ -66,8 +69,12 @@ def _read(word: str) -> tuple[int, int, int, int, int]:
     return (h, 0, kind, inside, ends)
 
 
-def _canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Literal hashes, template hashes and slot kinds of the words, words without a letter or digit left out."""
+Form = tuple[bool, np.ndarray, np.ndarray]
+
+
+def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
+    """Literal hashes of the words, words without a letter or digit left out; and the forms: whether
+    it is a template, the hashes, and the kinds of slot. The last has names at the beginnings of sentences."""
     if len(_words) > WORD_CACHE:
         _words.clear()
     rows = []
@@ -77,18 +84,20 @@ def _canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = _words[w] = _read(w)
         rows.append(x)
     if not rows:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.empty(0, np.uint64), []
     literal = np.fromiter((x[0] for x in rows), np.uint64, len(rows))
     plain = np.fromiter((x[2] for x in rows), np.int8, len(rows))
     inside = np.fromiter((x[3] for x in rows), np.int8, len(rows))
     ends = np.fromiter((x[4] for x in rows), np.int8, len(rows))
     first = np.concatenate([[1], ends[:-1]]).astype(bool)
-    kind = np.where(first, plain, inside)
-    template = literal.copy()
-    for k, h in _SLOT.items():
-        template[kind == k] = h
     keep = literal != 0
-    return literal[keep], template[keep], kind[keep]
+    forms = [(False, literal[keep], plain[keep])]
+    for kind in (np.where(first, plain, inside), inside):
+        template = literal.copy()
+        for k, h in _SLOT.items():
+            template[kind == k] = h
+        forms.append((True, template[keep], kind[keep]))
+    return literal[keep], forms
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
@@ -109,6 +118,15 @@ def _slots(literal: np.ndarray, kind: np.ndarray, at: int, n: int) -> np.ndarray
     return literal[at : at + n][kind[at : at + n] != LITERAL].view(np.int64)
 
 
+def _form_windows(forms: list[Form], size: int) -> list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """The forms with the hashes of their windows, and which of these differ from the form before."""
+    out = []
+    for templ, x, kind in forms:
+        w = _windows(x, size)
+        out.append((templ, kind, w, w != out[-1][2] if out else np.ones(len(w), bool)))
+    return out
+
+
 WINDOW_SCHEMA = "id bigint, n_words int, pos int, h bigint, templ boolean, slots array<bigint>"
 
 
@@ -117,10 +135,11 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
         out: list[list] = [[], [], [], [], []]
         slots = []
         for item, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            literal, template, kind = _canonical(text)
+            literal, forms = _canonical(text)
             n = min(size, len(literal))
-            for templ, x in ((False, literal), (True, template)):
-                for pos, h in enumerate(_windows(x, size).tolist()):
+            for templ, kind, w, fresh in _form_windows(forms, size):
+                for pos in np.flatnonzero(fresh).tolist():
+                    h = int(w[pos])
                     own = _slots(literal, kind, pos, n) if templ else np.empty(0, np.int64)
                     if templ and (not len(own) or len(own) == n):
                         continue  # the same as the literal window, or slots only, which say nothing
@@ -136,16 +155,17 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
 def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
     """Windows of documents that may be an item's: one row for each place and form."""
 
+    beside = max(sizes) - 1
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at, hs, ts, slots = [], [], [], [], []
+        ids, at, hs, ts, slots, near = [], [], [], [], [], []
         for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            literal, template, kind = _canonical(text)
+            literal, forms = _canonical(text)
             for size in sizes:
                 if len(literal) < size:
                     continue
-                for templ, x in ((False, literal), (True, template)):
-                    w = _windows(x, size)
-                    for pos in np.flatnonzero(in_bitmap(held, w)).tolist():
+                for templ, kind, w, fresh in _form_windows(forms, size):
+                    for pos in np.flatnonzero(in_bitmap(held, w) & fresh).tolist():
                         own = _slots(literal, kind, pos, size) if templ else np.empty(0, np.int64)
                         if templ and not len(own):
                             continue
@@ -154,10 +174,11 @@ def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
                         hs.append(int(w[pos]))
                         ts.append(templ)
                         slots.append(own)
+                        near.append(literal[max(0, pos - beside) : pos + size + beside].view(np.int64))
         cols = [pa.array(c, t) for c, t in zip((ids, at, hs, ts), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64())], names=["doc_id", "doc_pos", "h", "templ", "slots"])
+        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64()), lists(near, pa.int64())], names=["doc_id", "doc_pos", "h", "templ", "slots", "near"])
 
-    return mapped(docs, run, "doc_id bigint, doc_pos int, h bigint, templ boolean, slots array<bigint>")
+    return mapped(docs, run, "doc_id bigint, doc_pos int, h bigint, templ boolean, slots array<bigint>, near array<bigint>")
 
 
 def _steady(pairs: list[tuple[int, int]], share: int) -> bool:
@@ -186,34 +207,56 @@ def _occurrences(places: dict[int, list[int]], slack: int) -> list[list[tuple[in
     return [list(x) for x in found]
 
 
-def _verdict(hits: list[dict], n_words: int, n_windows: int, share: int) -> tuple[int, int, bool]:
+def _covered(laid: list[tuple[int, int]], words: list[int], near: dict[int, list[int]], size: int) -> int:
+    """Words of the item in the windows of an occurrence, and equal words in line with one of them."""
+    seen: set[int] = set()
+    for pos, at in laid:
+        seen.update(range(pos, min(pos + size, len(words))))
+        first = at - max(0, at - size + 1)  # words before the window in near
+        seen.update(i for k, x in enumerate(near[at]) if 0 <= (i := pos + k - first) < len(words) and words[i] == x)
+    return len(seen)
+
+
+def _verdict(hits: list[dict], words: list[int], n_windows: int, size: int, share: int) -> tuple[int, int, bool]:
     """n_literal, n_found and whether the item leaks, from the windows of one item met in one document."""
     places: dict[int, set[int]] = {}
-    plain, slots = set(), {}
+    plain, slots, near = set(), {}, {}
     for x in hits:
         key = (x["pos"], x["doc_pos"])
         places.setdefault(x["pos"], set()).add(x["doc_pos"])
+        near[x["doc_pos"]] = x["near"]
         if x["templ"]:
             slots.setdefault(key, []).extend(zip(x["item_slots"], x["slots"], strict=True))
         else:
             plain.add(key)
     n_literal = n_found = len({p for p, _ in plain})
-    if n_literal < n_windows and len(places) * 100 >= n_windows * share:
-        for laid in _occurrences({p: sorted(d) for p, d in places.items()}, n_words * SLACK // 100):
-            if len(laid) > n_found and _steady([v for x in laid for v in slots.get(x, ())], share):
-                n_found = len(laid)
-    return n_literal, n_found, n_found * 100 >= n_windows * share
+    leak = n_literal * 100 >= n_windows * share
+    if n_literal < n_windows:
+        for laid in _occurrences({p: sorted(d) for p, d in places.items()}, len(words) * SLACK // 100):
+            if (leak and len(laid) <= n_found) or not _steady([v for x in laid for v in slots.get(x, ())], share):
+                continue
+            n_found = max(n_found, len(laid))
+            leak = leak or _covered(laid, words, near, size) * 100 >= len(words) * share
+    return n_literal, n_found, leak
 
 
-def _judged(pairs: DataFrame, share: int) -> DataFrame:
+def _judged(pairs: DataFrame, size: int, share: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [_verdict(r["hits"], r["n_words"], r["n_windows"], share) for r in b.to_pylist()]
+        rows = [_verdict(r["hits"], r["words"], r["n_windows"], size, share) for r in b.to_pylist()]
         cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), b.column("n_windows"), *cols], names=["doc_id", "item_id", "n_windows", "n_literal", "n_found", "contaminated"])
 
     return mapped(pairs, run, "doc_id bigint, item_id bigint, n_windows bigint, n_literal bigint, n_found bigint, contaminated boolean")
 
 
+def _item_words(items: DataFrame) -> DataFrame:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = [_canonical(t)[0].view(np.int64) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column("id"), lists(words, pa.int64())], names=["item_id", "words"])
+
+    return mapped(items, run, "item_id bigint, words array<bigint>")
+
+
 def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_literal, n_found, contaminated): one row for each document and
     item that leaks into it; contaminated is true in each."""
@@ -224,9 +267,11 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHAR
     short = [r[0] for r in windows.filter(F.col("n_words") < size).select("n_words").distinct().collect()]  # at most size - 1
     hits = materialize(_doc_hits(rows, held, sorted({size, *short})), "hits")
     met = hits.join(windows.withColumnRenamed("slots", "item_slots"), ["h", "templ"])
-    hit = F.struct("pos", "doc_pos", "templ", "item_slots", "slots")
-    # fewer hits than the windows that have to be found can't be a leak
+    hit = F.struct("pos", "doc_pos", "templ", "item_slots", "slots", "near")
     pairs = met.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"))
+    # a window covers size words and at most size - 1 to either side: fewer hits can't be a leak
+    pairs = pairs.filter(F.size("hits") * (3 * size - 2) * 100 >= F.col("n_words") * share)
     total = windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
-    pairs = pairs.join(total, "item_id").filter(F.size("hits") * 100 >= F.col("n_windows") * share)
-    return _judged(pairs.select("doc_id", "item_id", "n_words", "n_windows", "hits"), share).filter("contaminated")
+    words = _item_words(bench).groupBy("item_id").agg(F.first("words").alias("words"))
+    pairs = pairs.join(total, "item_id").join(words, "item_id")
+    return _judged(pairs.select("doc_id", "item_id", "words", "n_windows", "hits"), size, share).filter("contaminated")

@@ -123,6 +123,22 @@ def test_slots_are_compared_in_aligned_occurrences(spark):
     assert {r["doc_id"] for r in got} == {1}
 
 
+def test_names_that_begin_sentences_and_single_changes(spark):
+    item = "Anna walks slowly to the old market today. Bruno gives her seven pears there. Anna eats half of them all alone."
+    short = "one old man sold his small boat to the rich king of a far land"
+    items = [(0, item), (1, short)]
+    docs = [
+        (0, item.replace("Anna", "Clara").replace("Bruno", "David")),
+        (1, short.replace("boat", "house")),
+        (2, short.replace("man", "cat")),
+        (3, short.replace("sold", "bought")),
+        (4, short.replace("man", "cat").replace("boat", "house").replace("king", "queen").replace("far", "near")),
+        (5, "Then one old man sold his goat and went to the rich town of a bad land"),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 1), (3, 1)}
+
+
 def test_literal_leaks_equal_brute_force(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
