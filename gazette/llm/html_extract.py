@@ -5,8 +5,10 @@ text length and the number of tags that stand in it. The ratio of text to tags o
 smoothed with a Gaussian over its neighbours, and a threshold clusters the lines into content and
 the rest; runs of content lines are the content regions. Lines inside elements that never hold an
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are ruled out by
-their element, role, id or class before the clustering. Where a page marks its article (``article``,
-``main``), the marked lines are the content cluster and keep all that is in them.
+their element, role, id or class before the clustering. The ratio is clustered on every page; where a
+page marks its article (``article``, ``main``), the marked lines are the content and keep all that is
+in them, unless the content that the clustering finds outside holds more than PRIOR times their text
+(links left out), as on a page whose only marked element is a teaser: then the clustering decides.
 
 Cases: null, empty or text-less html gives ''; broken nesting is tolerated (a closing tag closes up
 to its own opening tag, or is ignored); unclosed script or style content is dropped; page_id and
@@ -28,6 +30,8 @@ from gazette.llm.common import mapped
 SIGMA = 1.5
 #: Kernel weights reach this many lines to either side.
 REACH = 4
+#: Text in a marked element weighs so many times as much as content outside of it.
+PRIOR = 2
 
 SKIP = frozenset("script style noscript template head title iframe object embed svg canvas select option textarea button audio video map math".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -155,14 +159,17 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.cut()
     lines = parser.lines
-    if any(marked and not out for _, _, out, marked, _ in lines):
-        return " ".join(text for text, _, out, marked, _ in lines if marked and not out)
     ratio = [0.0 if out else max(0, len(text) - 2 * linked) / (1 + tags) for text, tags, out, _, linked in lines]
     smooth = _smooth(ratio)
     mean = sum(smooth) / max(1, len(smooth))
     spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
     threshold = max(0.0, mean - spread)
-    return " ".join(x[0] for x, s in zip(lines, smooth, strict=True) if not x[2] and s > threshold * 0.5 and x[4] * 2 <= len(x[0]))
+    content = [x for x, s in zip(lines, smooth, strict=True) if not x[2] and s > threshold * 0.5 and x[4] * 2 <= len(x[0])]
+    marked = [x for x in lines if x[3] and not x[2]]
+    beside = sum(len(x[0]) - x[4] for x in content if not x[3])
+    if marked and PRIOR * sum(len(x[0]) - x[4] for x in marked) >= beside:
+        content = marked
+    return " ".join(x[0] for x in content)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -103,6 +103,15 @@ def test_html_without_marks():
     assert got.count("This is a long sentence") == 24 and "link one" not in got and "x" != got[-1]
 
 
+def test_html_teasers_are_not_the_article():
+    body = "".join(f"<p>{'This is a long sentence of the article with many words in it. ' * 4}</p>" for _ in range(6))
+    card = "<article><h3><a href=1>Read this next</a></h3><p>A short card.</p></article>"
+    got = html_extract.extract(f"<body><div>{body}</div><div>{card}</div></body>")
+    assert got.count("This is a long sentence") == 24 and "Read this next" not in got
+    got = html_extract.extract(f"<body><article><h1>Title</h1>{body}</article><div>{card}</div></body>")
+    assert got.startswith("Title This is") and got.count("This is a long sentence") == 24
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "</p></div>", "<script>never closed", "<!-- open", "&#xFFFFFFF; &bogus;", "<a" * 500, "<div>" * 3000 + "deep"])
 def test_html_broken(html):
     assert isinstance(html_extract.extract(html), str)
