@@ -96,10 +96,17 @@ def compare(pairs: DataFrame, rows: DataFrame, ratio=indel_ratio) -> DataFrame:
     return x.select("left_id", "right_id", "tier", "score", outcome.alias("outcome"))
 
 
-def resolve(compared: DataFrame) -> DataFrame:
-    """For each left id its best candidate; a second MATCH within 5 points makes it a REVIEW."""
+def resolve(compared: DataFrame, overflow: DataFrame | None = None) -> DataFrame:
+    """For each left id its best candidate; a second MATCH within 5 points makes it a REVIEW. Ids of
+    overflow abstain: a REVIEW without a candidate, with its reason."""
     rank = F.when(F.col("outcome") == "MATCH", 0).when(F.col("outcome") == "REVIEW", 1).otherwise(2)
     w = Window.partitionBy("left_id")
     ranked = compared.withColumn("rank", rank).withColumn("n", F.row_number().over(w.orderBy("rank", F.desc("score"), "right_id")))
     ranked = ranked.withColumn("best", F.max(F.when(F.col("outcome") == "MATCH", F.col("score"))).over(w)).withColumn("rivals", F.count_if((F.col("outcome") == "MATCH") & (F.col("best") - F.col("score") < NEAR_TIE)).over(w))
-    return ranked.filter("n = 1").select("left_id", "right_id", "score", F.when((F.col("outcome") == "MATCH") & (F.col("rivals") > 1), "REVIEW").otherwise(F.col("outcome")).alias("outcome"))
+    best = ranked.filter("n = 1").select("left_id", "right_id", "score", F.when((F.col("outcome") == "MATCH") & (F.col("rivals") > 1), "REVIEW").otherwise(F.col("outcome")).alias("outcome"))
+    if overflow is None:
+        return best
+    over = overflow.select(F.col("id").alias("left_id"), F.lit("candidate_limit_exceeded").alias("reason"))
+    kept = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    outcome = F.when(F.col("reason").isNotNull(), "REVIEW").otherwise(F.col("outcome")).alias("outcome")
+    return best.join(over, "left_id", "full_outer").select("left_id", kept("right_id"), kept("score"), outcome, "reason")

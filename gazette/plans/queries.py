@@ -198,7 +198,8 @@ def candidate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def resolve_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_profiles(spark, sf_dir)
-    return identity.resolve(identity.compare(identity.candidate_pairs(rows)[0], rows))
+    pairs, overflow = identity.candidate_pairs(rows)
+    return identity.resolve(identity.compare(pairs, rows), overflow)
 
 
 @register("SELECT doc_id, md5(text) AS edition, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY md5(text)) AS duplicate FROM documents")

@@ -142,3 +142,13 @@ def test_instant_in_zone(spark):
     want = {"2024-03-10 02:30": "local", "2024-11-03T01:15": "local", "2024-07-01 09:00": "instant", "soon": None, None: None}
     df = spark.createDataFrame([(k,) for k in want], "t string").select("t", dates.instant_in_zone(F.col("t"), "America/New_York").alias("x"))
     assert {r["t"]: r["x"] and r["x"]["kind"] for r in df.collect()} == want
+
+
+def test_crowded_ids_are_reviewed(spark):
+    day = dt.date(2026, 1, 1)
+    rows = [(k, "same title here", "o", day, "x") for k in range(12)] + [(20, "blue fair", "p", day, "x"), (21, "blue fair", "p", day, "x"), (22, "same title here", "o", None, "x")]
+    rows = identity.profiles(spark.createDataFrame(rows, "id long, title string, organizer string, day date, format string"))
+    pairs, over = identity.candidate_pairs(rows, cap=10)
+    got = {r["left_id"]: (r["right_id"], r["outcome"], r["reason"]) for r in identity.resolve(identity.compare(pairs, rows), over).collect()}
+    crowded = (None, "REVIEW", "candidate_limit_exceeded")
+    assert got == {k: crowded for k in (*range(12), 22)} | {20: (21, "MATCH", None)}
