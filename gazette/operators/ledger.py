@@ -65,12 +65,15 @@ def failing(runs: DataFrame, source: str, order: list[Column], bad: Column, stre
     return runs.withColumn("n", n).filter(F.col("n") <= streak).groupBy(source).agg(F.every(bad).alias("bad"), F.count(F.lit(1)).alias("k")).filter((F.col("k") == streak) & F.col("bad")).select(source)
 
 
-def recipients(events: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """(id, subscriber) where the preference is 'all' or the event's source. The theta condition is
-    two equi-joins, so neither side is crossed with the other."""
-    everyone = subscribers.filter("preference = 'all'").select("subscriber", F.lit(1).alias("k"))
-    picked = events.join(subscribers.filter("preference <> 'all'"), F.col("source") == F.col("preference")).select("id", "subscriber")
-    return events.select("id", F.lit(1).alias("k")).join(everyone, "k").select("id", "subscriber").union(picked)
+def recipient_counts(events: DataFrame, subscribers: DataFrame, shard: Column) -> DataFrame:
+    """(shard, subscriber, n): how many events of a shard reach a subscriber, whose preference is 'all' or
+    the event's source. Events are counted first; only the small counts meet the subscribers."""
+    counts = events.groupBy(shard.alias("shard"), "source").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.groupBy("shard").agg(F.sum("n").alias("n"))
+    everyone = subscribers.filter("preference = 'all'").select("subscriber").crossJoin(F.broadcast(every))
+    picked = subscribers.filter("preference <> 'all'").join(counts, F.col("preference") == F.col("source"))
+    cols = ("shard", "subscriber", "n")
+    return everyone.select(*cols).union(picked.select(*cols)).groupBy("shard", "subscriber").agg(F.sum("n").alias("n"))
 
 
 def backoff(attempts: Column, retry_after: Column) -> Column:

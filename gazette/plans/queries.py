@@ -263,12 +263,20 @@ def failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBSCRIBERS_SQL = "s AS (SELECT s_suppkey AS subscriber, CASE s_suppkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'MACHINERY' ELSE 'none' END AS preference FROM supplier)"
 
 
+def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("subscriber"), F.when(k % 4 == 0, "all").when(k % 4 == 1, "BUILDING").when(k % 4 == 2, "MACHINERY").otherwise("none").alias("preference"))
+
+
 @register(f"WITH {LISTINGS_SQL}, {SUBSCRIBERS_SQL} SELECT l.id % 10 AS shard, s.subscriber, count(*) AS n FROM listings l JOIN s ON s.preference = 'all' OR s.preference = l.source WHERE l.deadline = DATE '{AS_OF}' + CAST(l.id % 50 AS INT) OR l.id % 100 = 0 GROUP BY ALL")
 def recipients_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    subs = table(spark, sf_dir, "supplier").select(k.alias("subscriber"), F.when(k % 4 == 0, "all").when(k % 4 == 1, "BUILDING").when(k % 4 == 2, "MACHINERY").otherwise("none").alias("preference"))
     some = listings(spark, sf_dir).filter((F.col("deadline") == F.date_add(F.lit(AS_OF), (F.col("id") % 50).cast("int"))) | (F.col("id") % 100 == 0))
-    return ledger.recipients(some, subs).groupBy((F.col("id") % 10).alias("shard"), "subscriber").agg(F.count(F.lit(1)).alias("n"))
+    return ledger.recipient_counts(some, subscribers(spark, sf_dir), F.col("id") % 10)
+
+
+@register(f"WITH {LISTINGS_SQL}, {SUBSCRIBERS_SQL} SELECT l.id % 10 AS shard, s.subscriber, count(*) AS n FROM listings l JOIN s ON s.preference = 'all' OR s.preference = l.source GROUP BY ALL")
+def recipients_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.recipient_counts(listings(spark, sf_dir), subscribers(spark, sf_dir), F.col("id") % 10)
 
 
 @register("""WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), b AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN n END) AS won, max(n) AS tried FROM a WHERE n <= 5 GROUP BY user_id)

@@ -152,3 +152,10 @@ def test_crowded_ids_are_reviewed(spark):
     got = {r["left_id"]: (r["right_id"], r["outcome"], r["reason"]) for r in identity.resolve(identity.compare(pairs, rows), over).collect()}
     crowded = (None, "REVIEW", "candidate_limit_exceeded")
     assert got == {k: crowded for k in (*range(12), 22)} | {20: (21, "MATCH", None)}
+
+
+def test_recipients_of_all_listings(spark):
+    n = queries.listings(spark, SF).count()
+    got = queries.QUERIES["recipients_all"](spark, SF)
+    subs = queries.subscribers(spark, SF).filter("preference = 'all'")
+    assert {r["n"] for r in got.join(subs, "subscriber").groupBy("subscriber").agg(F.sum("n").alias("n")).collect()} == {n}
