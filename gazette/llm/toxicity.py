@@ -1,135 +1,277 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Fit (a bounded, stated sample of labelled rows; everything else covers all documents):
-up to EXAMPLES rows of each label are drawn by the hash of their id, near copies among them left
-out so that one copied text has one vote. Features are the words of a text and the beginnings of 4,
-5 and 6 letters of longer words; up to FEATURES are chosen by how strongly they go with either
-label. Document frequencies of the chosen features are counted over the whole corpus.
-
-Index: examples are sorted by their heaviest feature and cut into blocks; for each feature and
-block the largest weight is kept. A query adds up its upper bound for every block, takes blocks
-from the highest bound down, scores their examples exactly, and stops when the next bound is below
-the NEIGHBOURS-th best cosine so far, so the neighbours are exact.
-
-Score: cosine-weighted votes of the neighbours, calibrated by monotone regression on leave-one-out
-votes of the examples, weighted to the label shares of the labelled rows. A text with none of the
-features gets the rate of such examples. Evidence is the ids of the nearest examples.
-
-Cases: null and empty texts are texts without features; a null label row or a null doc_id in labels
-is not used; without any usable label of either kind the score is 0 for all; ties among neighbours
-go to the lower example number; repeated documents are scored each; labels repeated for one doc_id
-with different values count once, with the larger value.
+Fit (a bounded, stated sample of labelled rows; everything else covers all documents): of each
+label up to EXAMPLES rows and EXAMPLE_CHARS characters are drawn by the hash of their id; rows of
+one text and label are one example. Features are all words of a text and the beginnings of 4, 5 and
+6 letters of longer words; the space is that of all features of all examples, none is left out.
+Document frequencies of these features are counted over the whole corpus.
+
+Weight: (1 + log tf) * idf * lean. The lean of a feature is how far its rate of label 1 among
+examples lies from theirs as a whole, damped by its standard error, and FLOOR at least: a metric
+learnt from the sample, in which every word keeps a part. Plain TF-IDF (FLOOR = 1) finds the same
+topic rather than the same tone; README has the figures of both.
+
+Index: examples are sorted by their heaviest common feature and cut into blocks of BLOCK. Inverted
+lists hold the features of examples; lists with COMMON of all examples or more are kept dense by
+block, with each block's largest weight. A query's bound for a block is its sum over the short
+lists, which is exact, and its weights times the block's maxima. Blocks with the highest bounds are
+scored first; then only those whose bound reaches the NEIGHBOURS-th best cosine so far, so the
+neighbours are exact. Queries go through the index a chunk at a time.
+
+Score: cosine-weighted votes of the neighbours, calibrated by monotone regression on the votes of
+the examples, from which an example's own text and near copies (cosine COPY or more) are left out,
+weighted to the label shares of the labelled rows. Evidence is the ids of the nearest examples.
+
+Cases: null, empty and wordless texts, and texts that share no feature with any example, get the
+smoothed rate of such examples; very long texts are read whole, and as examples only while they fit
+into EXAMPLE_CHARS; a null label or a null doc_id in labels is not used; without any usable label of
+either kind the score is 0 for all; ties among neighbours go to the lower example number; repeated
+documents are scored each; labels repeated for one doc_id with different values count once, with the
+larger value; a doc_id with different texts is an example by each; an empty table of documents gives
+an empty result; only the named columns are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import lists, mapped, materialize
+from gazette.llm.common import CHUNK_ROWS, lists, mapped, materialize
 
 EXAMPLES = 3000
-FEATURES = 2048
+EXAMPLE_CHARS = 24_000_000
 NEIGHBOURS = 15
-BLOCK = 32
-#: A feature occurs in this many examples at least, and in this share of them.
-LEAST_DOCS = 3
-LEAST_SHARE = 0.004
-#: ... and its rate of label 1 lies this far from the examples' rate at least.
-LEAST_LEAN = 0.2
-#: A feature is chosen if its rate differs from the base rate by this many standard errors.
-LEAST_Z = 4.0
-TOKEN_CACHE = 250_000
+BLOCK = 64
+#: Blocks of a query that are scored before the rest is ruled out.
+FIRST = 4
+#: A list of this share of the examples or more is kept dense.
+COMMON = 0.0625
+#: Least lean of a feature; standard errors from which a lean counts, and over which it rises to 1.
+FLOOR, LEAN_FROM, LEAN_OVER = 0.1, 2.0, 4.0
+COPY = 0.9
+#: Pieces of text that a worker knows; emptied at this size.
+PIECES = 250_000
 WORD = re.compile(r"[^\W_]+")
+#: Letters of a longer word that make a feature of its own, in rising order.
+BEGINNINGS = (4, 5, 6)
 
 
-def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+Sparse = tuple[np.ndarray, np.ndarray]
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}~" for k in (4, 5, 6) if len(word) > k)]
+    return [word, *[word[:k] + "~" for k in BEGINNINGS if len(word) > k]]
+
+
+class _Table(dict):
+    """Number of each piece of text between white space; read(piece) gives the features of a new one."""
+
+    def __init__(self, read: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.read = read
+        self.entries: list[list[int]] = []
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self.entries)
+        self.entries.append(self.read(piece))
+        return at
 
 
 class Vectors:
-    """Turns texts into (feature numbers, term frequencies) over a fixed list of features."""
+    """Turns texts into (feature numbers, term frequencies) over a list of features."""
 
     def __init__(self, names: list[str]) -> None:
+        self.n = len(names)
         self.number = {f: i for i, f in enumerate(names)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        known, hits = self.known, []
-        if len(known) > TOKEN_CACHE:
-            known.clear()
-        for w in tokens(text):
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(self.number[f] for f in features(w) if f in self.number)
-            if got:
-                hits += got
-        if not hits:
-            return np.empty(0, np.int32), np.empty(0, np.float64)
-        ids, tf = np.unique(np.array(hits, np.int32), return_counts=True)
-        return ids, tf.astype(np.float64)
+        self.table = _Table(self._read)
+        self.size = self.flat = np.empty(0, np.int64)
+
+    def _read(self, piece: str) -> list[int]:
+        piece, number, found = piece.lower(), self.number, []
+        for w in (piece,) if piece.isalnum() else WORD.findall(piece):  # isalnum: one word
+            if w in number:
+                found.append(number[w])
+            for k in BEGINNINGS:
+                f = w[:k] + "~"
+                if len(w) <= k or f not in number:
+                    break  # nor can a longer beginning be known
+                found.append(number[f])
+        return found
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, how often) of the texts, in that order."""
+        table = self.table
+        if len(table) > PIECES:
+            table.clear()
+            table.entries.clear()
+            self.size = self.flat = np.empty(0, np.int64)
+        got = [np.fromiter(map(table.__getitem__, t.split()), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        new = table.entries[len(self.size) :]
+        size = np.array([len(e) for e in new], np.int64)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int64, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+        row, piece, times = _summed(np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got) if got else np.empty(0, np.int64), len(self.size))
+        n = self.size[piece]
+        return _summed(np.repeat(row, n), self.flat[_runs(np.cumsum(self.size)[piece] - n, n)], self.n, np.repeat(times, n))
+
+
+VECTORS = "f array<int>, tf array<int>"
+
+
+def _vectors(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with f and tf, the numbers of the features in their texts and how often, in place of text."""
+    kept = [c for c in docs.columns if c != "text"]
+    held: list[Vectors] = []
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(Vectors(names))
+        row, f, tf = held[0].of(b.column("text").to_pylist())
+        ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+        found = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (f, tf)]
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *found], names=[*kept, "f", "tf"])
+
+    return mapped(docs, run, ", ".join([*[f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept], VECTORS]))
+
+
+def _sparse(b: pa.RecordBatch) -> list[Sparse]:
+    """The vectors of a batch."""
+    f, tf = b.column("f"), b.column("tf")
+    ends = f.offsets.to_numpy()
+    ids, times = f.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(float)
+    return [(ids[i:j], times[i:j]) for i, j in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for n places, one run after the other."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _summed(row: np.ndarray, column: np.ndarray, columns: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of one place added up, in the order of row and column, by one sort of packed numbers."""
+    columns = max(1, columns)
+    key = row * columns + column
+    if not len(key):
+        return key, key, key
+    if times is None:
+        key = np.sort(key)
+    else:
+        bits = int(times.max()).bit_length()
+        key = np.sort(key << bits | times)
+        times, key = key & ((1 << bits) - 1), key >> bits
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.diff(np.append(first, len(key))) if times is None else np.add.reduceat(times, first)
+    row = key[first] // columns
+    return row, key[first] - row * columns, total
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors in a block-max inverted index."""
+    """Examples as unit vectors in block-max inverted lists. Features are numbered from 0."""
 
-    idf: np.ndarray
-    dense: np.ndarray  # example x feature, float32; bounded by 2 * EXAMPLES x FEATURES
-    block_max: np.ndarray  # block x feature
+    weight: np.ndarray  # idf * lean of each feature of the examples
+    n: int  # examples, in blocks of BLOCK
+    ends: np.ndarray  # lists of features: examples[ends[f] : ends[f + 1]] ascending
+    examples: np.ndarray
+    weights: np.ndarray
     label: np.ndarray
-    weight: np.ndarray
+    vote_weight: np.ndarray
     ids: np.ndarray
-    steps: np.ndarray  # calibration: votes, ascending
-    rates: np.ndarray
     bare_rate: float
-
-    def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1.0 + np.log(tf)) * self.idf[ids]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples with the highest cosine, and their cosines (only those over 0)."""
-        bound = self.block_max[:, ids] @ w
-        order = np.argsort(-bound, kind="stable")
-        found, cos = np.empty(0, np.int64), np.empty(0)
-        at = 0
-        while at < len(order) and bound[order[at]] > 0:
-            if len(cos) >= NEIGHBOURS and bound[order[at]] < cos[-1] - 1e-9:
-                break
-            part = order[at : at + 4]
-            at += 4
-            rows = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.label)]
-            sims = self.dense[np.ix_(rows, ids)] @ w
-            if skip >= 0:
-                sims[rows == skip] = 0.0
-            found, cos = np.concatenate([found, rows]), np.concatenate([cos, sims])
-            best = np.lexsort((found, -cos))[:NEIGHBOURS]
-            found, cos = found[best], cos[best]
-        return found[cos > 1e-9], cos[cos > 1e-9]
+    steps: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))  # calibration: votes, ascending
+    rates: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def unpacked(self) -> tuple[np.ndarray, ...]:
+        """place of a feature among the common ones (-1: none), common lists as example x feature,
+        the largest weight of each block of them, and the lists as wide numbers."""
+        size = np.diff(self.ends)
+        common = np.flatnonzero(size >= max(2.0, COMMON * self.n))
+        place = np.full(len(self.weight), -1, np.int64)
+        place[common] = np.arange(len(common))
+        blocks = -(-self.n // BLOCK)
+        dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        for k, f in enumerate(common):
+            dense[self.examples[self.ends[f] : self.ends[f + 1]], k] = self.weights[self.ends[f] : self.ends[f + 1]]
+        return place, dense, dense.reshape(blocks, BLOCK, len(common)).max(axis=1), self.examples.astype(np.int64), self.weights.astype(np.float64)
+
+    def unit(self, row: Sparse) -> Sparse:
+        ids, tf = row
+        w = (1.0 + np.log(tf)) * self.weight[ids]
+        size = np.sqrt((w * w).sum())
+        return ids, w / size if size > 0 else w
+
+    def nearest(self, rows: list[Sparse], most: float = np.inf) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector the NEIGHBOURS examples with the highest cosine under most, best first,
+        and their cosines (only those over 0)."""
+        if not rows or not self.n:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(rows)
+        place, dense, tops, examples, weights = _unpacked(self)
+        blocks = len(tops)
+        cos = np.zeros((len(rows), blocks * BLOCK), np.float32)
+        query = np.zeros((len(rows), dense.shape[1]), np.float32)
+        for k, (ids, w) in enumerate(rows):
+            at = place[ids]
+            query[k, at[at >= 0]] = w[at >= 0]
+            rare, own = ids[at < 0], w[at < 0]
+            size = self.ends[rare + 1] - self.ends[rare]
+            got = _runs(self.ends[rare], size)
+            cos[k] = np.bincount(examples[got], weights=weights[got] * np.repeat(own, size), minlength=blocks * BLOCK)
+        bound = query @ tops.T + cos.reshape(len(rows), blocks, BLOCK).max(axis=2)
+        scored = np.zeros((len(rows), blocks), bool)
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who, at = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                found = cos[who, at] + query[who] @ dense[at].T
+                cos[who, at] = np.where(found >= most, 0.0, found)
+            scored[wanted] = True
+
+        first = np.zeros_like(scored)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        score(first)
+        least = min(NEIGHBOURS, cos.shape[1])
+        seen = np.where(np.repeat(scored, BLOCK, axis=1), cos, 0.0)
+        level = -np.partition(-seen, least - 1, axis=1)[:, least - 1]
+        score(~scored & (bound >= level[:, None] - 1e-5))
+        cos[~np.repeat(scored, BLOCK, axis=1)] = 0.0
+        level = -np.partition(-cos, least - 1, axis=1)[:, least - 1]
+        out = []
+        for row, low in zip(cos, level, strict=True):
+            near = np.flatnonzero((row >= low) & (row > 1e-6))
+            near = near[np.argsort(-row[near], kind="stable")][:NEIGHBOURS]
+            out.append((near, row[near].astype(np.float64)))
+        return out
 
     def vote(self, found: np.ndarray, cos: np.ndarray) -> float:
-        w = cos * self.weight[found]
+        w = cos * self.vote_weight[found]
         return float((w * self.label[found]).sum() / w.sum())
 
-    def score(self, ids: np.ndarray, tf: np.ndarray) -> tuple[float, np.ndarray]:
-        if not len(ids):
-            return self.bare_rate, np.empty(0, np.int64)
-        found, cos = self.nearest(ids, self.unit(ids, tf))
-        if not len(found):
-            return self.bare_rate, np.empty(0, np.int64)
-        return float(np.interp(self.vote(found, cos), self.steps, self.rates)), self.ids[found[:3]]
+    def score(self, rows: list[Sparse]) -> list[tuple[float, np.ndarray]]:
+        out = []
+        for found, cos in self.nearest([self.unit(r) for r in rows]):
+            rate = float(np.interp(self.vote(found, cos), self.steps, self.rates)) if len(found) else self.bare_rate
+            out.append((rate, self.ids[found[:3]]))
+        return out
+
+
+# of the index in use: its key, and what unpacked() gave
+_held: dict[str, tuple[np.ndarray, ...]] = {}
+
+
+def _unpacked(index: Index) -> tuple[np.ndarray, ...]:
+    if index.key not in _held:
+        _held.clear()
+        _held[index.key] = index.unpacked()
+    return _held[index.key]
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,121 +291,119 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_features: int = FEATURES) -> tuple[list[str], Index] | None:
-    """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are not used."""
-    usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = materialize(usable, "usable")
-    shares = {bool(r["toxic"]): r["count"] for r in usable.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
-    if len(shares) < 2:
-        return None
-    drawn = [usable.filter((F.col("toxic") > 0) == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for label in (True, False)]
-    drawn = materialize(drawn[0].union(drawn[1]), "drawn")
-    sample = materialize(docs.join(F.broadcast(drawn), "doc_id"), "sample")  # at most 2 * examples rows are broadcast
+def _drawn(docs: DataFrame, usable: DataFrame, examples: int, chars: int) -> tuple[DataFrame, dict[bool, int]]:
+    """Examples as doc_id, copy (digest of the text), toxic; and how many texts each label has."""
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.length("text").alias("chars"))
+    texts = narrow.join(usable, "doc_id").groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id"), F.max(F.coalesce("chars", F.lit(0))).alias("chars"))
+    texts = materialize(texts, "texts")
+    shares = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    some = [texts.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "copy").limit(examples) for label in (True, False)]
+    so_far = F.sum("chars").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "copy"))  # over at most 2 * examples rows
+    some = some[0].union(some[1]).withColumn("so_far", so_far).filter(F.col("so_far") <= chars)
+    return materialize(some.select("doc_id", "copy", "toxic"), "drawn"), shares
+
+
+def _lean(number: np.ndarray, toxic: np.ndarray, n_features: int, n_toxic: int, n: int) -> np.ndarray:
+    """FLOOR to 1 by feature, from one entry of number for each feature of each example."""
+    count = np.bincount(number, minlength=n_features)
+    among = np.bincount(number, weights=toxic, minlength=n_features)
+    rate = n_toxic / n
+    z = np.abs(among - count * rate) / np.sqrt(count * (rate * (1 - rate)))
+    return np.maximum(FLOOR, np.clip((z - LEAN_FROM) / LEAN_OVER, 0, 1) * np.abs(among / count - rate))
+
+
+def _frequencies(vectors: DataFrame, n_features: int) -> tuple[np.ndarray, int]:
+    """In how many documents each of the features is, and how many documents there are. Each task
+    adds up its own rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, n = np.zeros(n_features, np.int64), 0
+        for b in batches:
+            count += np.bincount(b.column("f").flatten().to_numpy(), minlength=n_features)
+            n += b.num_rows
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"f": pa.array([-1, *some.tolist()], pa.int64()), "n": pa.array([n, *count[some].tolist()], pa.int64())})
 
-    def signatures(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in b.column("text").to_pylist():
-            words = tokens(text)
-            h = np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + 2])) >> 1 for i in range(max(1, len(words) - 1))], np.int64)
-            out.append(np.array([(h ^ np.int64(salt * 0x1E3779B97F4A7C15)).min() for salt in range(3)], np.int64))
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "marks": lists(out, pa.int64())})
-
-    # of examples that share a mark only the one with the lowest id stays
-    marks = mapped(sample.select("doc_id", "text"), signatures, "doc_id bigint, marks array<bigint>").select("doc_id", F.explode("marks").alias("m"))
-    first = marks.groupBy("m").agg(F.min("doc_id").alias("lo"))
-    copies = marks.join(first, "m").filter("doc_id > lo").select("doc_id").distinct()
-    sample = materialize(sample.join(F.broadcast(copies), "doc_id", "left_anti").dropDuplicates(["doc_id"]), "distinct")
+    got = vectors.select("f").mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, n = got.column("f").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(n_features, np.int64)
+    out[f[f >= 0]] = n[f >= 0]
+    return out, int(n[f < 0].sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> tuple[Index, DataFrame] | None:
+    """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are not used. Gives the
+    index, and doc_id, f and tf of all docs, whose texts are read once for both uses."""
+    usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    drawn, shares = _drawn(docs, usable, examples, chars)
+    sample = docs.withColumn("copy", F.xxhash64("text")).join(F.broadcast(drawn), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy", "toxic"])  # at most 2 * examples rows
+
+    sample = materialize(sample.select("doc_id", "toxic", "text"), "sample")
 
     def occurring(b: pa.RecordBatch) -> pa.RecordBatch:
-        names, toxic = [], []
-        for text, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            own = {f for w in set(tokens(text)) for f in features(w)}
-            names += own
-            toxic += [int(t > 0)] * len(own)
-        return pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "toxic": pa.array(toxic, pa.int64())})
-
-    n = {bool(r["toxic"]): r["count"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
-    if len(n) < 2:
+        words = {w for t in b.column("text").to_pylist() if t for w in WORD.findall(t.lower())}
+        return pa.RecordBatch.from_pydict({"f": pa.array(sorted({f for w in words for f in features(w)}), pa.string())})
+
+    names = sorted(r["f"] for r in mapped(sample.select("text"), occurring, "f string").distinct().toLocalIterator())  # bounded by examples and chars
+
+    rows = materialize(_vectors(sample, names), "examples")
+    got = rows.orderBy("doc_id", "toxic", F.xxhash64("f", "tf")).toArrow().combine_chunks()  # so is this
+    if len(set(got.column("toxic").to_pylist())) < 2:
         return None
-    rate = n[True] / (n[True] + n[False])
-    seen = mapped(sample.select("text", "toxic"), occurring, "f string, toxic bigint").groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
-    z = F.abs(F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    least = max(LEAST_DOCS, LEAST_SHARE * (n[True] + n[False]))
-    chosen = seen.filter(F.col("n") >= least).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.abs(F.col("pos") / F.col("n") - rate) >= LEAST_LEAN)).orderBy(F.desc("z"), "f").limit(n_features)
-    names = sorted(r["f"] for r in chosen.select("f").collect())
-    if not names:
-        names = ["\0"]  # a feature that no text has
-
-    def frequencies(b: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = _vectors(names)
-        got = [vectors.of(t)[0] for t in b.column("text").to_pylist()]
-        count = np.bincount(np.concatenate(got), minlength=len(names)) if got else np.zeros(len(names), np.int64)
-        some = np.flatnonzero(count)
-        return pa.RecordBatch.from_pydict({"f": pa.array(some, pa.int64()), "n": pa.array(count[some], pa.int64())})
-
-    n_docs = docs.count()
-    df = np.zeros(len(names))
-    for r in mapped(docs.select("text"), frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row a feature
-        df[r["f"]] = r["n"]
-    idf = np.log((2.0 + n_docs) / (1.0 + df))
-
-    def vectors_of(b: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = _vectors(names)
-        got = [vectors.of(t) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "f": lists([x for x, _ in got], pa.int32()), "tf": lists([x for _, x in got], pa.float64())})
-
-    rows = mapped(sample.select("doc_id", F.col("toxic").cast("bigint").alias("toxic"), "text"), vectors_of, "doc_id bigint, toxic bigint, f array<int>, tf array<double>").orderBy("doc_id").collect()
-    share = {k: shares[k] / n[k] for k in (True, False)}
-    bare = [r for r in rows if not r["f"]]
-    rows = [r for r in rows if r["f"]]
-    weigh = lambda r: share[r["toxic"] > 0]
-    bare_rate = (sum(weigh(r) for r in bare if r["toxic"] > 0) + 0.5) / (sum(map(weigh, bare)) + 1.0 + 0.5 * (not bare) * 20)
-    rows.sort(key=lambda r: (r["f"][int(np.argmax((1 + np.log(r["tf"])) * idf[r["f"]]))], r["doc_id"]))
-    dense = np.zeros((len(rows), len(names)), np.float32)
-    for k, r in enumerate(rows):
-        w = (1.0 + np.log(r["tf"])) * idf[r["f"]]
-        dense[k, r["f"]] = w / np.sqrt((w * w).sum())
-    blocks = -(-len(rows) // BLOCK)
-    block_max = np.array([dense[k * BLOCK : (k + 1) * BLOCK].max(axis=0) for k in range(blocks)], np.float32).reshape(blocks, len(names))
-    label = np.array([float(r["toxic"] > 0) for r in rows])
-    weight = np.array([weigh(r) for r in rows])
-    index = Index(idf, dense, block_max, label, weight, np.array([r["doc_id"] for r in rows], np.int64), np.array([0.0, 1.0]), np.array([0.0, 1.0]), float(bare_rate))
-    votes, own = [], []
-    for k, r in enumerate(rows):
-        ids = np.array(r["f"], np.int32)
-        found, cos = index.nearest(ids, index.unit(ids, np.array(r["tf"])), skip=k)
-        if len(found):
-            votes.append(index.vote(found, cos))
-            own.append(k)
-    if votes:
-        index.steps, index.rates = _monotone(np.array(votes), label[own], weight[own])
-    return names, index
-
-
-_held: dict[int, tuple[list[str], Vectors]] = {}
-
-
-def _vectors(names: list[str]) -> Vectors:
-    """This worker's Vectors for the list, with its table of known words."""
-    got = _held.get(id(names))
-    if got is None or got[0] is not names:
-        _held.clear()
-        got = _held[id(names)] = (names, Vectors(names))
-    return got[1]
+    vectors = materialize(_vectors(docs, names), "vectors")
+    toxic = got.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
+    size = np.array(pa.compute.list_value_length(got.column("f")).to_pylist(), np.int64)
+    number, n_features = flat("f").astype(np.int64), len(names)
+    owner, tf = np.repeat(np.arange(len(size)), size), flat("tf").astype(float)
+    in_docs, n_docs = _frequencies(vectors, n_features)
+    weight = np.log((2.0 + n_docs) / (1.0 + in_docs)) * _lean(number, toxic[owner], n_features, int(toxic.sum()), len(toxic))
+    w = (1.0 + np.log(tf)) * weight[number]
+    norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=len(size)))
+    w = np.divide(w, norm[owner], out=np.zeros_like(w), where=norm[owner] > 0)
+
+    share = {k: shares[k] / max(1.0, (toxic > 0).sum() if k else (toxic == 0).sum()) for k in (True, False)}
+    vote_weight = np.where(toxic > 0, share[True], share[False])
+    rate = float((vote_weight * toxic).sum() / vote_weight.sum())
+    bare = size == 0
+    bare_rate = float(((vote_weight * toxic)[bare].sum() + rate) / (vote_weight[bare].sum() + 1.0))
+
+    # examples in the order of their heaviest common feature, bare ones left out
+    count = np.bincount(number, minlength=n_features)
+    among = np.where(count[number] >= COMMON * len(size), w, 0.0)
+    last = np.lexsort((among, owner))[np.cumsum(size[~bare]) - 1]
+    kept = np.flatnonzero(~bare)
+    order = kept[np.argsort(number[last], kind="stable")]
+    new = np.full(len(size), -1, np.int64)
+    new[order] = np.arange(len(order))
+    by_list = np.lexsort((new[owner], number))
+    ends = np.concatenate([[0], np.cumsum(count)])
+    index = Index(weight, len(order), ends, new[owner][by_list].astype(np.int32), w[by_list].astype(np.float32), toxic[order], vote_weight[order], got.column("doc_id").to_numpy()[order], bare_rate)
+
+    def own_votes(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = index.nearest([index.unit(r) for r in _sparse(b)], COPY)
+        votes = [(index.vote(*x), t) for x, t in zip(own, b.column("toxic").to_pylist(), strict=True) if len(x[0])]
+        return pa.RecordBatch.from_pydict({"vote": pa.array([v for v, _ in votes], pa.float64()), "toxic": pa.array([t for _, t in votes], pa.bool_())})
+
+    votes = mapped(rows, own_votes, "vote double, toxic boolean").orderBy("vote", "toxic").toArrow()
+    if len(votes):
+        y = votes.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+        index.steps, index.rates = _monotone(votes.column("vote").to_numpy(), y, np.where(y > 0, share[True], share[False]))
+    return index, vectors
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples), a row a document."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    fitted = fit(rows.filter("doc_id is not null"), labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("bigint").alias("toxic")), examples)
+    fitted = fit(rows, labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("bigint").alias("toxic")), examples)
+    if fitted is None:
+        out = rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("evidence"))
+    else:
+        index, vectors = fitted
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        scores, evidence = [], []
-        for text in b.column("text").to_pylist():
-            s, ids = fitted[1].score(*_vectors(fitted[0]).of(text)) if fitted else (0.0, np.empty(0, np.int64))
-            scores.append(min(1.0, max(0.0, s)))
-            evidence.append(ids)
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(scores, pa.float64()), "evidence": lists(evidence, pa.int64())})
-
-    out = mapped(rows, run, "doc_id bigint, score double, evidence array<bigint>")
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            got = index.score(_sparse(b))
+            return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array([min(1.0, max(0.0, s)) for s, _ in got], pa.float64()), "evidence": lists([e for _, e in got], pa.int64())})
+
+        out = mapped(vectors, run, "doc_id bigint, score double, evidence array<bigint>")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

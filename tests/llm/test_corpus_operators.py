@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,17 +171,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.95
 
 
-def test_neighbours_are_exact(spark):
+def plain_features(text):
+    out = Counter()
+    for w in re.findall(r"[^\W_]+", (text or "").lower()):
+        out.update([w, *(w[:k] + "~" for k in (4, 5, 6) if len(w) > k)])
+    return out
+
+
+def test_neighbours_equal_brute_force_cosines(spark):
+    """Weights, unit vectors and cosines over all features, worked out from the texts alone."""
     rows = toxic_corpus(spark)
-    names, index = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
-    vectors = toxicity.Vectors(names)
-    for r in rows.limit(60).collect():
-        ids, tf = vectors.of(r["text"])
-        if len(ids):
-            w = index.unit(ids, tf)
-            every = index.dense[:, ids] @ w
-            want = np.sort(every[every > 1e-9])[::-1][: toxicity.NEIGHBOURS]
-            np.testing.assert_allclose(index.nearest(ids, w)[1], want, rtol=1e-5)
+    index, vectors = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    docs = {r["doc_id"]: r for r in rows.collect()}
+    used = [d for d in docs if zlib.crc32(str(d).encode()) % 3 != 1]
+    bags = {d: plain_features(r["text"]) for d, r in docs.items()}
+    names = sorted({f for d in used for f in bags[d]})
+    n_toxic = sum(docs[d]["toxic"] for d in used)
+    rate, weight = n_toxic / len(used), {}
+    df = Counter(f for b in bags.values() for f in b)
+    n_in, n_tox = Counter(f for d in used for f in bags[d]), Counter(f for d in used if docs[d]["toxic"] for f in bags[d])
+    for f in names:
+        n, k = n_in[f], n_tox[f]
+        z = abs(k - n * rate) / math.sqrt(n * rate * (1 - rate))
+        weight[f] = math.log((2 + len(docs)) / (1 + df[f])) * max(0.1, min(1.0, max(0.0, (z - 2) / 4)) * abs(k / n - rate))
+    np.testing.assert_allclose(index.weight, [weight[f] for f in names])
+
+    def unit(d):
+        w = {f: (1 + math.log(c)) * weight[f] for f, c in bags[d].items() if f in weight}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {f: x / size for f, x in w.items()}
+
+    examples = {d: unit(d) for d in used}
+    assert sorted(index.ids) == sorted(used)
+    given = {r["doc_id"]: (np.array(r["f"], np.int64), np.array(r["tf"], float)) for r in vectors.collect()}
+    order = sorted(docs)
+    for d, (found, cos) in zip(order, index.nearest([index.unit(given[x]) for x in order]), strict=True):
+        own = unit(d)
+        every = {e: sum(x * own.get(f, 0.0) for f, x in v.items()) for e, v in examples.items()}
+        np.testing.assert_allclose(cos, sorted((x for x in every.values() if x > 1e-6), reverse=True)[: toxicity.NEIGHBOURS], rtol=1e-4)
+        np.testing.assert_allclose([every[index.ids[x]] for x in found], cos, rtol=1e-4)
+
+
+def test_only_some_blocks_are_scored_and_copies_are_left_out(spark):
+    """Two vocabularies: the blocks of the other one are ruled out by their bounds. And one text under many ids is one example."""
+    rng = random.Random(1)
+    one, two = (["".join(rng.choice(c) for _ in range(3)) for _ in range(60)] for c in ("abc", "xyz"))
+    rows = [(i, " ".join(rng.choices(one if i % 2 else two, k=25)) + (" grim" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(900)]
+    rows += [(10_000 + i, "the same text each time", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index, vectors = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert sum(x >= 10_000 for x in index.ids) == 1
+    ids, tf = next((np.array(r["f"], np.int64), np.array(r["tf"], float)) for r in vectors.filter("doc_id = 10000").collect())
+    assert len(index.nearest([index.unit((ids, tf))], toxicity.COPY)[0][0]) == 0 or index.nearest([index.unit((ids, tf))], toxicity.COPY)[0][1].max() < toxicity.COPY
 
 
 def test_toxicity_odd_rows(spark, odd_docs):
@@ -187,3 +232,6 @@ def test_toxicity_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd_docs, labels).collect())
     assert toxicity.score(odd_docs.limit(0), labels).isEmpty()
+    texts = spark.createDataFrame([(1, "good day"), (1, "grim day"), (4, "grim"), (3, "fine day")], "doc_id long, text string")
+    both = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    assert toxicity.score(texts, both).count() == 4
