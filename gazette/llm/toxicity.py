@@ -123,11 +123,12 @@ class Vectors:
         return _summed(np.repeat(row, n), self.flat[_runs(np.cumsum(self.size)[piece] - n, n)], self.n, np.repeat(times, n))
 
 
-VECTORS = "f array<int>, tf array<int>"
+#: Steps from one feature number to the next, and how often each is in the text: small numbers.
+VECTORS = "step array<int>, tf array<int>"
 
 
 def _vectors(docs: DataFrame, names: list[str]) -> DataFrame:
-    """docs with f and tf, the numbers of the features in their texts and how often, in place of text."""
+    """docs with the vectors of their texts in place of text."""
     kept = [c for c in docs.columns if c != "text"]
     held: list[Vectors] = []
 
@@ -135,19 +136,22 @@ def _vectors(docs: DataFrame, names: list[str]) -> DataFrame:
         if not held:
             held.append(Vectors(names))
         row, f, tf = held[0].of(b.column("text").to_pylist())
-        ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
-        found = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (f, tf)]
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *found], names=[*kept, "f", "tf"])
+        ends = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+        step = np.diff(f, prepend=0)
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        step[first] = f[first]
+        found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (step, tf)]
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *found], names=[*kept, "step", "tf"])
 
     return mapped(docs, run, ", ".join([*[f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept], VECTORS]))
 
 
 def _sparse(b: pa.RecordBatch) -> list[Sparse]:
     """The vectors of a batch."""
-    f, tf = b.column("f"), b.column("tf")
-    ends = f.offsets.to_numpy()
-    ids, times = f.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(float)
-    return [(ids[i:j], times[i:j]) for i, j in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+    times, step = b.column("tf").flatten().to_numpy().astype(float), b.column("step").flatten().to_numpy()
+    ends = b.column("step").offsets.to_numpy()
+    ends = ends - ends[0]
+    return [(np.cumsum(step[i:j], dtype=np.int64), times[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -276,7 +280,7 @@ def _unpacked(index: Index) -> tuple[np.ndarray, ...]:
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators fit of y on x; each step is drawn half an example towards 0.5."""
-    order = np.argsort(x, kind="stable")
+    order = np.lexsort((y, x))
     pools: list[list[float]] = []  # weighted sum, weight, sum of x times weight
     for i in order:
         pools.append([y[i] * w[i], w[i], x[i] * w[i]])
@@ -319,12 +323,14 @@ def _frequencies(vectors: DataFrame, n_features: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, n = np.zeros(n_features, np.int64), 0
         for b in batches:
-            count += np.bincount(b.column("f").flatten().to_numpy(), minlength=n_features)
-            n += b.num_rows
+            for at in range(0, b.num_rows, CHUNK_ROWS):
+                rows = _sparse(b.slice(at, CHUNK_ROWS))
+                count += np.bincount(np.concatenate([f for f, _ in rows]), minlength=n_features)
+                n += len(rows)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_pydict({"f": pa.array([-1, *some.tolist()], pa.int64()), "n": pa.array([n, *count[some].tolist()], pa.int64())})
 
-    got = vectors.select("f").mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    got = vectors.select("step", "tf").mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     f, n = got.column("f").to_numpy(), got.column("n").to_numpy()
     out = np.zeros(n_features, np.int64)
     out[f[f >= 0]] = n[f >= 0]
@@ -333,7 +339,7 @@ def _frequencies(vectors: DataFrame, n_features: int) -> tuple[np.ndarray, int]:
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> tuple[Index, DataFrame] | None:
     """docs: doc_id, text; labels: doc_id, toxic, of which held-out rows are not used. Gives the
-    index, and doc_id, f and tf of all docs, whose texts are read once for both uses."""
+    index, and the vectors of all docs by doc_id, whose texts are read once for both uses."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     drawn, shares = _drawn(docs, usable, examples, chars)
     sample = docs.withColumn("copy", F.xxhash64("text")).join(F.broadcast(drawn), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy", "toxic"])  # at most 2 * examples rows
@@ -347,15 +353,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int
     names = sorted(r["f"] for r in mapped(sample.select("text"), occurring, "f string").distinct().toLocalIterator())  # bounded by examples and chars
 
     rows = materialize(_vectors(sample, names), "examples")
-    got = rows.orderBy("doc_id", "toxic", F.xxhash64("f", "tf")).toArrow().combine_chunks()  # so is this
+    got = rows.orderBy("doc_id", "toxic", F.xxhash64("step", "tf")).toArrow().combine_chunks()  # so is this
     if len(set(got.column("toxic").to_pylist())) < 2:
         return None
-    vectors = materialize(_vectors(docs, names), "vectors")
+    vectors = materialize(_vectors(docs, names), "vectors", "zstd")
     toxic = got.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
-    size = np.array(pa.compute.list_value_length(got.column("f")).to_pylist(), np.int64)
-    number, n_features = flat("f").astype(np.int64), len(names)
-    owner, tf = np.repeat(np.arange(len(size)), size), flat("tf").astype(float)
+    given = [v for b in got.to_batches() for v in _sparse(b)]
+    size, n_features = np.array([len(f) for f, _ in given]), len(names)
+    number, tf = (np.concatenate(x) for x in zip(*given, strict=True))
+    owner = np.repeat(np.arange(len(size)), size)
     in_docs, n_docs = _frequencies(vectors, n_features)
     weight = np.log((2.0 + n_docs) / (1.0 + in_docs)) * _lean(number, toxic[owner], n_features, int(toxic.sum()), len(toxic))
     w = (1.0 + np.log(tf)) * weight[number]
@@ -385,10 +391,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int
         votes = [(index.vote(*x), t) for x, t in zip(own, b.column("toxic").to_pylist(), strict=True) if len(x[0])]
         return pa.RecordBatch.from_pydict({"vote": pa.array([v for v, _ in votes], pa.float64()), "toxic": pa.array([t for _, t in votes], pa.bool_())})
 
-    votes = mapped(rows, own_votes, "vote double, toxic boolean").orderBy("vote", "toxic").toArrow()
+    votes = mapped(rows, own_votes, "vote double, toxic boolean").toArrow()
     if len(votes):
-        y = votes.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-        index.steps, index.rates = _monotone(votes.column("vote").to_numpy(), y, np.where(y > 0, share[True], share[False]))
+        x, y = votes.column("vote").to_numpy(), votes.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+        index.steps, index.rates = _monotone(x, y, np.where(y > 0, share[True], share[False]))
     return index, vectors
 
 

@@ -203,7 +203,7 @@ def test_neighbours_equal_brute_force_cosines(spark):
 
     examples = {d: unit(d) for d in used}
     assert sorted(index.ids) == sorted(used)
-    given = {r["doc_id"]: (np.array(r["f"], np.int64), np.array(r["tf"], float)) for r in vectors.collect()}
+    given = {r["doc_id"]: (np.cumsum(r["step"]), np.array(r["tf"], float)) for r in vectors.collect()}
     order = sorted(docs)
     for d, (found, cos) in zip(order, index.nearest([index.unit(given[x]) for x in order]), strict=True):
         own = unit(d)
@@ -221,7 +221,7 @@ def test_only_some_blocks_are_scored_and_copies_are_left_out(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     index, vectors = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert sum(x >= 10_000 for x in index.ids) == 1
-    ids, tf = next((np.array(r["f"], np.int64), np.array(r["tf"], float)) for r in vectors.filter("doc_id = 10000").collect())
+    ids, tf = next((np.cumsum(r["step"]), np.array(r["tf"], float)) for r in vectors.filter("doc_id = 10000").collect())
     assert len(index.nearest([index.unit((ids, tf))], toxicity.COPY)[0][0]) == 0 or index.nearest([index.unit((ids, tf))], toxicity.COPY)[0][1].max() < toxicity.COPY
 
 
