@@ -57,8 +57,10 @@ COMMON = 0.0625
 #: Least lean of a feature; standard errors from which a lean counts, and over which it rises to 1.
 FLOOR, LEAN_FROM, LEAN_OVER = 0.1, 2.0, 4.0
 COPY = 0.9
+#: Queries that go through the index together.
+TOGETHER = 128
 #: Pieces of text that a worker knows; emptied at this size.
-PIECES = 250_000
+PIECES = 100_000
 WORD = re.compile(r"[^\W_]+")
 #: Letters of a longer word that make a feature of its own, in rising order.
 BEGINNINGS = (4, 5, 6)
@@ -72,30 +74,20 @@ def features(word: str) -> list[str]:
 
 
 class _Table(dict):
-    """Number of each piece of text between white space; read(piece) gives the features of a new one."""
+    """Number of each piece of text between white space, and in entries the features of each."""
 
-    def __init__(self, read: Callable[[str], list[int]]) -> None:
+    def __init__(self, number: dict[str, int]) -> None:
         super().__init__()
-        self.read = read
+        self.number = number
         self.entries: list[list[int]] = []
 
     def __missing__(self, piece: str) -> int:
         at = self[piece] = len(self.entries)
-        self.entries.append(self.read(piece))
+        self.entries.append(self.read(piece.lower()))
         return at
 
-
-class Vectors:
-    """Turns texts into (feature numbers, term frequencies) over a list of features."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.n = len(names)
-        self.number = {f: i for i, f in enumerate(names)}
-        self.table = _Table(self._read)
-        self.size = self.flat = np.empty(0, np.int64)
-
-    def _read(self, piece: str) -> list[int]:
-        piece, number, found = piece.lower(), self.number, []
+    def read(self, piece: str) -> list[int]:
+        number, found = self.number, []
         for w in (piece,) if piece.isalnum() else WORD.findall(piece):  # isalnum: one word
             if w in number:
                 found.append(number[w])
@@ -106,6 +98,15 @@ class Vectors:
                 found.append(number[f])
         return found
 
+
+class Vectors:
+    """Turns texts into (feature numbers, term frequencies) over a list of features."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.n = len(names)
+        self.table = _Table({f: i for i, f in enumerate(names)})
+        self.size = self.flat = np.empty(0, np.int64)
+
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, how often) of the texts, in that order."""
         table = self.table
@@ -196,7 +197,7 @@ class Index:
 
     def unpacked(self) -> tuple[np.ndarray, ...]:
         """place of a feature among the common ones (-1: none), common lists as example x feature,
-        the largest weight of each block of them, and the lists as wide numbers."""
+        and the largest weight of each block of them."""
         size = np.diff(self.ends)
         common = np.flatnonzero(size >= max(2.0, COMMON * self.n))
         place = np.full(len(self.weight), -1, np.int64)
@@ -205,7 +206,7 @@ class Index:
         dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
         for k, f in enumerate(common):
             dense[self.examples[self.ends[f] : self.ends[f + 1]], k] = self.weights[self.ends[f] : self.ends[f + 1]]
-        return place, dense, dense.reshape(blocks, BLOCK, len(common)).max(axis=1), self.examples.astype(np.int64), self.weights.astype(np.float64)
+        return place, dense, dense.reshape(blocks, BLOCK, len(common)).max(axis=1)
 
     def unit(self, row: Sparse) -> Sparse:
         ids, tf = row
@@ -218,7 +219,9 @@ class Index:
         and their cosines (only those over 0)."""
         if not rows or not self.n:
             return [(np.empty(0, np.int64), np.empty(0))] * len(rows)
-        place, dense, tops, examples, weights = _unpacked(self)
+        if len(rows) > TOGETHER:
+            return [x for at in range(0, len(rows), TOGETHER) for x in self.nearest(rows[at : at + TOGETHER], most)]
+        place, dense, tops = _unpacked(self)
         blocks = len(tops)
         cos = np.zeros((len(rows), blocks * BLOCK), np.float32)
         query = np.zeros((len(rows), dense.shape[1]), np.float32)
@@ -228,7 +231,7 @@ class Index:
             rare, own = ids[at < 0], w[at < 0]
             size = self.ends[rare + 1] - self.ends[rare]
             got = _runs(self.ends[rare], size)
-            cos[k] = np.bincount(examples[got], weights=weights[got] * np.repeat(own, size), minlength=blocks * BLOCK)
+            cos[k] = np.bincount(self.examples[got], weights=self.weights[got] * np.repeat(own, size), minlength=blocks * BLOCK)
         bound = query @ tops.T + cos.reshape(len(rows), blocks, BLOCK).max(axis=2)
         scored = np.zeros((len(rows), blocks), bool)
 
@@ -356,17 +359,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int
     got = rows.orderBy("doc_id", "toxic", F.xxhash64("step", "tf")).toArrow().combine_chunks()  # so is this
     if len(set(got.column("toxic").to_pylist())) < 2:
         return None
+    toxic, doc_ids = got.column("toxic").to_numpy(zero_copy_only=False).astype(float), got.column("doc_id").to_numpy()
     vectors = materialize(_vectors(docs, names), "vectors", "zstd")
-    toxic = got.column("toxic").to_numpy(zero_copy_only=False).astype(float)
     given = [v for b in got.to_batches() for v in _sparse(b)]
     size, n_features = np.array([len(f) for f, _ in given]), len(names)
-    number, tf = (np.concatenate(x) for x in zip(*given, strict=True))
-    owner = np.repeat(np.arange(len(size)), size)
+    number, tf = np.concatenate([f for f, _ in given]).astype(np.int32), np.concatenate([t for _, t in given]).astype(np.float32)
+    del got, given
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     in_docs, n_docs = _frequencies(vectors, n_features)
     weight = np.log((2.0 + n_docs) / (1.0 + in_docs)) * _lean(number, toxic[owner], n_features, int(toxic.sum()), len(toxic))
-    w = (1.0 + np.log(tf)) * weight[number]
+    w = (1.0 + np.log(tf)) * weight.astype(np.float32)[number]
     norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=len(size)))
-    w = np.divide(w, norm[owner], out=np.zeros_like(w), where=norm[owner] > 0)
+    w /= np.where(norm > 0, norm, 1.0).astype(np.float32)[owner]
 
     share = {k: shares[k] / max(1.0, (toxic > 0).sum() if k else (toxic == 0).sum()) for k in (True, False)}
     vote_weight = np.where(toxic > 0, share[True], share[False])
@@ -376,15 +380,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int
 
     # examples in the order of their heaviest common feature, bare ones left out
     count = np.bincount(number, minlength=n_features)
-    among = np.where(count[number] >= COMMON * len(size), w, 0.0)
-    last = np.lexsort((among, owner))[np.cumsum(size[~bare]) - 1]
+    common = np.flatnonzero(count[number] >= COMMON * len(size))
+    common = common[np.argsort(w[common], kind="stable")]
+    heaviest = np.zeros(len(size), np.int64)
+    heaviest[owner[common]] = number[common] + 1  # the last one written, the heaviest, stays
     kept = np.flatnonzero(~bare)
-    order = kept[np.argsort(number[last], kind="stable")]
-    new = np.full(len(size), -1, np.int64)
-    new[order] = np.arange(len(order))
-    by_list = np.lexsort((new[owner], number))
+    order = kept[np.argsort(heaviest[kept], kind="stable")]
+    new = np.full(len(size), -1, np.int32)
+    new[order] = np.arange(len(order), dtype=np.int32)
+    by_list = np.argsort(number.astype(np.int64) * len(size) + new[owner], kind="stable")
     ends = np.concatenate([[0], np.cumsum(count)])
-    index = Index(weight, len(order), ends, new[owner][by_list].astype(np.int32), w[by_list].astype(np.float32), toxic[order], vote_weight[order], got.column("doc_id").to_numpy()[order], bare_rate)
+    index = Index(weight, len(order), ends, new[owner[by_list]], w[by_list], toxic[order], vote_weight[order], doc_ids[order], bare_rate)
+
+    del number, tf, owner, w, by_list, common
 
     def own_votes(b: pa.RecordBatch) -> pa.RecordBatch:
         own = index.nearest([index.unit(r) for r in _sparse(b)], COPY)
