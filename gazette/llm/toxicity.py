@@ -35,9 +35,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import CHUNK_ROWS, lists, mapped, materialize
 
-EXAMPLES = 3000
-EXAMPLE_CHARS = 24_000_000
+EXAMPLES = 2000
+EXAMPLE_CHARS = 16_000_000
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks of a query that are scored before the rest is ruled out.
@@ -60,8 +60,10 @@ COPY = 0.9
 #: Queries that go through the index together.
 TOGETHER = 128
 #: Pieces of text that a worker knows; emptied at this size.
-PIECES = 100_000
+PIECES = 200_000
 WORD = re.compile(r"[^\W_]+")
+#: Marks at the ends of a piece that are no part of a word.
+OUTER = ".,;:!?\"'()[]{}#$%&*|_"
 #: Letters of a longer word that make a feature of its own, in rising order.
 BEGINNINGS = (4, 5, 6)
 
@@ -73,53 +75,52 @@ def features(word: str) -> list[str]:
     return [word, *[word[:k] + "~" for k in BEGINNINGS if len(word) > k]]
 
 
-class _Table(dict):
-    """Number of each piece of text between white space, and in entries the features of each."""
-
-    def __init__(self, number: dict[str, int]) -> None:
-        super().__init__()
-        self.number = number
-        self.entries: list[list[int]] = []
-
-    def __missing__(self, piece: str) -> int:
-        at = self[piece] = len(self.entries)
-        self.entries.append(self.read(piece.lower()))
-        return at
-
-    def read(self, piece: str) -> list[int]:
-        number, found = self.number, []
-        for w in (piece,) if piece.isalnum() else WORD.findall(piece):  # isalnum: one word
-            if w in number:
-                found.append(number[w])
-            for k in BEGINNINGS:
-                f = w[:k] + "~"
-                if len(w) <= k or f not in number:
-                    break  # nor can a longer beginning be known
-                found.append(number[f])
-        return found
-
-
 class Vectors:
     """Turns texts into (feature numbers, term frequencies) over a list of features."""
 
     def __init__(self, names: list[str]) -> None:
         self.n = len(names)
-        self.table = _Table({f: i for i, f in enumerate(names)})
+        self.words: dict[str, int] = {}
+        self.starts: dict[int, dict[str, int]] = {k: {} for k in BEGINNINGS}
+        for i, f in enumerate(names):
+            if f.endswith("~"):
+                self.starts[len(f) - 1][f[:-1]] = i
+            else:
+                self.words[f] = i
+        # pieces between white space met so far, and the features of each: flat[ends[k - 1] : ends[k]]
+        self.pieces: dict[str, int] = {}
         self.size = self.flat = np.empty(0, np.int64)
 
+    def _read(self, pieces: list[str]) -> None:
+        words = [p.lower().strip(OUTER) for p in pieces]
+        one = np.fromiter(map(str.isalnum, words), bool, len(words))  # isalnum: one word
+        owner = np.arange(len(words))
+        if not one.all():
+            parts = [WORD.findall(words[k]) for k in np.flatnonzero(~one)]
+            owner = np.concatenate([owner[one], np.repeat(owner[~one], [len(x) for x in parts])])
+            words = [*compress(words, one), *chain.from_iterable(parts)]
+            order = np.argsort(owner, kind="stable")
+            owner, words = owner[order], [words[k] for k in order]
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        found = np.full((len(words), 1 + len(BEGINNINGS)), -1, np.int64)
+        found[:, 0] = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        for c, k in enumerate(BEGINNINGS, 1):
+            start = np.fromiter(map(self.starts[k].get, [w[:k] for w in words], repeat(-1)), np.int64, len(words))
+            found[:, c] = np.where(length > k, start, -1)
+        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
+        self.flat = np.concatenate([self.flat, found[found >= 0]])
+        self.size = np.concatenate([self.size, np.bincount(owner, weights=(found >= 0).sum(axis=1), minlength=len(pieces)).astype(np.int64)])
+
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, how often) of the texts, in that order."""
-        table = self.table
-        if len(table) > PIECES:
-            table.clear()
-            table.entries.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
             self.size = self.flat = np.empty(0, np.int64)
-        got = [np.fromiter(map(table.__getitem__, t.split()), np.int64) if t else np.empty(0, np.int64) for t in texts]
-        new = table.entries[len(self.size) :]
-        size = np.array([len(e) for e in new], np.int64)
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int64, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
-        row, piece, times = _summed(np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got) if got else np.empty(0, np.int64), len(self.size))
+        split = [t.split() if t else [] for t in texts]
+        self._read([p for p in set(chain.from_iterable(split)) if p not in self.pieces])
+        number = self.pieces.__getitem__
+        n = [len(x) for x in split]
+        row, piece, times = _summed(np.repeat(np.arange(len(n)), n), np.fromiter(map(number, chain.from_iterable(split)), np.int64, sum(n)), len(self.size))
         n = self.size[piece]
         return _summed(np.repeat(row, n), self.flat[_runs(np.cumsum(self.size)[piece] - n, n)], self.n, np.repeat(times, n))
 
