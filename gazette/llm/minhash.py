@@ -20,10 +20,10 @@
 Bottom-k of size 64 misses a link of similarity exactly 0.8 with a probability of about 1e-7.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked with nothing;
-its component is itself. A text with fewer words than a shingle is one shingle. doc_id is
-taken as a key: repeated rows get the same result each, and rows of one doc_id with different texts
-are judged each by its own set. A row with a null doc_id is linked with nothing,
-and has a null component and kept false. An empty table gives an empty result. Only the id and
+its component is itself. A text with fewer words than a shingle is one shingle. Repeated rows get
+the same result each; rows of one doc_id with different texts are classes of their own, linked each
+by its own set. A row with a null doc_id is linked with nothing, and has a null component and kept
+false. ``survivors`` goes by rows: of the rows of a group one stays, also where a doc_id repeats. An empty table gives an empty result. Only the id and
 text columns are read.
 """
 
@@ -84,6 +84,8 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and t (digest of the text) with the size, digest and sketch of the text's set."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, h1, h2, sketches = [], [], [], []
         for text in b.column("text").to_pylist():
@@ -93,23 +95,24 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
             h1.append(a)
             h2.append(c)
             sketches.append(x[:K].copy())
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "sketch": lists(sketches, pa.int64())})
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "sketch": lists(sketches, pa.int64())})
 
-    return mapped(docs, run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
+    return mapped(docs.withColumn("t", F.xxhash64("text")), run, "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(cls, members): the full sets of the documents in nodes (cls). A Bloom filter of the ids is
-    applied where the texts are read, so no text is shuffled."""
-    held = bitmap(nodes, "cls")
+    """(cls, members): the full sets of the texts that stand for nodes (cls, doc_id, t). A Bloom
+    filter of the ids is applied where the texts are read, so no text is shuffled."""
+    held = bitmap(nodes, "doc_id")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         b = b.filter(pa.compute.is_valid(b.column("doc_id")))
         b = b.filter(pa.array(in_bitmap(held, b.column("doc_id").to_numpy())))
-        sets = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"cls": b.column("doc_id"), "members": lists(sets, pa.int64())})
+        sets = [shingle_hashes(x, size) for x in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "t": b.column("t"), "members": lists(sets, pa.int64())})
 
-    return mapped(docs, run, "cls bigint, members array<bigint>").join(nodes, "cls", "left_semi")
+    sets = mapped(docs.withColumn("t", F.xxhash64("text")), run, "doc_id bigint, t bigint, members array<bigint>")
+    return sets.join(nodes, ["doc_id", "t"]).dropDuplicates(["cls"]).select("cls", "members")
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -185,22 +188,31 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, pe
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").withColumn("u", least).filter(near).select("a", "b")
     likely = materialize(likely, "likely")
     nodes = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-    sets = materialize(_full_sets(docs, materialize(nodes, "nodes"), size), "sets")
+    sets = materialize(_full_sets(docs, materialize(nodes.join(reps.select("cls", "doc_id", "t"), "cls"), "nodes"), size), "sets")
     full = lambda c: sets.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}"))
     both = F.size(F.array_intersect("ma", "mb"))
     linked = both * 100 >= (F.size("ma") + F.size("mb") - both) * percent
     return likely.join(full("a"), "a").join(full("b"), "b").filter(linked).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id that can be reached
-    by links of at least percent % Jaccard similarity on shingles of size words) and kept."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """rows: doc_id, text. Gives doc_id, t, n, grp (the same for rows that links connect; null without
+    a set or a doc_id) and component (the smallest doc_id of the group)."""
     drawn = materialize(_sketched(rows, size), "sketches")
     some = drawn.filter("n > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = some.join(classes.select("h1", "h2", F.col("cls").alias("doc_id")), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("cls"), "n", "sketch")
-    reps = materialize(reps.dropDuplicates(["cls", "n"]), "reps")
+    first = F.min(F.struct("doc_id", "t")).alias("first")
+    classes = some.groupBy("h1", "h2", "n").agg(first, F.count(F.lit(1)).alias("copies")).select("h1", "h2", "n", "copies", "first.*")
+    classes = materialize(classes.withColumn("cls", F.col("doc_id")), "classes")
+    # where texts of one doc_id differ, classes after the first get a number of their own
+    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("h1", "h2", "n")).alias("own")).filter("k > 1")
+    again = materialize(again.select("doc_id", "own"), "again")
+    several = not again.isEmpty()
+    if several:
+        number = F.shiftrightunsigned(F.xxhash64("doc_id", "h1", "h2", "n"), 2) + F.lit(1 << 62)
+        other = F.col("own").isNotNull() & (F.struct("h1", "h2", "n") != F.col("own"))
+        classes = materialize(classes.join(again, "doc_id", "left").withColumn("cls", F.when(other, number).otherwise(F.col("doc_id"))).drop("own"), "classes")
+    reps = some.select("doc_id", "t", "sketch").join(classes, ["doc_id", "t"]).select("cls", "doc_id", "t", "n", "sketch")
+    reps = materialize(reps.dropDuplicates(["cls"]), "reps")
 
     def relisted(listed: DataFrame, comp: DataFrame | None) -> DataFrame:
         return materialize(_open_lists(_labelled(listed.select("v", "cls", "n", "alone", "at"), comp)), "open")
@@ -219,7 +231,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     rest = relisted(rest, comp)
     pairs = _all_pairs(rest.filter(F.col("size") <= SHORT), False, percent)
-    crowded = materialize(rest.filter(F.col("size") > SHORT).select("cls").distinct(), "crowded")
+    crowded = rest.filter(F.col("size") > SHORT).select("cls").distinct()
+    crowded = materialize(crowded.join(reps.select("cls", "doc_id", "t"), "cls"), "crowded")
     sets = _full_sets(rows, crowded, size)
     values = materialize(sets.select("cls", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("v")), "values")
     exact = materialize(_rare_lists(values, n, F.floor(n * (100 - percent) / 100) + 1), "exact")
@@ -229,7 +242,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rest = relisted(rest, comp)
     comp = joined(comp, _all_pairs(rest, True, percent))
 
-    several = materialize(classes.filter("copies > 1").select("h1", "h2", "n", "cls"), "several")
-    own = drawn.select("doc_id", "n", "h1", "h2").join(several, ["h1", "h2", "n"], "left").withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")))
-    final = own.join(comp, F.col("cls") == F.col("node"), "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "cls")).otherwise(F.col("doc_id")))
-    return final.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    comp = materialize(comp.withColumnRenamed("component", "grp"), "groups")
+    if several:
+        met = comp.select("node", "grp").union(comp.select(F.col("grp").alias("node"), "grp")).distinct()
+        least = met.join(reps.select("cls", "doc_id"), F.col("node") == F.col("cls")).groupBy("grp").agg(F.min("doc_id").alias("component"))
+        comp = comp.join(least, "grp")
+    else:
+        comp = comp.withColumn("component", F.col("grp"))
+    named = materialize(classes.filter("copies > 1 or cls <> doc_id").select("h1", "h2", "n", "cls", F.col("doc_id").alias("least")), "named")
+    own = drawn.select("doc_id", "t", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    own = own.withColumn("cls", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("cls", "doc_id")))
+    heads = comp.select("grp", F.col("component").alias("head")).distinct()
+    out = own.join(comp, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("grp", "cls"))
+    if several:  # the class that names a group has no row in comp
+        out = out.join(heads, "grp", "left")
+    else:
+        out = out.withColumn("head", F.lit(None).cast("bigint"))
+    return out.select("doc_id", "t", "n", "grp", F.coalesce("component", "head", "least", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id that can be reached
+    by links of at least percent % Jaccard similarity on shingles of size words) and kept."""
+    found = _grouped(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text and more) without all rows but one of each group of near-duplicates: the
+    row with the smallest doc_id stays, whatever its other rows. Rows without words or id all stay."""
+    found = _grouped(docs.select("doc_id", "text"), size, percent).filter("grp is not null")
+    texts = materialize(found.groupBy("grp", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows")), "group_rows")
+    groups = texts.groupBy("grp").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("grp", "first")
+    placed = texts.join(groups, "grp", "left")
+    stays = F.col("first").isNull() | (F.struct("doc_id", "t") == F.col("first"))
+    gone = materialize(placed.filter(~stays).select("doc_id", "t").distinct(), "gone")
+    repeated = materialize(placed.filter(stays & (F.col("rows") > 1)).select("doc_id", "t"), "repeated")
+    keyed = docs.withColumn("t", F.xxhash64("text"))
+    left = keyed.join(gone, ["doc_id", "t"], "left_anti")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(repeated, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+    return left.join(repeated, ["doc_id", "t"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

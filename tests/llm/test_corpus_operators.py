@@ -69,6 +69,31 @@ def test_near_duplicates_odd_rows(odd_docs):
     assert minhash.near_duplicates(odd_docs.limit(0), 5, 80).isEmpty()
 
 
+X, Y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+
+
+def test_texts_of_one_id_are_classes_of_their_own(spark):
+    rows = [(5, X), (5, Y), (6, X + " more"), (7, Y + " more"), (8, Y + " other"), (9, "alone"), (9, "alone"), (9, "also alone here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 9), (9, 9), (9, 9)]
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_one_row_of_each_group_survives(spark, size):
+    rows = [(1, X, "a"), (1, X, "b"), (3, "a text of its own", "c"), (3, X, "d"), (4, X + " more", "e"), (5, Y, "f"), (5, Z := Y + " z", "g"), (2, Z, "h"), (6, None, "i"), (6, "", "j"), (None, X, "k")]
+    left = minhash.survivors(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3), size, 80)
+    assert left.columns == ["doc_id", "text", "more"]
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(got, key=repr) == sorted([(1, X), (3, "a text of its own"), (2, Z), (6, None), (6, ""), (None, X)], key=repr)
+
+
+def test_survivors_equal_brute_force(spark):
+    texts = near_corpus(7)
+    want, sizes = brute_components(texts, 5, 80)
+    left = minhash.survivors(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 5, 80)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d in texts if want[d] == d)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
