@@ -21,9 +21,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of five-word-shingle near-duplicates."""
-    dropped = minhash.near_duplicates(docs, size=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of five-word-shingle near-duplicates: that of the smallest doc_id."""
+    return minhash.survivors(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
