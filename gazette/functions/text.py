@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Texts that mean "not known".
 UNKNOWN = ("tba", "tbd", "n/a", "na", "none", "null", "unknown", "not listed", "not specified", "not provided", "-")
 #: Words that carry no identity in a title.
-STOP_WORDS = ("the", "a", "an", "of", "and", "for", "in", "on", "at", "to", "hackathon", "challenge", "event", "contest", "online")
+STOP_WORDS = ("the", "of", "and", "by", "at", "edition", "annual", "hackathon", "hack", "challenge", "online", "university", "college", "institute", "technology")
+#: Short forms in the names of organizers.
+SHORT_FORMS = {"univ": "university", "inst": "institute", "tech": "technology"}
 
 
 def clean(text: Column, limit: int = 500) -> Column:
@@ -63,10 +65,23 @@ def search_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "(?U)[^\\w\\s]", " "), "\\s+", " "))
 
 
-def title_tokens(text: Column, most: int = 12) -> Column:
-    """Distinct informative words of a title, sorted, up to most of them."""
-    words = F.split(search_form(text), " ")
-    return F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$")))), 1, most)
+def words_of(text: Column) -> Column:
+    """The words of a text (letters and digits of any script) in lower case, as an array."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)[^\\W_]+"), F.lit(0))
+
+
+def identity_form(text: Column, organizer: bool = False) -> Column:
+    """For comparing: the words joined by one space; short forms of organizers written out."""
+    words = words_of(text)
+    if organizer:
+        long = F.create_map(*[F.lit(x) for pair in SHORT_FORMS.items() for x in pair])
+        words = F.transform(words, lambda w: F.coalesce(F.try_element_at(long, w), w))
+    return F.array_join(words, " ")
+
+
+def title_tokens(form: Column, most: int = 12) -> Column:
+    """Distinct informative words of an identity_form, sorted, up to most of them."""
+    return F.slice(F.array_sort(F.array_distinct(F.filter(F.split(form, " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$")))), 1, most)
 
 
 def clean_tags(tags: Column, most: int = 40) -> Column:

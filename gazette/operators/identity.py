@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from gazette.functions.dates import day_bucket
-from gazette.functions.text import search_form, title_tokens
+from gazette.functions.text import identity_form, search_form, title_tokens
 
 CANDIDATE_CAP = 100
 MATCH_SCORE, REVIEW_SCORE, NEAR_TIE = 91.0, 65.0, 5.0
+#: Tiers of candidates, in the order they are tried: shared URLs and platform ids, organizer and
+#: window, title and window, organizer and title word.
+EXACT, BY_ORGANIZER, BY_TITLE, BY_WORD = 0, 1, 2, 3
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """rows (id, title, organizer, day, format) with normalized title and organizer, and tokens."""
-    return rows.select("id", search_form(F.col("title")).alias("title"), search_form(F.col("organizer")).alias("organizer"), title_tokens(F.col("title")).alias("tokens"), "day", "format")
+    """rows (id, title, organizer, day, registration_day, format, location, urls array<string>,
+    source_ids array<string> of the form "platform|id") brought to the forms that are compared."""
+    title, organizer = identity_form(F.col("title")), identity_form(F.col("organizer"), organizer=True)
+    own_years = F.array_distinct(F.regexp_extract_all(title, F.lit("\\b(?:19|20|21)[0-9]{2}\\b"), F.lit(0)))
+    day_year = F.date_format("day", "yyyy")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "id",
+        title.alias("title"),
+        organizer.alias("organizer"),
+        title_tokens(title).alias("tokens"),
+        title_tokens(organizer).alias("organizer_tokens"),
+        "day",
+        "registration_day",
+        F.when(F.size(own_years) > 0, own_years).when(F.col("day").isNotNull(), F.array(day_year)).otherwise(none).alias("years"),
+        ((F.size(own_years) > 1) | ((F.size(own_years) > 0) & F.coalesce(~F.array_contains(own_years, day_year), F.lit(False)))).alias("conflicted"),
+        F.array_sort(F.array_except(F.regexp_extract_all(title, F.lit("[0-9]+"), F.lit(0)), own_years)).alias("numbers"),
+        identity_form(F.col("location")).alias("location"),
+        "format",
+        F.coalesce("urls", none).alias("urls"),
+        F.coalesce("source_ids", none).alias("source_ids"),
+    )
 
 
 def edition_key(title: Column, organizer: Column, day: Column, format: Column, place: Column) -> Column:
@@ -27,33 +50,45 @@ def edition_key(title: Column, organizer: Column, day: Column, format: Column, p
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """(id, tier, block): organizer and window (tier 1), title pair and window (2), organizer and
-    token (3). A window is a bucket of 14 days or one beside it."""
-    near = F.sequence(day_bucket(F.col("day")) - 1, day_bucket(F.col("day")) + 1)
+    """(id, tier, block) of profiles. A window is a bucket of 14 days or one beside it; a title with
+    one informative word is blocked by that word, others by the pairs of their first eight."""
+    day = F.coalesce("day", "registration_day")
+    near = F.sequence(day_bucket(day) - 1, day_bucket(day) + 1)
     first = F.slice("tokens", 1, 8)
     pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.lit(8)), lambda b: F.concat_ws("+", a, b))))
+    titles = F.when(F.size("tokens") > 1, pairs).otherwise(first)
     one = lambda tier, prefix, keys: F.transform(keys, lambda k: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit(prefix), k).alias("block")))
     by_day = lambda tier, prefix, keys: F.flatten(F.transform(near, lambda w: one(tier, prefix, F.transform(keys, lambda k: F.concat_ws("@", k, w.cast("string"))))))
+    named, none = F.col("organizer") != "", F.array().cast("array<struct<tier:int,block:string>>")
     keys = F.concat(
-        F.coalesce(by_day(1, "o:", F.array("organizer")), F.array()),
-        F.coalesce(by_day(2, "t:", pairs), F.array()),
-        one(3, "ot:", F.transform("tokens", lambda t: F.concat_ws("+", "organizer", t))),
+        one(EXACT, "u:", F.col("urls")),
+        one(EXACT, "s:", F.col("source_ids")),
+        F.coalesce(F.when(named, by_day(BY_ORGANIZER, "o:", F.array("organizer"))), none),
+        F.coalesce(by_day(BY_TITLE, "t:", titles), none),
+        F.when(named, one(BY_WORD, "ot:", F.transform("tokens", lambda t: F.concat_ws("+", "organizer", t)))).otherwise(none),
     )
     return rows.select("id", F.explode(F.array_distinct(keys)).alias("k")).select("id", "k.tier", "k.block")
 
 
-def candidate_pairs(rows: DataFrame, cap: int = CANDIDATE_CAP) -> tuple[DataFrame, DataFrame]:
-    """(left_id, right_id, tier) for ids that share a block, each pair once with its lowest tier; and
-    the ids that abstain because a block of theirs is over the cap. Crowded blocks leave before the
-    self-join, so no block emits more than cap * cap / 2 pairs; their members are reported, not lost."""
-    keyed = blocks(rows)
-    sizes = keyed.groupBy("tier", "block").agg(F.count(F.lit(1)).alias("size"))
-    held = keyed.join(sizes, ["tier", "block"])
-    fit = held.filter(F.col("size").between(2, cap)).select("tier", "block", "id")
-    other = fit.select("tier", "block", F.col("id").alias("right_id"))
-    pairs = fit.join(other, ["tier", "block"]).filter(F.col("id") < F.col("right_id"))
-    pairs = pairs.groupBy(F.col("id").alias("left_id"), "right_id").agg(F.min("tier").alias("tier"))
-    return pairs, held.filter(F.col("size") > cap).select("id").distinct()
+def candidate_pairs(rows: DataFrame, stored: DataFrame | None = None, cap: int = CANDIDATE_CAP) -> tuple[DataFrame, DataFrame]:
+    """(left_id, right_id, tier): the candidates in stored of each row, from the first tier in which
+    it has any; and the ids that abstain, because a block of that tier has more than cap others, or
+    all its blocks together have. Without stored, rows are held against each other. Block sizes are
+    counted before anything is paired, so crowded blocks are never joined."""
+    own, same = blocks(rows), stored is None
+    held = own if same else blocks(stored)
+    others = F.col("size") - 1 if same else F.col("size")
+    sizes = held.groupBy("tier", "block").agg(F.count(F.lit(1)).alias("size")).filter(others > 0).withColumn("size", others)
+    met = own.join(sizes, ["tier", "block"])
+    tiers = met.groupBy("id", "tier").agg(F.max("size").alias("most"))
+    first = tiers.groupBy("id").agg(F.min(F.struct("tier", "most")).alias("x")).select("id", "x.*")
+    fit = met.join(first.filter(F.col("most") <= cap), ["id", "tier"]).select("tier", "block", F.col("id").alias("left_id"))
+    pairs = fit.join(held.select("tier", "block", F.col("id").alias("right_id")), ["tier", "block"])
+    if same:
+        pairs = pairs.filter("left_id <> right_id")
+    pairs = pairs.groupBy("left_id", "right_id").agg(F.min("tier").alias("tier"))
+    many = pairs.groupBy("left_id").count().filter(F.col("count") > cap).select(F.col("left_id").alias("id"))
+    return pairs.join(many, F.col("left_id") == F.col("id"), "left_anti"), first.filter(F.col("most") > cap).select("id").union(many)
 
 
 def _common(a: str, b: str) -> int:
@@ -83,30 +118,101 @@ def day_score(gap: Column) -> Column:
     return F.when(gap == 0, 100).when(gap <= 3, 95).when(gap <= 7, 85).when(gap <= 14, 60).when(gap <= 30, 30).otherwise(0)
 
 
-def compare(pairs: DataFrame, rows: DataFrame, ratio=indel_ratio) -> DataFrame:
-    """Outcome and score of each pair: a far date is DISTINCT; guards turn MATCH into REVIEW."""
-    side = lambda name, key: rows.select(F.col("id").alias(key), F.struct("title", "organizer", "day", "format", "tokens").alias(name))
-    x = pairs.join(side("l", "left_id"), "left_id").join(side("r", "right_id"), "right_id")
-    x = x.withColumn("t", ratio(token_sort(F.col("l.title")), token_sort(F.col("r.title")))).withColumn("o", ratio(token_sort(F.col("l.organizer")), token_sort(F.col("r.organizer"))))
-    x = x.withColumn("gap", F.abs(F.datediff("l.day", "r.day")))
-    score = F.bround(0.5 * F.col("t") + 0.25 * F.col("o") + 0.2 * day_score(F.col("gap")) + 0.05 * F.when(F.col("l.format") == F.col("r.format"), 100).otherwise(0), 3)
-    guard = (F.col("l.format") != F.col("r.format")) | (F.col("o") < 94) | F.coalesce(F.col("gap") > 7, F.lit(True)) | (F.array_sort("l.tokens") != F.array_sort("r.tokens"))
-    x = x.withColumn("score", score).withColumn("guard", guard)
-    outcome = F.when(F.coalesce(F.col("gap") > 90, F.lit(False)), "DISTINCT").when(~F.col("guard") & (F.col("score") >= MATCH_SCORE), "MATCH").when((F.col("score") >= REVIEW_SCORE) & (F.col("t") >= REVIEW_SCORE), "REVIEW").otherwise("DISTINCT")
-    return x.select("left_id", "right_id", "tier", "score", outcome.alias("outcome"))
-
-
-def resolve(compared: DataFrame, overflow: DataFrame | None = None) -> DataFrame:
-    """For each left id its best candidate; a second MATCH within 5 points makes it a REVIEW. Ids of
-    overflow abstain: a REVIEW without a candidate, with its reason."""
-    rank = F.when(F.col("outcome") == "MATCH", 0).when(F.col("outcome") == "REVIEW", 1).otherwise(2)
-    w = Window.partitionBy("left_id")
-    ranked = compared.withColumn("rank", rank).withColumn("n", F.row_number().over(w.orderBy("rank", F.desc("score"), "right_id")))
-    ranked = ranked.withColumn("best", F.max(F.when(F.col("outcome") == "MATCH", F.col("score"))).over(w)).withColumn("rivals", F.count_if((F.col("outcome") == "MATCH") & (F.col("best") - F.col("score") < NEAR_TIE)).over(w))
-    best = ranked.filter("n = 1").select("left_id", "right_id", "score", F.when((F.col("outcome") == "MATCH") & (F.col("rivals") > 1), "REVIEW").otherwise(F.col("outcome")).alias("outcome"))
-    if overflow is None:
-        return best
-    over = overflow.select(F.col("id").alias("left_id"), F.lit("candidate_limit_exceeded").alias("reason"))
-    kept = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
-    outcome = F.when(F.col("reason").isNotNull(), "REVIEW").otherwise(F.col("outcome")).alias("outcome")
-    return best.join(over, "left_id", "full_outer").select("left_id", kept("right_id"), kept("score"), outcome, "reason")
+@F.pandas_udf(BooleanType())
+def far_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether a word of either list is like none of the other (less than 85 of 100)."""
+    like = lambda x, y: 200.0 * _common(x, y) / (len(x) + len(y)) >= 85
+    lone = lambda xs, ys: any(not any(like(x, y) for y in ys) for x in xs)
+    return pd.Series([lone(x, y) or lone(y, x) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def compare(pairs: DataFrame, rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Outcome, score, reasons and exact of each pair. Conflicting editions are DISTINCT, or REVIEW
+    where a URL or platform id is shared; else what is shared is a MATCH; else evidence is weighed,
+    and any reason against turns a MATCH into a REVIEW."""
+    side = lambda df, name, key: df.select(F.col("id").alias(key), F.struct(*[c for c in df.columns if c != "id"]).alias(name))
+    x = pairs.join(side(rows, "l", "left_id"), "left_id").join(side(rows if stored is None else stored, "r", "right_id"), "right_id")
+    ratio = lambda c: F.when((F.col(f"l.{c}") == "") | (F.col(f"r.{c}") == ""), 0.0).otherwise(indel_ratio(token_sort(F.col(f"l.{c}")), token_sort(F.col(f"r.{c}"))))
+    x = x.withColumn("t", ratio("title")).withColumn("o", ratio("organizer")).withColumn("gap", F.abs(F.datediff("l.day", "r.day")))
+    online = (F.col("l.format") == "online") & (F.col("r.format") == "online")
+    x = x.withColumn("place", F.when(online, 100.0).otherwise(ratio("location")))
+    x = x.withColumn("only_l", F.array_except("l.tokens", "r.tokens")).withColumn("only_r", F.array_except("r.tokens", "l.tokens"))
+    x = x.withColumn("far", F.when((F.size("only_l") > 0) & (F.size("only_r") > 0), far_words("only_l", "only_r")).otherwise((F.size("only_l") > 0) | (F.size("only_r") > 0)))
+    score = F.bround(0.5 * F.col("t") + 0.25 * F.col("o") + 0.2 * F.coalesce(day_score(F.col("gap")), F.lit(0)) + 0.05 * F.col("place"), 3)
+    by_url, by_id = F.arrays_overlap("l.urls", "r.urls"), F.arrays_overlap("l.source_ids", "r.source_ids")
+    platform = lambda c: F.transform(c, lambda s: F.split_part(s, F.lit("|"), F.lit(1)))
+    shared = F.array_intersect(platform("l.source_ids"), platform("r.source_ids"))
+    of = lambda c, p: F.filter(c, lambda s: F.split_part(s, F.lit("|"), F.lit(1)) == p)
+    id_conflict = F.exists(shared, lambda p: ~F.arrays_overlap(of("l.source_ids", p), of("r.source_ids", p)))
+
+    def reasons(**found: Column) -> Column:
+        named = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in found.items()])
+        return F.filter(named, lambda r: r.isNotNull())
+
+    some = lambda c: (F.size(f"l.{c}") > 0) & (F.size(f"r.{c}") > 0)
+    editions = reasons(
+        title_date_year_conflict=F.col("l.conflicted") | F.col("r.conflicted"),
+        edition_year_conflict=some("years") & ~F.arrays_overlap("l.years", "r.years"),
+        numbered_edition_conflict=some("numbers") & (F.col("l.numbers") != F.col("r.numbers")),
+        event_dates_far_apart=F.col("gap") > 90,
+    )
+    unknown = (F.col("l.format") == "unknown") | (F.col("r.format") == "unknown")
+    no_place = (F.col("l.location") == "") | (F.col("r.location") == "")
+    no_name = (F.col("l.organizer") == "") | (F.col("r.organizer") == "")
+    against = reasons(
+        source_id_conflict=F.col("id_conflict"),
+        format_conflict=(F.col("l.format") != F.col("r.format")) & ~unknown,
+        physical_location_missing=~online & no_place,
+        location_conflict=~online & ~no_place & (F.col("place") < 90),
+        organizer_missing=no_name,
+        organizer_conflict=~no_name & ((F.col("o") < 94) | (F.col("l.organizer_tokens") != F.col("r.organizer_tokens"))),
+        event_dates_missing=F.col("gap").isNull(),
+        event_dates_differ=F.col("gap") > 7,
+        title_variant_conflict=F.col("far"),
+        title_evidence_weak=(F.col("t") < 90) | ~F.arrays_overlap("l.tokens", "r.tokens"),
+    )
+    x = x.withColumn("score", score).withColumn("by_url", by_url).withColumn("by_id", by_id).withColumn("exact", by_url | by_id).withColumn("id_conflict", id_conflict)
+    x = x.withColumn("editions", editions).withColumn("against", against)
+    edition, exact, fine = F.size("editions") > 0, F.col("exact"), F.size("against") == 0
+    split = exact & F.col("id_conflict") & ~F.col("by_id")
+    review = F.when((F.col("score") >= REVIEW_SCORE) & (F.col("t") >= REVIEW_SCORE), "REVIEW").otherwise("DISTINCT")
+    outcome = F.when(edition, F.when(exact, "REVIEW").otherwise("DISTINCT")).when(split, "REVIEW").when(exact, "MATCH").when(fine & (F.col("score") >= MATCH_SCORE), "MATCH").otherwise(review)
+    said = lambda *r: F.array(*map(F.lit, r))
+    why = F.when(edition, F.col("editions")).when(split, said("source_id_conflict")).when(exact, F.when(F.col("by_url"), said("canonical_url")).otherwise(said("source_id")))
+    why = why.when(~fine, F.col("against")).when(outcome == "MATCH", said("weighted_evidence")).otherwise(said("score_below_match_threshold"))
+    final = F.when(exact & ~edition & ~split, 100.0).otherwise(F.col("score"))
+    return x.select("left_id", "right_id", "tier", "exact", final.alias("score"), outcome.alias("outcome"), why.alias("reasons"))
+
+
+def resolve(ids: DataFrame, compared: DataFrame, overflow: DataFrame) -> DataFrame:
+    """A row for each of ids: its best candidate (exact matches first, then by score, then by id), the
+    outcome and why. A second MATCH of the same exactness within 5 points makes it a REVIEW; ids of
+    overflow abstain as a REVIEW; ids without candidates are DISTINCT."""
+    sure = F.col("exact") & (F.col("outcome") == "MATCH")
+    kind = F.when(F.col("outcome") == "MATCH", 0).when(F.col("outcome") == "REVIEW", 1).otherwise(2)
+    order = F.struct(kind.alias("kind"), (~sure).alias("later"), (-F.col("score")).alias("down"), "right_id", "exact", "outcome", "reasons")
+    best = compared.groupBy("left_id").agg(F.min(order).alias("b"))
+    matched = compared.filter("outcome = 'MATCH'").join(best.filter("b.kind = 0"), "left_id")
+    rival = (F.col("right_id") != F.col("b.right_id")) & (F.col("exact") == F.col("b.exact")) & (-F.col("b.down") - F.col("score") < NEAR_TIE)
+    tied = matched.groupBy("left_id").agg(F.count_if(rival).alias("rivals"))
+    over = overflow.distinct().select(F.col("id").alias("left_id"), F.lit(True).alias("over"))
+    x = ids.select(F.col("id").alias("left_id")).join(best, "left_id", "left").join(tied, "left_id", "left").join(over, "left_id", "left")
+    said = lambda r: F.array(F.lit(r))
+    pick = lambda over, none, tie, other: F.when(F.col("over"), over).when(F.col("b").isNull(), none).when(F.col("rivals") > 0, tie).otherwise(other)
+    return x.select(
+        "left_id",
+        F.when(F.col("over").isNull(), F.col("b.right_id")).alias("right_id"),
+        pick(F.lit(0.0), F.lit(0.0), -F.col("b.down"), -F.col("b.down")).alias("score"),
+        pick(F.lit("REVIEW"), F.lit("DISTINCT"), F.lit("REVIEW"), F.col("b.outcome")).alias("outcome"),
+        pick(said("candidate_limit_exceeded"), said("no_candidates"), said("ambiguous_candidates"), F.col("b.reasons")).alias("reasons"),
+    )
+
+
+def quality(judged: DataFrame) -> DataFrame:
+    """One row over judged (expected_same boolean, outcome): counts of a MATCH against the truth, with
+    precision, recall, F1 and the share of different pairs that were merged."""
+    same, match = F.col("expected_same"), F.col("outcome") == "MATCH"
+    n = judged.agg(F.count_if(same & match).alias("tp"), F.count_if(~same & match).alias("fp"), F.count_if(same & ~match).alias("fn"), F.count_if(~same & ~match).alias("tn"))
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return n.select("*", part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1"), part(fp, fp + F.col("tn")).alias("false_merge_rate"))

@@ -160,23 +160,56 @@ def plain_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("clean"), F.md5(text.escape_html(F.col("text"))).alias("escaped"))
 
 
-@register("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w <> '' AND w NOT IN ('the','a','an','of','and','for','in','on','at','to','hackathon','challenge','event','contest','online') AND NOT regexp_matches(w, '^[0-9]+$'))))[1:12], ',') AS tokens FROM part""")
-def identity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.title_tokens(F.col("p_name")), ",").alias("tokens"))
+STOPS_SQL = "('the','of','and','by','at','edition','annual','hackathon','hack','challenge','online','university','college','institute','technology')"
 
 
-def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_add(F.lit("2027-01-01").cast("date"), (F.col("p_partkey") * 7 % 180).cast("int"))
-    return identity.profiles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("organizer"), day.alias("day"), F.col("p_type").alias("format")))
+def _tokens_sql(form: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({form}, ' '), lambda w: w <> '' AND w NOT IN {STOPS_SQL} AND NOT regexp_matches(w, '^[0-9]+$'))))[1:12]"
+
+
+def _form_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@register(f"SELECT p_partkey, array_to_string({_tokens_sql(_form_sql(chr(39) + 'The Hack of ' + chr(39) + ' || p_name || ' + chr(39) + ' 2027, Edition 3' + chr(39)))}, ',') AS tokens FROM part")
+def identity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat(F.lit("The Hack of "), F.col("p_name"), F.lit(" 2027, Edition 3"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.title_tokens(text.identity_form(shown)), ",").alias("tokens"))
 
 
-BLOCKS_SQL = """WITH p AS (SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS o,
-list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('the','a','an','of','and','for','in','on','at','to','hackathon','challenge','event','contest','online') AND NOT regexp_matches(w, '^[0-9]+$'))))[1:12] AS t,
-(DATE '2027-01-01' + CAST(p_partkey * 7 % 180 AS INT) - DATE '1970-01-01' + 719163) // 14 AS b FROM part),
+def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a listing: names recur, four parts share a lot, some share a URL, every tenth is one crowd's."""
+    k = F.col("p_partkey")
+    lot, crowd = F.concat(F.lit("lot"), F.floor(k / 4)), k % 10 == 0
+    day = F.date_add(F.lit("2027-01-01").cast("date"), F.when(crowd, 30).otherwise(k * 7 % 180).cast("int"))
+    return identity.profiles(
+        table(spark, sf_dir, "part").select(
+            k.alias("id"),
+            F.concat_ws(" ", "p_name", lot).alias("title"),
+            F.when(crowd, "Shared Tech Univ").when(k % 10 == 7, None).otherwise(F.concat_ws(" ", F.lit("Org"), lot)).alias("organizer"),
+            F.when(k % 10 != 3, day).alias("day"),
+            F.lit(None).cast("date").alias("registration_day"),
+            F.when(k % 3 == 0, "online").otherwise("offline").alias("format"),
+            F.col("p_brand").alias("location"),
+            F.when(k % 5 == 1, F.array(F.concat(F.lit("https://h.example/"), F.floor(k / 10)))).alias("urls"),
+            F.lit(None).cast("array<string>").alias("source_ids"),
+        )
+    )
+
+
+BLOCKS_SQL = f"""WITH l AS (SELECT p_partkey AS id, {_form_sql("p_name || ' lot' || p_partkey // 4")} AS title, CASE p_partkey % 10 WHEN 0 THEN 'shared technology university' WHEN 7 THEN '' ELSE 'org lot' || p_partkey // 4 END AS o,
+CASE WHEN p_partkey % 10 <> 3 THEN DATE '2027-01-01' + CASE WHEN p_partkey % 10 = 0 THEN 30 ELSE p_partkey * 7 % 180 END::INT END AS day, CASE WHEN p_partkey % 5 = 1 THEN 'https://h.example/' || p_partkey // 10 END AS url FROM part),
+p AS (SELECT id, o, url, {_tokens_sql("title")} AS t, (day - DATE '1970-01-01' + 719163) // 14 AS b FROM l),
 k AS (SELECT DISTINCT * FROM (
-SELECT id, 1 AS tier, 'o:' || o || '@' || w AS block FROM (SELECT id, o, unnest([b - 1, b, b + 1]) AS w FROM p)
-UNION ALL SELECT id, 2, 't:' || x || '+' || y || '@' || w FROM (SELECT id, t[i] AS x, unnest(t[i+1:8]) AS y, w FROM (SELECT id, t, i, unnest([b - 1, b, b + 1]) AS w FROM (SELECT id, t, b, unnest(range(1, len(t) + 1)) AS i FROM p)))
-UNION ALL SELECT id, 3, 'ot:' || o || '+' || x FROM (SELECT id, o, unnest(t) AS x FROM p)))
+SELECT id, 0 AS tier, 'u:' || url AS block FROM p WHERE url IS NOT NULL
+UNION ALL SELECT id, 1, 'o:' || o || '@' || w FROM (SELECT id, o, unnest([b - 1, b, b + 1]) AS w FROM p WHERE o <> '' AND b IS NOT NULL)
+UNION ALL SELECT id, 2, 't:' || x || '+' || y || '@' || w FROM (SELECT id, t[i] AS x, unnest(t[i+1:8]) AS y, w FROM (SELECT id, t, i, unnest([b - 1, b, b + 1]) AS w FROM (SELECT id, t, b, unnest(range(1, len(t) + 1)) AS i FROM p WHERE b IS NOT NULL AND len(t) > 1)))
+UNION ALL SELECT id, 2, 't:' || t[1] || '@' || w FROM (SELECT id, t, unnest([b - 1, b, b + 1]) AS w FROM p WHERE b IS NOT NULL AND len(t) = 1)
+UNION ALL SELECT id, 3, 'ot:' || o || '+' || x FROM (SELECT id, o, unnest(t) AS x FROM p WHERE o <> ''))),
+s AS (SELECT tier, block, count(*) - 1 AS size FROM k GROUP BY ALL HAVING count(*) > 1), h AS (SELECT k.*, size FROM k JOIN s USING (tier, block)),
+f AS (SELECT id, tier, most FROM (SELECT id, tier, max(size) AS most, row_number() OVER (PARTITION BY id ORDER BY tier) AS r FROM h GROUP BY id, tier) WHERE r = 1),
+c AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id, f.tier FROM f JOIN h a ON a.id = f.id AND a.tier = f.tier JOIN k b ON b.tier = a.tier AND b.block = a.block WHERE f.most <= 100 AND a.id <> b.id),
+m AS (SELECT left_id FROM c GROUP BY left_id HAVING count(*) > 100)
 """
 
 
@@ -185,12 +218,12 @@ def blocking_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.blocks(part_profiles(spark, sf_dir)).groupBy("tier", "block").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(BLOCKS_SQL + ", s AS (SELECT tier, block FROM k GROUP BY ALL HAVING count(*) BETWEEN 2 AND 100), h AS (SELECT k.* FROM k JOIN s USING (tier, block)) SELECT a.id AS left_id, b.id AS right_id, min(a.tier) AS tier FROM h a JOIN h b USING (tier, block) WHERE a.id < b.id GROUP BY ALL")
+@register(BLOCKS_SQL + "SELECT left_id, right_id, tier FROM c WHERE left_id NOT IN (SELECT left_id FROM m)")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.candidate_pairs(part_profiles(spark, sf_dir))[0]
 
 
-@register(BLOCKS_SQL + ", s AS (SELECT tier, block FROM k GROUP BY ALL HAVING count(*) > 100) SELECT DISTINCT id FROM k JOIN s USING (tier, block)")
+@register(BLOCKS_SQL + "SELECT id FROM f WHERE most > 100 UNION SELECT left_id FROM m")
 def candidate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.candidate_pairs(part_profiles(spark, sf_dir))[1]
 
@@ -199,7 +232,15 @@ def candidate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_profiles(spark, sf_dir)
     pairs, overflow = identity.candidate_pairs(rows)
-    return identity.resolve(identity.compare(pairs, rows), overflow)
+    return identity.resolve(rows, identity.compare(pairs, rows), overflow)
+
+
+@register("""SELECT count(*) FILTER (s AND m) AS tp, count(*) FILTER (NOT s AND m) AS fp, count(*) FILTER (s AND NOT m) AS fn, count(*) FILTER (NOT s AND NOT m) AS tn,
+round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(fp / (fp + tn), 4) AS false_merge_rate
+FROM (SELECT event_id % 3 = 0 AS s, event_type = 'purchase' OR event_id % 9 = 0 AS m FROM events)""")
+def er_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    match = (F.col("event_type") == "purchase") | (F.col("event_id") % 9 == 0)
+    return identity.quality(table(spark, sf_dir, "events").select((F.col("event_id") % 3 == 0).alias("expected_same"), F.when(match, "MATCH").otherwise("REVIEW").alias("outcome")))
 
 
 @register("SELECT doc_id, md5(text) AS edition, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY md5(text)) AS duplicate FROM documents")

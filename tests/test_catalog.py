@@ -81,19 +81,76 @@ def test_pages_partition_the_order(spark):
     assert t["upcoming"] + t["missed"] == 30
 
 
-def test_indel_ratio_and_resolution(spark):
+LISTING = "id long, title string, organizer string, day date, registration_day date, format string, location string, urls array<string>, source_ids array<string>"
+
+
+def listing(id, title, organizer="Acme Labs", day=dt.date(2026, 5, 1), format="online", location="", urls=(), source_ids=(), registration=None):
+    return (id, title, organizer, day, registration, format, location, list(urls), list(source_ids))
+
+
+def later(n):
+    return dt.date(2026, 5, 1) + dt.timedelta(days=n)
+
+
+#: (left, right, outcome, a reason that is given)
+PAIRS = [
+    (listing(1, "Green Code Sprint"), listing(2, "green  code SPRINT!", day=later(2)), "MATCH", "weighted_evidence"),
+    (listing(1, "Green Code Sprint"), listing(2, "Greeen Code Sprint"), "MATCH", "weighted_evidence"),
+    (listing(1, "Green Code Sprint", "Acme Univ"), listing(2, "Green Code Sprint", "Acme University"), "MATCH", "weighted_evidence"),
+    (listing(1, "Green Code Sprint 2025"), listing(2, "Green Code Sprint 2026"), "DISTINCT", "title_date_year_conflict"),
+    (listing(1, "Green Code Sprint 3"), listing(2, "Green Code Sprint 4"), "DISTINCT", "numbered_edition_conflict"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint", day=later(120)), "DISTINCT", "event_dates_far_apart"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint", day=later(12)), "REVIEW", "event_dates_differ"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint", day=None), "REVIEW", "event_dates_missing"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint", format="offline", location="Pune"), "REVIEW", "format_conflict"),
+    (listing(1, "Green Code Sprint", format="offline", location="Pune"), listing(2, "Green Code Sprint", format="offline", location="Delhi"), "REVIEW", "location_conflict"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint Women"), "REVIEW", "title_variant_conflict"),
+    (listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint", ""), "REVIEW", "organizer_missing"),
+    (listing(1, "Green Code Sprint"), listing(2, "Painting for beginners", "Somebody"), "DISTINCT", "title_evidence_weak"),
+    (listing(1, "Green Code Sprint", urls=["https://a.example/1"]), listing(2, "Something else", "Other", urls=["https://a.example/1"]), "MATCH", "canonical_url"),
+    (listing(1, "A", source_ids=["p|7"]), listing(2, "B", source_ids=["p|7", "q|1"]), "MATCH", "source_id"),
+    (listing(1, "A", urls=["https://a.example/1"], source_ids=["p|7"]), listing(2, "A", urls=["https://a.example/1"], source_ids=["p|8"]), "REVIEW", "source_id_conflict"),
+    (listing(1, "A 2025", urls=["https://a.example/1"], day=None), listing(2, "A 2026", urls=["https://a.example/1"], day=None), "REVIEW", "edition_year_conflict"),
+    (listing(1, "Green Code Sprint", source_ids=["p|7"]), listing(2, "Green Code Sprint", source_ids=["p|8"]), "REVIEW", "source_id_conflict"),
+]
+
+
+def test_labelled_pairs(spark):
     assert identity._common("signal0 constellation", "signla0 constellation") == 20
-    rows = identity.profiles(spark.createDataFrame([(1, "Green Code Sprint", "Acme", dt.date(2026, 5, 1), "online"), (2, "Green  Code sprint!", "acme", dt.date(2026, 5, 2), "online"), (3, "Blue Design Week", "Acme", dt.date(2026, 5, 1), "online")], "id long, title string, organizer string, day date, format string"))
-    pairs, over = identity.candidate_pairs(rows)
-    out = {(r["left_id"], r["right_id"]): r["outcome"] for r in identity.compare(pairs, rows).collect()}
-    assert out[1, 2] == "MATCH" and out[1, 3] != "MATCH" and over.isEmpty()
-    assert {r["left_id"]: r["right_id"] for r in identity.resolve(identity.compare(pairs, rows)).collect()}[1] == 2
+    left = identity.profiles(spark.createDataFrame([(100 * k, *x[1:]) for k, (x, _, _, _) in enumerate(PAIRS)], LISTING))
+    right = identity.profiles(spark.createDataFrame([(100 * k + 1, *y[1:]) for k, (_, y, _, _) in enumerate(PAIRS)], LISTING))
+    pairs = spark.createDataFrame([(100 * k, 100 * k + 1, 1) for k in range(len(PAIRS))], "left_id long, right_id long, tier int")
+    got = {r["left_id"] // 100: r for r in identity.compare(pairs, left, right).collect()}
+    for k, (_, _, outcome, reason) in enumerate(PAIRS):
+        assert (got[k]["outcome"], reason in got[k]["reasons"]) == (outcome, True), (k, got[k])
 
 
-def test_crowded_blocks_abstain(spark):
-    rows = identity.profiles(spark.range(12).select("id", F.lit("same title here").alias("title"), F.lit("o").alias("organizer"), F.lit("2026-01-01").cast("date").alias("day"), F.lit("x").alias("format")))
-    pairs, over = identity.candidate_pairs(rows, cap=10)
-    assert pairs.isEmpty() and over.count() == 12
+def resolved(spark, rows, **kw):
+    rows = identity.profiles(spark.createDataFrame(rows, LISTING))
+    pairs, over = identity.candidate_pairs(rows, **kw)
+    return {r["left_id"]: (r["right_id"], r["outcome"], r["reasons"][0]) for r in identity.resolve(rows, identity.compare(pairs, rows), over).collect()}
+
+
+def test_every_id_has_an_outcome_and_near_ties_are_reviewed(spark):
+    got = resolved(spark, [listing(1, "Green Code Sprint"), listing(2, "Green Code Sprint"), listing(3, "Green Code Sprint", day=later(1)), listing(4, "Quite alone", "Nobody", day=later(200)), listing(5, "Red Fair", urls=["https://a.example/1"]), listing(6, "Red Fair", urls=["https://a.example/1"]), listing(7, "Red Fair")])
+    assert got[1] == (2, "REVIEW", "ambiguous_candidates") and got[3][1] == "REVIEW"
+    assert got[4] == (None, "DISTINCT", "no_candidates")
+    assert got[5] == (6, "MATCH", "canonical_url") and got[6] == (5, "MATCH", "canonical_url")  # the exact tier comes first, 7 is no candidate
+
+
+def test_crowded_blocks_abstain_and_exact_ids_still_resolve(spark):
+    crowd = [listing(k, "Same Title Here") for k in range(12)]
+    got = resolved(spark, [*crowd, listing(20, "Same Title Here", source_ids=["p|1"]), listing(21, "Other", source_ids=["p|1"])], cap=10)
+    assert all(got[k] == (None, "REVIEW", "candidate_limit_exceeded") for k in range(12))
+    assert got[20] == (21, "MATCH", "source_id")
+
+
+def test_rows_against_stored_rows(spark):
+    stored = identity.profiles(spark.createDataFrame([listing(1, "Green Code Sprint"), listing(2, "Blue Fair")], LISTING))
+    new = identity.profiles(spark.createDataFrame([listing(1, "Green Code Sprint", day=later(3)), listing(9, "Unseen", "Nobody")], LISTING))
+    pairs, over = identity.candidate_pairs(new, stored)
+    got = {r["left_id"]: (r["right_id"], r["outcome"]) for r in identity.resolve(new, identity.compare(pairs, new, stored), over).collect()}
+    assert got == {1: (1, "MATCH"), 9: (None, "DISTINCT")}
 
 
 def test_merge_keeps_known_values(spark):
@@ -144,16 +201,6 @@ def test_instant_in_zone(spark):
     assert {r["t"]: r["x"] and r["x"]["kind"] for r in df.collect()} == want
 
 
-def test_crowded_ids_are_reviewed(spark):
-    day = dt.date(2026, 1, 1)
-    rows = [(k, "same title here", "o", day, "x") for k in range(12)] + [(20, "blue fair", "p", day, "x"), (21, "blue fair", "p", day, "x"), (22, "same title here", "o", None, "x")]
-    rows = identity.profiles(spark.createDataFrame(rows, "id long, title string, organizer string, day date, format string"))
-    pairs, over = identity.candidate_pairs(rows, cap=10)
-    got = {r["left_id"]: (r["right_id"], r["outcome"], r["reason"]) for r in identity.resolve(identity.compare(pairs, rows), over).collect()}
-    crowded = (None, "REVIEW", "candidate_limit_exceeded")
-    assert got == {k: crowded for k in (*range(12), 22)} | {20: (21, "MATCH", None)}
-
-
 def test_recipients_of_all_listings(spark):
     n = queries.listings(spark, SF).count()
     got = queries.QUERIES["recipients_all"](spark, SF)
