@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.dates import registration_state
+from gazette.functions.measures import distance_km
+from gazette.operators import search
 
 FORMAT_WORDS = (("hybrid", "hybrid"), ("online|virtual|remote", "online"), ("offline|in-person|in person|on-site|onsite", "offline"))
+#: Categories with a meaning of their own; any other is looked for in source, mode and tag.
+FIXED_CATEGORIES = {"top college": "is_top_college", "internship": "is_internship", "unique sources": "is_unique"}
+OPPORTUNITIES = ("hackathon", "hiring challenge")
+FAR_KM = 999999.0
 PAST_TABS = ("missed", "lost", "lost_opportunities")
 
 
@@ -44,6 +50,8 @@ class CatalogQuery:
     format: str | None = None
     deadline_days: int | None = None
     ids: tuple[int, ...] = ()
+    lat: float | None = None
+    lng: float | None = None
     tab: str = "all"
     sort: str = "deadline"
 
@@ -52,16 +60,17 @@ class CatalogQuery:
             raise ValueError("page is 1 to 1000 and limit 1 to 100")
         if self.deadline_days is not None and not 1 <= self.deadline_days <= 30:
             raise ValueError("deadline_days is 1 to 30")
-        if self.sort not in ("deadline", "name", "newest", "rank"):
+        if self.sort not in ("deadline", "name", "newest", "distance", "rank"):
             raise ValueError("unknown sort")
         if len(self.search or "") > 100 or len(self.ids) > 200:
             raise ValueError("search has up to 100 characters and ids up to 200 entries")
 
-    def predicate(self) -> Column:
-        """All conditions but the tab, on which totals do not depend."""
+    def predicate(self, columns: list[str]) -> Column:
+        """All conditions but the tab, on which totals do not depend, for a table of these columns."""
         c: list[Column] = []
         if self.ids:
-            c.append(F.col("id").isin(*self.ids))
+            by_id = F.col("id").isin(*self.ids)
+            c.append(by_id | F.arrays_overlap("aliases", F.array(*map(F.lit, self.ids))) if "aliases" in columns else by_id)
         if self.status == "open_all":
             c.append(~F.col("past"))
         elif self.status == "closed":
@@ -70,33 +79,49 @@ class CatalogQuery:
             c.append(F.col("status") == self.status)
         if self.source:
             c.append(F.lower("source") == self.source.lower())
-        if self.category:
-            x = self.category.lower()
+        x = (self.category or "all").lower()
+        if x in FIXED_CATEGORIES:
+            c.append(F.coalesce(F.col(FIXED_CATEGORIES[x]), F.lit(False)))
+        elif x in OPPORTUNITIES and "opportunity_type" in columns:
+            c.append(F.lower("opportunity_type") == x)
+        elif x in ("online", "offline"):
+            c.append(F.col("format") == x)
+        elif x != "all":
             c.append(F.coalesce(F.lower("source") == x, F.lit(False)) | F.coalesce(F.lower("mode") == x, F.lit(False)) | F.lower("tag").contains(x))
         if self.search:
-            c.append(F.lower(F.concat_ws(" ", "title", "organizer", "city")).contains(self.search.lower()))
+            c.append(search.matches(search.corpus(columns), self.search))
         if self.format:
             c.append(F.col("format") == self.format.lower())
         if self.deadline_days:
             c.append(F.col("days_left").between(0, self.deadline_days))
         return reduce(lambda a, b: a & b, c, F.lit(True))
 
+    @property
+    def geo(self) -> bool:
+        return self.lat is not None and self.lng is not None
+
     def order(self) -> list[Column]:
+        """With a place, upcoming listings nearby come first among equals."""
+        near = [F.col("past"), F.coalesce("distance_km", F.lit(FAR_KM))] if self.geo else []
         if self.sort == "name":
-            return [F.lower("title").asc_nulls_last(), F.col("id")]
+            return [F.lower("title").asc_nulls_last(), *near, F.col("id")]
         if self.sort == "newest":
             return [F.col("id").desc()]
-        if self.sort == "rank":
-            return [F.col("id")]
+        if self.sort == "distance" and self.geo:
+            return [near[1], near[0], F.col("id")]
+        if self.sort != "deadline":
+            return [*near, F.col("id")]
         days = F.unix_date("deadline")
-        return [F.col("past"), F.col("missing"), F.when(F.col("past"), -days).otherwise(days), F.col("id")]
+        return [F.col("past"), F.col("missing"), F.when(F.col("past"), -days).otherwise(days), *near[1:], F.col("id")]
 
     def matches(self, rows: DataFrame) -> DataFrame:
-        return rows.filter(self.predicate())
+        return rows.filter(self.predicate(rows.columns))
 
     def results(self, rows: DataFrame) -> DataFrame:
         """The page: filter, tab, order, offset and limit (one TakeOrderedAndProject)."""
         rows = self.matches(rows)
+        if self.geo:
+            rows = rows.withColumn("distance_km", distance_km(F.col("lat"), F.col("lng"), self.lat, self.lng))
         if self.tab in PAST_TABS:
             rows = rows.filter("past")
         elif self.tab != "all":
@@ -130,6 +155,12 @@ def source_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("past")).alias("n_active"))
 
 
+def nearby(rows: DataFrame, lat: float, lng: float, within_km: float) -> DataFrame:
+    """Listings that are not past, take place somewhere and lie within a distance of a point."""
+    found = rows.withColumn("distance_km", distance_km(F.col("lat"), F.col("lng"), lat, lng))
+    return found.filter(~F.col("past") & F.col("format").isin("offline", "hybrid") & (F.col("distance_km") <= within_km))
+
+
 def distance_page(rows: DataFrame, distance: Column, limit: int) -> DataFrame:
     """The nearest rows first; rows without a distance last, ties by id."""
     return rows.withColumn("distance_km", distance).orderBy(F.coalesce("distance_km", F.lit(999999.0)), "id").limit(limit)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from gazette.data import SEARCH_FIELDS, SYNONYMS
 from gazette.functions.text import search_form
 
 LEAST_LENGTH, MOST_GAP, LEAST_RATIO = 4, 3, 0.78
@@ -36,34 +37,50 @@ def _any_similar(token: str):
     return run
 
 
-def _near(form: Column, length: int) -> Column:
-    """The distinct words of about this length."""
-    return F.filter(F.array_distinct(F.split(form, " ")), lambda w: (F.length(w) >= LEAST_LENGTH) & (F.abs(F.length(w) - length) <= MOST_GAP))
+def _near(words: Column, length: int) -> Column:
+    """The words of about this length."""
+    return F.filter(words, lambda w: (F.length(w) >= LEAST_LENGTH) & (F.abs(F.length(w) - length) <= MOST_GAP))
 
 
-def matches(text: Column, query: str, aliases: Mapping[str, tuple[str, ...]] | None = None, fuzzy: bool = True) -> Column:
+def matches(text: Column, query: str, synonyms: Mapping[str, str] = SYNONYMS, fuzzy: bool = True) -> Column:
     """Whether the text answers the query. A blank query, or one of punctuation only, fits all; a
-    substring of the raw or normalized text fits; else every token has to fit: as a substring, by an
-    alias, or by a similar word. A null text is an empty one. Only rows that the cheap conditions
-    leave open send words to Python, and only words of about the token's length."""
+    substring of the raw or normalized text fits. Else each word of the query is replaced by what it
+    stands for, and every word has to fit: as a substring, as what a word of the text stands for, by
+    what it stands for itself, or by a similar word. A null text is an empty one. Only rows that the
+    cheap conditions leave open send words to Python, and only words of about the word's length."""
     if not query.strip():
         return F.lit(True)
     raw, form = F.lower(F.coalesce(text, F.lit(""))), search_form(text)
-    tokens = query_form(query).split()
+    tokens = query_form(query.strip()).split()
     if not tokens:
         return F.lit(True)
     whole = raw.contains(query.strip().lower()) | form.contains(" ".join(tokens))
+    words = F.array_distinct(F.split(form, " "))
+    meant = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair]) if synonyms else None
     every = F.lit(True)
-    for token in dict.fromkeys(tokens):
-        fits = F.lit(False)
-        for name in (token, *(aliases or {}).get(token, ())):
-            fits = fits | form.contains(name)
+    for token in dict.fromkeys(t for given in tokens for t in synonyms.get(given, given).split()):
+        fits = form.contains(token)
+        standing = [w for w, means in synonyms.items() if token in means.split()]
+        if standing:
+            fits = fits | F.arrays_overlap(words, F.array(*map(F.lit, standing)))
+        if token in synonyms:
+            fits = fits | form.contains(synonyms[token])
         if fuzzy and len(token) >= LEAST_LENGTH:
-            fits = fits | _any_similar(token)(F.when(~(whole | fits), _near(form, len(token))))
+            every_word = words
+            if meant is not None:
+                means = F.filter(F.transform(words, lambda w: F.try_element_at(meant, w)), lambda x: x.isNotNull())
+                every_word = F.array_union(words, F.split(F.array_join(means, " "), " "))
+            fits = fits | _any_similar(token)(F.when(~(whole | fits), _near(every_word, len(token))))
         every = every & fits
     return whole | every
 
 
-def search(rows: DataFrame, fields: list[str], query: str, aliases: Mapping[str, tuple[str, ...]] | None = None, fuzzy: bool = True) -> DataFrame:
+def corpus(columns: list[str]) -> Column:
+    """The searched fields that a table has, joined by spaces; arrays by their items."""
+    found = [F.col(c) for c in SEARCH_FIELDS if c in columns]
+    return F.concat_ws(" ", *found) if found else F.lit("")
+
+
+def search(rows: DataFrame, fields: list[str], query: str, synonyms: Mapping[str, str] = SYNONYMS, fuzzy: bool = True) -> DataFrame:
     """rows whose fields, joined by spaces, answer the query."""
-    return rows.filter(matches(F.concat_ws(" ", *fields), query, aliases, fuzzy))
+    return rows.filter(matches(F.concat_ws(" ", *fields), query, synonyms, fuzzy))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, measures, text
 from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
-from gazette.plans.views import AS_OF, LISTINGS_SQL, listings
+from gazette.plans.views import AS_OF, LISTINGS_SQL, listings, published_view
 from gazette.session import table
 from gazette.streaming import activity
 
@@ -39,7 +39,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.published(listings(spark, sf_dir), AS_OF)
+    return published_view(spark, sf_dir)
 
 
 def _page(name: str, query: CatalogQuery, where: str, order: str = ORDER_SQL) -> None:
@@ -69,7 +69,8 @@ _matches("catalog_filter_category", CatalogQuery(category="urgent"), "coalesce(l
 _matches("catalog_filter_format", CatalogQuery(format="Hybrid"), "format = 'hybrid'")
 _matches("catalog_filter_deadline_days", CatalogQuery(deadline_days=14), "days_left BETWEEN 0 AND 14")
 _matches("catalog_filter_ids", CatalogQuery(ids=(1, 2, 3, 50, 999)), "id IN (1, 2, 3, 50, 999)")
-_matches("catalog_filter_search", CatalogQuery(search="red"), "contains(lower(concat_ws(' ', title, organizer, city)), 'red')")
+_matches("catalog_filter_search", CatalogQuery(search=" Sm "), "contains(lower(concat_ws(' ', title, organizer, source, city)), 'sm')")  # short words are not compared for likeness
+_matches("catalog_filter_online", CatalogQuery(category="Online"), "format = 'online'")
 
 
 @register(f"{PUBLISHED_SQL} SELECT count(*) FILTER (NOT past) AS upcoming, count(*) FILTER (past) AS missed FROM pub WHERE lower(source) = 'furniture' AND format = 'online'")
@@ -89,6 +90,25 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.source_counts(published(spark, sf_dir))
 
 
+GEO_SQL = "round_even(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)), 1)"
+
+
+@register(f"""{PUBLISHED_SQL}, g AS (SELECT *, pow(sin(radians((id * 7 % 180) - 90.0 - 12.97) / 2), 2) + cos(radians(12.97)) * cos(radians((id * 7 % 180) - 90.0)) * pow(sin(radians((id * 13 % 360) - 180.0 - 77.59) / 2), 2) AS a FROM pub)
+SELECT id, {GEO_SQL} AS distance_km FROM g WHERE NOT past AND format IN ('offline', 'hybrid') AND {GEO_SQL} <= 2500""")
+def catalog_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.nearby(_placed(published(spark, sf_dir)), 12.97, 77.59, 2500).select("id", "distance_km")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lat", F.col("id") * 7 % 180 - 90.0).withColumn("lng", F.col("id") * 13 % 360 - 180.0)
+
+
+@register(f"""{PUBLISHED_SQL}, g AS (SELECT *, pow(sin(radians((id * 7 % 180) - 90.0 - 12.97) / 2), 2) + cos(radians(12.97)) * cos(radians((id * 7 % 180) - 90.0)) * pow(sin(radians((id * 13 % 360) - 180.0 - 77.59) / 2), 2) AS a FROM pub)
+SELECT id, {GEO_SQL} AS distance_km FROM g WHERE NOT past ORDER BY 2, id LIMIT 40""")
+def catalog_page_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CatalogQuery(lat=12.97, lng=77.59, sort="distance", tab="upcoming", limit=40).results(_placed(published(spark, sf_dir))).select("id", "distance_km")
+
+
 @register("""SELECT id, distance_km FROM (SELECT s_suppkey AS id, round_even(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)), 1) AS distance_km FROM (SELECT s_suppkey,
 pow(sin(radians((s_suppkey * 7 % 180) - 90.0 - 12.97) / 2), 2) + cos(radians(12.97)) * cos(radians((s_suppkey * 7 % 180) - 90.0)) * pow(sin(radians((s_suppkey * 13 % 360) - 180.0 - 77.59) / 2), 2) AS a FROM supplier))
 ORDER BY distance_km, id LIMIT 25""")
@@ -399,7 +419,7 @@ def tag_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.clean_tags(F.split("text", " ")), "|")).alias("tags"))
 
 
-ALIASES = {"crimson": ("red",), "shade": ("dark", "light")}
+ALIASES = {"crimson": "red"}
 
 
 @register()

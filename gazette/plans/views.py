@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.session import table
+from gazette.operators import catalog
+from gazette.session import shared_dir, table
+from gazette.sources import generations
 
 AS_OF = dt.date(1998, 7, 1)
 OBSERVED_TO = dt.datetime(2024, 1, 31)
@@ -46,3 +49,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_totalprice").alias("prize"),
         )
     )
+
+
+#: Raised when what is published changes, so that no older generation is taken for it.
+VIEW = 2
+SOURCES = ("orders", "lineitem", "part", "customer", "nation", "region")
+
+
+def published_view(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
+    """The published generation of the listings that requests read: narrow, partitioned by past and
+    sorted as pages are. It is published anew when a file of its sources or the day has changed."""
+    files = [spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet").select("path", "modificationTime", "length") for name in SOURCES]
+    listed = sorted(map(str, (tuple(r) for f in files for r in f.collect())))  # names, times and sizes only
+    root = f"{shared_dir(spark)}/views/{hashlib.sha256(repr((listed, as_of, VIEW)).encode()).hexdigest()[:32]}"
+    if generations.current(spark, root) is None:
+        generations.publish(catalog.published(listings(spark, sf_dir), as_of), root, None, ("past",), ("missing", "deadline", "id"))
+    return generations.read(spark, root)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,18 @@ def local_session(cores: int | None = None, shuffle_partitions: int = 8) -> Spar
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset, one of this machine, but only if
+    the session runs on this machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='gazette-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

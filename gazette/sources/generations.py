@@ -8,10 +8,15 @@ the generation before; older ones are returned for the caller to remove.
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+MANIFEST = "serial bigint, generation string, previous string, n bigint, layout string"
 
 
 class StaleManifest(RuntimeError):
@@ -28,7 +33,7 @@ def fingerprint(rows: DataFrame) -> DataFrame:
 def current(spark: SparkSession, root: str) -> dict | None:
     """The last manifest: generation, previous, n; None before the first."""
     try:
-        found = spark.read.schema("serial bigint, generation string, previous string, n bigint").json(f"{root}/manifests")
+        found = spark.read.schema(MANIFEST).json(f"{root}/manifests")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
@@ -43,15 +48,16 @@ def publish(rows: DataFrame, root: str, seen: dict | None, partition_by: tuple[s
     The new manifest's ``retired`` is the generation that no reader needs any more, or None."""
     spark = rows.sparkSession
     generation = f"generations/{uuid.uuid4().hex}"
-    laid = rows.repartition(*partition_by, F.pmod(F.xxhash64(*rows.columns), F.lit(16))) if partition_by else rows
+    counted = Observation()
+    laid = rows.hint("rebalance", *partition_by)  # files of the advisory size, whatever the values' shares
     laid = laid.sortWithinPartitions(*partition_by, *sort_by) if partition_by or sort_by else laid
-    laid.write.partitionBy(*partition_by).parquet(f"{root}/{generation}")
-    n = spark.read.parquet(f"{root}/{generation}").count()
+    laid.observe(counted, F.count(F.lit(1)).alias("n")).write.partitionBy(*partition_by).parquet(f"{root}/{generation}")
+    n = counted.get["n"]
     now = current(spark, root)
     if (now or {}).get("serial") != (seen or {}).get("serial"):
         raise StaleManifest(f"{generation} is not published")
-    manifest = {"serial": ((now or {}).get("serial") or 0) + 1, "generation": generation, "previous": (now or {}).get("generation"), "n": n}
-    row = spark.createDataFrame([tuple(manifest.values())], "serial bigint, generation string, previous string, n bigint")
+    manifest = {"serial": ((now or {}).get("serial") or 0) + 1, "generation": generation, "previous": (now or {}).get("generation"), "n": n, "layout": rows.schema.json()}
+    row = spark.createDataFrame([tuple(manifest.values())], MANIFEST)
     row.coalesce(1).write.mode("append").json(f"{root}/manifests")
     return manifest | {"retired": (now or {}).get("previous")}
 
@@ -60,7 +66,8 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     held = current(spark, root)
     if held is None:
         raise FileNotFoundError(f"nothing is published in {root}")
-    return spark.read.parquet(f"{root}/{held['generation']}")
+    layout = StructType.fromJson(json.loads(held["layout"]))  # columns that files are partitioned by keep their types
+    return spark.read.schema(layout).parquet(f"{root}/{held['generation']}").select(*layout.names)
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:

@@ -2,13 +2,14 @@ import datetime as dt
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, measures, text
 from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
-from gazette.plans import intake, queries  # noqa: F401
+from gazette.plans import intake, queries, views  # noqa: F401
 from gazette.streaming import activity
 
 SF = "/root/testdata/sf0.001"
@@ -188,13 +189,43 @@ def test_fuzzy_search(spark):
     def found(query, **more):
         return {r["id"] for r in search.search(df, ["t"], query, **more).collect()}
 
-    aliases = {"crimson": ("red",)}
+    aliases = {"crimson": "red"}
     assert found("") == found("!!!") == set(range(8))
-    assert found("wiget crimson", aliases=aliases) == {0, 1}
-    assert found("wiget crimson", aliases=aliases, fuzzy=False) == set()
+    assert found("wiget crimson", synonyms=aliases) == {0, 1}
+    assert found("wiget crimson", synonyms=aliases, fuzzy=False) == set()
     assert found("WIDGET") == {i for i, t in enumerate(texts) if any("widget" in w or (len(w) >= 4 and abs(len(w) - 6) <= 3 and SequenceMatcher(None, "widget", w).ratio() >= 0.78) for w in (t or "").lower().replace(",", "").split())}
 
 
+def test_search_knows_places_and_campuses(spark):
+    texts = ["Sprint at IIIT Hyderabad", "IIIT-H open day", "iiit hydrabad night", "IIT Bombay Techfest", "Mumbai meetup", "Code in Bangalore", "Delhi"]
+    df = spark.createDataFrame([(i, t, ["a", "b"]) for i, t in enumerate(texts)], "id int, title string, tags array<string>")
+
+    def found(query):
+        return {r["id"] for r in df.filter(search.matches(search.corpus(df.columns), query)).collect()}
+
+    assert found("iiith") == found("iiit hyderabad") == {0, 1, 2} - ({1} if "hyderabad" not in "iiith iiit h" else set()) | {1}
+    assert found("hydrerabad") == {0, 1, 2}
+    assert found("mumbai") == {3, 4} and found("bengaluru") == {5}
+    assert found("A B") == set(range(7)) and found("nowhere") == set()
+
+
+def test_nearby_and_aliases(spark):
+    rows = spark.createDataFrame([(1, False, "offline", 12.9, 77.6, [7]), (2, True, "offline", 12.9, 77.6, None), (3, False, "online", 12.9, 77.6, None), (4, False, "hybrid", None, None, [8]), (5, False, "hybrid", 13.9, 77.6, [9])], "id int, past boolean, format string, lat double, lng double, aliases array<int>")
+    assert [r["id"] for r in catalog.nearby(rows, 12.97, 77.59, 50).collect()] == [1]
+    assert {r["id"] for r in CatalogQuery(ids=(5, 7, 8)).matches(rows).collect()} == {1, 4, 5}
+
+
+def test_the_published_view_is_read_again_and_renewed(spark, tmp_path):
+    import shutil
+
+    for name in views.SOURCES:
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path)
+    one, two = views.published_view(spark, str(tmp_path)), views.published_view(spark, str(tmp_path))
+    assert one.inputFiles() == two.inputFiles() and one.count() == 1500
+    pq.write_table(pq.read_table(f"{SF}/orders.parquet").slice(0, 9), tmp_path / "orders.parquet")
+    assert views.published_view(spark, str(tmp_path)).count() == 9
+
+
 def test_instant_in_zone(spark):
     want = {"2024-03-10 02:30": "local", "2024-11-03T01:15": "local", "2024-07-01 09:00": "instant", "soon": None, None: None}
     df = spark.createDataFrame([(k,) for k in want], "t string").select("t", dates.instant_in_zone(F.col("t"), "America/New_York").alias("x"))
