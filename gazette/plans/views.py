@@ -59,9 +59,10 @@ SOURCES = ("orders", "lineitem", "part", "customer", "nation", "region")
 def published_view(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     """The published generation of the listings that requests read: narrow, partitioned by past and
     sorted as pages are. It is published anew when a file of its sources or the day has changed."""
-    files = [spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet").select("path", "modificationTime", "length") for name in SOURCES]
-    listed = sorted(map(str, (tuple(r) for f in files for r in f.collect())))  # names, times and sizes only
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{name}.parquet" for name in SOURCES])
+    listed = sorted(map(tuple, files.select("path", "modificationTime", "length").coalesce(1).collect()))  # no contents
     root = f"{shared_dir(spark)}/views/{hashlib.sha256(repr((listed, as_of, VIEW)).encode()).hexdigest()[:32]}"
-    if generations.current(spark, root) is None:
-        generations.publish(catalog.published(listings(spark, sf_dir), as_of), root, None, ("past",), ("missing", "deadline", "id"))
-    return generations.read(spark, root)
+    held = generations.current(spark, root)
+    if held is None:
+        held = generations.publish(catalog.published(listings(spark, sf_dir), as_of), root, None, ("past",), ("missing", "deadline", "id"))
+    return generations.read(spark, root, held)

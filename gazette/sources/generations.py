@@ -38,8 +38,8 @@ def current(spark: SparkSession, root: str) -> dict | None:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    last = found.orderBy(F.desc("serial")).limit(1).collect()
-    return last[0].asDict() if last else None
+    last = found.agg(F.max_by(F.struct("*"), "serial").alias("m")).select("m.*").first()
+    return last.asDict() if last["serial"] is not None else None
 
 
 def publish(rows: DataFrame, root: str, seen: dict | None, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> dict:
@@ -62,8 +62,9 @@ def publish(rows: DataFrame, root: str, seen: dict | None, partition_by: tuple[s
     return manifest | {"retired": (now or {}).get("previous")}
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    held = current(spark, root)
+def read(spark: SparkSession, root: str, held: dict | None = None) -> DataFrame:
+    """The generation that a manifest names, the present one if none is given."""
+    held = held or current(spark, root)
     if held is None:
         raise FileNotFoundError(f"nothing is published in {root}")
     layout = StructType.fromJson(json.loads(held["layout"]))  # columns that files are partitioned by keep their types
