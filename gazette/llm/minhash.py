@@ -274,6 +274,7 @@ def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = _grouped(docs.select("doc_id", "text"), size, percent).filter("grp is not null")
     texts = materialize(found.groupBy("grp", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows")), "group_rows")
     groups = texts.groupBy("grp").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("grp", "first")
+    groups = materialize(groups, "firsts")  # so that the join deals texts anew, and a crowded group can be split
     placed = texts.join(groups, "grp", "left")
     stays = F.col("first").isNull() | (F.struct("doc_id", "t") == F.col("first"))
     gone = materialize(placed.filter(~stays).select("doc_id", "t").distinct(), "gone")
