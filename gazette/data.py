@@ -30,3 +30,18 @@ SYNONYMS = {
 
 # The fields of a listing that a search looks at, in this order.
 SEARCH_FIELDS = ("title", "organizer", "source", "platforms", "venue", "location", "college_name", "college_type", "city", "description", "tagline", "opportunity_type", "tags")
+
+# Patterns of prizes in prose, in the order they are tried; group 1 is the prize.
+PRIZE_PATTERNS = (
+    "(?i)(?:prize\\s*(?:pool|worth)?|prizes?\\s*(?:worth)?|total\\s*prizes?)\\s*[:\\-–]?\\s*(₹[\\d,.\\s]+(?:lakh|lac|crore|cr|k)?)",
+    "(?i)(₹[\\d,.\\s]+(?:lakh|lac|crore|cr|k)?)\\s*(?:prize|cash|worth)",
+    "(?i)(?:prize|cash|worth)\\s*[:\\-–]?\\s*(\\$[\\d,.\\s]+(?:k|K)?)",
+    "(?i)(₹[\\d,.\\s]+)\\s*(?:lakh|lac|crore|cr)",
+    "(?i)(?:win|earn)\\s+(?:up\\s+to\\s+)?(₹[\\d,.\\s]+(?:lakh|lac|crore|cr|k)?)",
+)
+# Platforms whose names end the titles of their pages.
+TITLE_PLATFORMS = ("Devfolio", "Unstop", "Devpost", "HackerEarth", "MLH", "Eventbrite", "Luma", "KonfHub")
+# Values of fields that mean "not known".
+UNKNOWN_VALUES = ("", "TBA", "Unknown")
+# Fields that are counted or stamped, and never in conflict.
+METADATA_FIELDS = ("scraped_at", "last_seen_at", "total_registrations", "registrations")

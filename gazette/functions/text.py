@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazette.data import PRIZE_PATTERNS, TITLE_PLATFORMS
+
 #: Texts that mean "not known".
 UNKNOWN = ("tba", "tbd", "n/a", "na", "none", "null", "unknown", "not listed", "not specified", "not provided", "-")
 #: Words that carry no identity in a title.
@@ -100,3 +104,50 @@ def escape_html(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
+
+
+def bare_url(url: Column) -> Column:
+    """A URL without its query and fragment."""
+    return F.regexp_replace(url, "(?s)[?#].*$", "")
+
+
+def url_slug(url: Column, platform: str) -> Column:
+    """The name after /hackathons/, else the subdomain of the platform's host; '' if neither."""
+    by_path = F.regexp_extract(url, "/hackathons/([^/?#]+)", 1)
+    by_host = F.regexp_extract(url, f"https?://([^.]+)\\.{platform}\\.co", 1)
+    return F.coalesce(F.when(by_path != "", by_path).when(~by_host.isin("www", "api", platform), by_host), F.lit(""))
+
+
+def platform_free_title(title: Column) -> Column:
+    """A page title without the platform's name behind a dash, bar or colon."""
+    return F.trim(F.regexp_replace(title, f"(?is)[\\-|–—:]\\s*(?:{'|'.join(TITLE_PLATFORMS)}).*$", ""))
+
+
+def prize_in_prose(text: Column) -> Column:
+    """The prize that a text names, by the first pattern that fits; amounts in lakh or crore without a
+    sign come after, and TBA where there is none."""
+    named = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in PRIZE_PATTERNS]
+    lakh = F.regexp_extract(F.lower(text), "(\\d+(?:\\.\\d+)?)\\s*(?:lakh|lac)s?", 1)
+    crore = F.regexp_extract(F.lower(text), "(\\d+(?:\\.\\d+)?)\\s*(?:crore|cr)s?", 1)
+    words = F.when(lakh != "", F.concat(F.lit("₹"), lakh, F.lit(" Lakh"))).when(crore != "", F.concat(F.lit("₹"), crore, F.lit(" Cr")))
+    return F.coalesce(*named, words, F.lit("TBA"))
+
+
+def caption_title(caption: Column, account: Column) -> Column:
+    """The first sentence of a caption (10 to 80 characters), else its first 80 characters, without
+    tags and mentions; a title made of the account where too little is left."""
+    first = F.regexp_extract(caption, "(?s)^(.{10,80}?)(?:\\n|\\.|!|\\?)", 1)
+    whole = F.when(first != "", first).otherwise(F.substring(caption, 1, 80))
+    title = F.trim(F.regexp_replace(F.regexp_replace(whole, "(?U)[#@]\\w+", ""), "\\s+", " "))
+    return F.when(F.length(title) >= 5, title).otherwise(F.concat(F.lit("Hackathon by @"), account))
+
+
+def user_agent(agent: Column) -> Column:
+    """device, os and browser of a user agent; Unknown where there is none."""
+    a = F.lower(agent)
+    has = lambda *words: reduce(lambda x, y: x | y, [a.contains(w) for w in words])
+    none = F.coalesce(agent, F.lit("")) == ""
+    device = F.when(none, "Unknown").when(has("mobile", "android", "iphone", "ipod"), "Mobile").when(has("ipad", "tablet"), "Tablet").otherwise("Desktop")
+    system = F.when(none, "Unknown").when(has("iphone", "ipad"), "iOS").when(has("android"), "Android").when(has("windows"), "Windows").when(has("mac os", "macintosh"), "macOS").when(has("linux"), "Linux").otherwise("Other")
+    browser = F.when(none, "Unknown").when(has("edg/"), "Edge").when(has("chrome/") & has("safari/"), "Chrome").when(has("firefox/"), "Firefox").when(has("safari/"), "Safari").otherwise("Other")
+    return F.struct(device.alias("device"), system.alias("os"), browser.alias("browser"))

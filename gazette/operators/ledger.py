@@ -90,3 +90,48 @@ def job_state(attempts: DataFrame, key: str, order: list[str], result: str, budg
     out = counted.groupBy(key).agg(won.alias("won"), F.max("n").alias("tried"))
     state = F.when(F.col("won").isNotNull(), "delivered").when(F.col("tried") >= budget, "failed").otherwise("retryable")
     return out.select(key, state.alias("state"), F.coalesce("won", "tried").cast("bigint").alias("attempts"))
+
+
+def archived_guarded(rows: DataFrame, as_of: dt.date, keep_days: int = 3, stale_days: int = 30) -> DataFrame:
+    """rows (deadline, source, seen) with archived: 'expired' beyond the days that are kept, or 'stale'
+    where undated and not seen for long (never community entries); null else. Each is refused as a
+    whole when it would take too many of all rows; nothing is deleted."""
+    expired = F.coalesce(F.col("deadline") < F.date_sub(F.lit(as_of), keep_days), F.lit(False))
+    own = F.coalesce(F.lower("source").startswith("community"), F.lit(False))
+    stale = F.col("deadline").isNull() & ~own & F.coalesce(F.col("seen") < F.date_sub(F.lit(as_of), stale_days).cast("timestamp"), F.lit(False))
+    marked = rows.withColumn("expired", expired).withColumn("stale", stale)
+    n = marked.agg(F.count(F.lit(1)).alias("total"), F.count_if("expired").alias("n_expired"), F.count_if("stale").alias("n_stale"))
+    fits = lambda c: (F.col("total") < GUARD_LEAST) | (F.col(c) <= F.greatest(F.lit(GUARD_ROWS), F.floor(F.col("total") * GUARD_PERCENT / 100)))
+    x = marked.crossJoin(F.broadcast(n))  # one row
+    archived = F.when(F.col("expired") & fits("n_expired"), "expired").when(F.col("stale") & fits("n_stale"), "stale")
+    return x.withColumn("archived", archived).drop("expired", "stale", "total", "n_expired", "n_stale")
+
+
+def least_recent(rows: DataFrame, checked: str, key: str, most: int) -> DataFrame:
+    """The rows that were checked longest ago, never checked ones first."""
+    return rows.orderBy(F.col(checked).asc_nulls_first(), key).limit(most)
+
+
+def newest_of_each(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """Up to most rows of each key, in order. The window keeps no more than that of a key in a task."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+
+
+def latency_summary(rows: DataFrame, value: str, newest: list[Column], sample: int = 500) -> DataFrame:
+    """Of the last sample values: median (one decimal), p95 (the value at the place int(0.95 n), not
+    between two), least, most and n."""
+    last = rows.orderBy(*newest).limit(sample)
+    v = F.col("v")
+    x = last.agg(F.sort_array(F.collect_list(value)).alias("v"), F.percentile(value, 0.5).alias("m"))  # up to sample values
+    place = F.greatest(F.lit(1), F.floor(F.size(v) * 0.95).cast("int"))
+    return x.select(F.round("m", 1).alias("median"), F.try_element_at(v, place).alias("p95"), F.try_element_at(v, F.lit(1)).alias("least"), F.try_element_at(v, F.lit(-1)).alias("most"), F.size(v).cast("bigint").alias("n"))
+
+
+def valid_until(rows: DataFrame, instants: list[str], seen: str, now: dt.datetime, fresh_days: int = 14) -> DataFrame:
+    """One row: when a snapshot taken now has to be renewed. The next UTC midnight, or before it the
+    first of the instants to come or the moment at which a row is no longer fresh."""
+    fresh = F.when(F.col(seen) > F.lit(now), F.col(seen)).otherwise(F.col(seen) + F.expr(f"INTERVAL {fresh_days} DAYS"))
+    ahead = F.array_min(F.filter(F.array(*instants, fresh), lambda t: t > F.lit(now)))
+    midnight = F.lit(dt.datetime.combine(now.date() + dt.timedelta(days=1), dt.time()))
+    return rows.agg(F.least(midnight, F.min(ahead)).alias("valid_until"))
