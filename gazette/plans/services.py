@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text
-from gazette.operators import ingest, ledger, outbox
+from gazette.operators import canonical, ingest, ledger, outbox
 from gazette.plans.queries import observations, register
 from gazette.plans.views import AS_OF, LISTINGS_SQL, listings
 from gazette.session import table
+from gazette.sources import generations
 
 FIELDS = ["source", "source_event_id", "link", "title", "prize", "registrations"]
 CUSTOMERS_SQL = """o AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS seg FROM customer),
@@ -196,3 +198,60 @@ def caption_and_agent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def newest_of_each_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.newest_of_each(observations(spark, sf_dir), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")], 5)
     return rows.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+NOW = dt.datetime.combine(AS_OF, dt.time(12))
+EVENTS_SQL = f"""WITH {LISTINGS_SQL}, e AS (SELECT id, id % 4 AS f, id % 7 AS g, deadline AS d, source, city, status_text, id % 3 > 0 AS confirmed, TIMESTAMP '{AS_OF} 12:00:00' AS now,
+deadline::TIMESTAMP + INTERVAL 10 HOUR - INTERVAL 330 MINUTE AS moment, deadline::TIMESTAMP AS seen FROM listings),
+s AS (SELECT *, CASE f WHEN 0 THEN 'date' WHEN 1 THEN 'instant' WHEN 2 THEN 'local' ELSE 'unknown' END AS precision,
+CASE WHEN f = 3 THEN false WHEN f = 1 THEN moment <= now ELSE (d + 1)::TIMESTAMP <= now END AS closed, CASE WHEN f < 3 THEN d END AS day FROM e),
+t AS (SELECT *, CASE WHEN closed OR status_text = 'closed' OR day < now::DATE THEN 'closed' WHEN day - now::DATE <= 5 THEN 'closing' WHEN day IS NOT NULL THEN 'open' ELSE status_text END AS state FROM s)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("id"), F.date_format("deadline", "yyyy-MM-dd")
+    closes = F.when(k % 4 == 0, d).when(k % 4 == 1, F.concat(d, F.lit("T10:00:00+05:30"))).when(k % 4 == 2, F.concat(d, F.lit(" 10:00:00"))).otherwise("TBA")
+    none = F.lit(None).cast("string")
+    rows = listings(spark, sf_dir).select(
+        k, F.when(k % 5 == 0, " tba ").otherwise(F.concat(F.lit(" Sprint  "), k)).alias("title"), "organizer", "source", F.when(k % 7 == 0, none).when(k % 7 == 1, "http://localhost/x").otherwise(F.concat(F.lit("HTTPS://H.example/"), k, F.lit("?utm_a=1"))).alias("link"),
+        "mode", "city", F.concat(F.lit("₹"), k).alias("prize"), F.col("status_text").alias("status"), none.alias("opens"), closes.alias("closes"), none.alias("starts"), none.alias("ends"), F.array("tag", F.lit(" ")).alias("tags"),
+        F.col("deadline").cast("timestamp").alias("seen"), (k % 3 > 0).alias("confirmed"), F.array(F.lit("title"), F.lit("secret")).alias("conflicts"),
+    )
+    return canonical.canonical(rows, NOW)
+
+
+@register(f"""{EVENTS_SQL} SELECT id, CASE WHEN id % 5 > 0 THEN 'Sprint ' || id END AS title, CASE WHEN g > 1 THEN 'https://h.example/' || id END AS registration_url, CASE g WHEN 0 THEN 'missing' WHEN 1 THEN 'unsafe' ELSE 'safe' END AS url_status,
+precision, 'INR ' || id AS prize, 'title' AS conflicts, state AS registration_state, CASE WHEN seen > now THEN 'unknown' WHEN seen < now - INTERVAL 14 DAY THEN 'stale' ELSE 'fresh' END AS freshness,
+CASE WHEN NOT confirmed THEN 'pending' WHEN state = 'closed' THEN 'archived' ELSE 'published' END AS publication_state FROM t""")
+def canonical_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("id", "title", "registration_url", F.col("registration_url_status").alias("url_status"), "closes.precision", "prize", F.array_join("conflicting_fields", ",").alias("conflicts"), "registration_state", "freshness", "publication_state")
+
+
+@register(f"{EVENTS_SQL} SELECT count(*) AS records, count(*) FILTER (f = 3) AS unknown_dates, count(*) FILTER (g < 2) AS unsafe_links, count(*) FILTER (seen > now OR seen < now - INTERVAL 14 DAY) AS not_fresh FROM t")
+def event_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.audit(_events(spark, sf_dir))
+
+
+@register(f"{EVENTS_SQL} SELECT id FROM t WHERE confirmed")
+def catalog_visible_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.visible(_events(spark, sf_dir)).select("id")
+
+
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') END AS aware, strftime(CASE event_id % 3 WHEN 0 THEN ts - INTERVAL 330 MINUTE ELSE ts END, '%Y-%m-%d %H:%M') AS lenient FROM events")
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, iso = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    shown = F.when(k % 3 == 0, F.concat(iso, F.lit("+05:30"))).when(k % 3 == 1, iso).otherwise(F.unix_timestamp("ts").cast("string"))
+    show = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm")
+    return observations(spark, sf_dir).select(k, show(canonical.stamp(shown)).alias("aware"), show(canonical.lenient_stamp(shown)).alias("lenient"))
+
+
+def _digest_sql(name: str, columns: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS n, sum(CAST('0x' || md5({columns})[1:8] AS BIGINT))::BIGINT AS digest FROM {name}"
+
+
+@register(" UNION ALL ".join([_digest_sql("nation", "n_nationkey || '|' || n_name || '|' || n_regionkey"), _digest_sql("customer", "c_custkey || '|' || c_mktsegment || '|' || c_name || '|' || c_nationkey"), _digest_sql("orders", "o_custkey || '|' || o_orderkey || '|' || o_orderpriority || '|' || o_orderstatus"), _digest_sql("documents", "doc_id || '|' || lang || '|' || source || '|' || text")]))
+def backup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a table: how many rows, and a digest that does not depend on their order."""
+    columns = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_mktsegment", "c_name", "c_nationkey"), "orders": ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "documents": ("doc_id", "lang", "source", "text")}
+    return reduce(DataFrame.unionByName, [generations.digest(table(spark, sf_dir, name), name, cols) for name, cols in columns.items()])
