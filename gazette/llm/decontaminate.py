@@ -47,26 +47,57 @@ NUMBER_UNIT = re.compile(r"[+-]?\d+(?:[.,]\d+)*([a-z]+)")
 SENTENCE_END = (".", "!", "?", ":", ";", ".\"", ".'", ".)", "?\"", "!\"")
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 
-# raw word -> literal hash, template hash, kind of slot, kind of slot inside a sentence, ends a sentence
-_words: dict[str, tuple[int, int, int, int, int]] = {}
 _SLOT = {k: xxhash.xxh3_64_intdigest(f"<{k}>") for k in (NUM, UNIT, NAME)}
 
 
-def _read(word: str) -> tuple[int, int, int, int, int]:
+def _read(word: str) -> tuple[int, int, int, int]:
+    """literal hash, kind of slot, kind of slot inside a sentence, whether it ends a sentence"""
     core = word.strip(OUTER)
     ends = int(word.endswith(SENTENCE_END))
     if not core:
-        return (0, 0, LITERAL, LITERAL, ends)
+        return (0, LITERAL, LITERAL, ends)
     low = core.lower()
     h = xxhash.xxh3_64_intdigest(low) or 1
-    if NUMBER.fullmatch(low) or ((m := NUMBER_UNIT.fullmatch(low)) and m[1] in UNITS):
+    if (low[0].isdigit() or low[0] in "+-") and (NUMBER.fullmatch(low) or ((m := NUMBER_UNIT.fullmatch(low)) and m[1] in UNITS)):
         kind = NUM
     elif low in UNITS:
         kind = UNIT
     else:
         kind = LITERAL
     inside = NAME if kind == LITERAL and core[0].isupper() and not core.isupper() else kind
-    return (h, 0, kind, inside, ends)
+    return (h, kind, inside, ends)
+
+
+class _Words(dict):
+    """Place of each word met so far in the columns literal (hash) and marks (what else _read gives)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[tuple[int, int]] = []  # not yet in the columns
+        self.literal, self.marks = np.empty(0, np.uint64), np.empty(0, np.int8)
+
+    def __missing__(self, word: str) -> int:
+        h, kind, inside, ends = _read(word)
+        self.fresh.append((h, kind | inside << 2 | ends << 4))
+        at = self[word] = len(self)
+        return at
+
+    def columns(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > WORD_CACHE:
+            self.__init__()
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            end = len(self)
+            if end > len(self.literal):
+                self.literal, self.marks = np.resize(self.literal, 2 * end), np.resize(self.marks, 2 * end)
+            h, marks = zip(*self.fresh, strict=True)
+            self.literal[end - len(h) : end], self.marks[end - len(h) : end] = np.array(h, np.uint64), np.array(marks, np.int8)
+            self.fresh.clear()
+        return self.literal[at], self.marks[at]
+
+
+_words = _Words()
 
 
 Form = tuple[bool, np.ndarray, np.ndarray]
@@ -75,20 +106,11 @@ Form = tuple[bool, np.ndarray, np.ndarray]
 def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
     """Literal hashes of the words, words without a letter or digit left out; and the forms: whether
     it is a template, the hashes, and the kinds of slot. The last has names at the beginnings of sentences."""
-    if len(_words) > WORD_CACHE:
-        _words.clear()
-    rows = []
-    for w in (text or "").split():
-        x = _words.get(w)
-        if x is None:
-            x = _words[w] = _read(w)
-        rows.append(x)
-    if not rows:
+    words = (text or "").split()
+    if not words:
         return np.empty(0, np.uint64), []
-    literal = np.fromiter((x[0] for x in rows), np.uint64, len(rows))
-    plain = np.fromiter((x[2] for x in rows), np.int8, len(rows))
-    inside = np.fromiter((x[3] for x in rows), np.int8, len(rows))
-    ends = np.fromiter((x[4] for x in rows), np.int8, len(rows))
+    literal, marks = _words.columns(words)
+    plain, inside, ends = marks & 3, marks >> 2 & 3, marks >> 4
     first = np.concatenate([[1], ends[:-1]]).astype(bool)
     keep = literal != 0
     forms = [(False, literal[keep], plain[keep])]
