@@ -52,8 +52,9 @@ _SLOT = {k: xxhash.xxh3_64_intdigest(f"<{k}>") for k in (NUM, UNIT, NAME)}
 
 def _read(word: str) -> tuple[int, int, int, int]:
     """literal hash, kind of slot, kind of slot inside a sentence, whether it ends a sentence"""
-    core = word.strip(OUTER)
-    ends = int(word.endswith(SENTENCE_END))
+    core, ends = word, 0
+    if not word.isalnum():
+        core, ends = word.strip(OUTER), int(word.endswith(SENTENCE_END))
     if not core:
         return (0, LITERAL, LITERAL, ends)
     low = core.lower()
@@ -123,14 +124,15 @@ def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the windows of size words; all words as one window if there are fewer."""
-    n = min(size, len(x))
+    """Hashes of the windows of size words, a row a form; all words as one window if there are fewer."""
+    forms, words = x.shape
+    n = min(size, words)
     if not n:
-        return np.empty(0, np.int64)
-    acc = np.full(len(x) - n + 1, n, np.uint64)
+        return np.empty((forms, 0), np.int64)
+    acc = np.full((forms, words - n + 1), n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[k : len(x) - n + 1 + k]
+            acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[:, k : words - n + 1 + k]
         acc = (acc ^ (acc >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return ((acc ^ (acc >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
 
@@ -140,13 +142,12 @@ def _slots(literal: np.ndarray, kind: np.ndarray, at: int, n: int) -> np.ndarray
     return literal[at : at + n][kind[at : at + n] != LITERAL].view(np.int64)
 
 
-def _form_windows(forms: list[Form], size: int) -> list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """The forms with the hashes of their windows, and which of these differ from the form before."""
-    out = []
-    for templ, x, kind in forms:
-        w = _windows(x, size)
-        out.append((templ, kind, w, w != out[-1][2] if out else np.ones(len(w), bool)))
-    return out
+def _form_windows(forms: list[Form], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row a form: the hashes of its windows, and which of these differ from the form before."""
+    if not forms:
+        return np.empty((0, 0), np.int64), np.empty((0, 0), bool)
+    w = _windows(np.stack([x for _, x, _ in forms]), size)
+    return w, np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
 
 
 WINDOW_SCHEMA = "id bigint, n_words int, pos int, h bigint, templ boolean, slots array<bigint>"
@@ -159,9 +160,10 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
         for item, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             literal, forms = _canonical(text)
             n = min(size, len(literal))
-            for templ, kind, w, fresh in _form_windows(forms, size):
-                for pos in np.flatnonzero(fresh).tolist():
-                    h = int(w[pos])
+            hashes, fresh = _form_windows(forms, size)
+            for k, (templ, _, kind) in enumerate(forms):
+                for pos in np.flatnonzero(fresh[k]).tolist():
+                    h = int(hashes[k, pos])
                     own = _slots(literal, kind, pos, n) if templ else np.empty(0, np.int64)
                     if templ and (not len(own) or len(own) == n):
                         continue  # the same as the literal window, or slots only, which say nothing
@@ -186,14 +188,16 @@ def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
             for size in sizes:
                 if len(literal) < size:
                     continue
-                for templ, kind, w, fresh in _form_windows(forms, size):
-                    for pos in np.flatnonzero(in_bitmap(held, w) & fresh).tolist():
+                w, fresh = _form_windows(forms, size)
+                maybe = in_bitmap(held, w) & fresh
+                for k, (templ, _, kind) in enumerate(forms):
+                    for pos in np.flatnonzero(maybe[k]).tolist():
                         own = _slots(literal, kind, pos, size) if templ else np.empty(0, np.int64)
                         if templ and not len(own):
                             continue
                         ids.append(doc)
                         at.append(pos)
-                        hs.append(int(w[pos]))
+                        hs.append(int(w[k, pos]))
                         ts.append(templ)
                         slots.append(own)
                         near.append(literal[max(0, pos - beside) : pos + size + beside].view(np.int64))
