@@ -12,7 +12,8 @@ in them, unless the content that the clustering finds outside holds more than PR
 
 Cases: null, empty or text-less html gives ''; broken nesting is tolerated (a closing tag closes up
 to its own opening tag, or is ignored); unclosed script or style content is dropped; page_id and
-url pass through, nulls included; repeated rows give repeated rows.
+url pass through, nulls included; repeated rows give repeated rows; very long pages are read whole;
+an empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

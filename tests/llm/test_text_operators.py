@@ -228,3 +228,17 @@ def test_classifier_odd_rows(odd_docs):
     rows = weak_quality.classify(odd_docs).collect()
     assert len(rows) == 9 and not any(r["kept"] for r in rows if r["doc_id"] in (1, 2, 3)) and all(0 <= r["score"] <= 1 for r in rows)
     assert weak_quality.classify(odd_docs.limit(0)).isEmpty()
+
+
+def test_main_text_of_odd_rows(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>A title</h1><p>Some words of the article that matter.</p></article><footer>Imprint</footer></body></html>"
+    long = "<html><body><div>" + "<p>one more sentence of the text stands here</p>" * 20_000 + "</div></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "v", None), (3, "", ""), (4, "w", "<p>unclosed <b>bold"), (5, "x", long), (6, "y", "no markup at all"), (7, "z", "<script>var x = 1;")]
+    pages = spark.createDataFrame([(*r, "t", 9, "d") for r in rows], "page_id long, url string, html string, text string, n_chars long, doc_id string")
+    got = html_extract.main_text(pages).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    by_id = {r["page_id"]: r["text"] for r in got}
+    assert sum(r["text"] == "A title Some words of the article that matter." for r in got) == 3
+    assert by_id[2] == by_id[3] == by_id[7] == "" and by_id[4] == "unclosed bold" and by_id[6] == "no markup at all"
+    assert by_id[5] == " ".join(["one more sentence of the text stands here"] * 20_000)
+    assert html_extract.main_text(pages.limit(0)).isEmpty()
