@@ -329,10 +329,10 @@ def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("subscriber"), F.when(k % 4 == 0, "all").when(k % 4 == 1, "BUILDING").when(k % 4 == 2, "MACHINERY").otherwise("none").alias("preference"))
 
 
-@register(f"WITH {LISTINGS_SQL}, {SUBSCRIBERS_SQL} SELECT l.id % 10 AS shard, s.subscriber, count(*) AS n FROM listings l JOIN s ON s.preference = 'all' OR s.preference = l.source WHERE l.deadline = DATE '{AS_OF}' + CAST(l.id % 50 AS INT) OR l.id % 100 = 0 GROUP BY ALL")
+@register(f"WITH {LISTINGS_SQL}, {SUBSCRIBERS_SQL} SELECT l.id % 10 AS shard, s.subscriber, count(*) AS n FROM listings l JOIN s ON s.preference = 'all' OR s.preference = l.source WHERE l.deadline >= DATE '{AS_OF}' GROUP BY ALL")
 def recipients_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = listings(spark, sf_dir).filter((F.col("deadline") == F.date_add(F.lit(AS_OF), (F.col("id") % 50).cast("int"))) | (F.col("id") % 100 == 0))
-    return ledger.recipient_counts(some, subscribers(spark, sf_dir), F.col("id") % 10)
+    upcoming = listings(spark, sf_dir).filter(F.col("deadline") >= F.lit(AS_OF))
+    return ledger.recipient_counts(upcoming, subscribers(spark, sf_dir), F.col("id") % 10)
 
 
 @register(f"WITH {LISTINGS_SQL}, {SUBSCRIBERS_SQL} SELECT l.id % 10 AS shard, s.subscriber, count(*) AS n FROM listings l JOIN s ON s.preference = 'all' OR s.preference = l.source GROUP BY ALL")

@@ -87,12 +87,12 @@ def _subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("subscriber"), F.when(k % 4 == 0, "all").when(k % 4 == 1, "1-URGENT").when(k % 4 == 2, "5-LOW").otherwise("none").alias("preference"), (k % 5 > 0).alias("active"))
 
 
-@register(f"WITH {SUBS_SQL} SELECT sha256(c_custkey || '|' || subscriber) AS job, c_custkey AS intent, subscriber FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE '3-MEDIUM' END AS kind FROM customer) JOIN s ON active AND (preference = 'all' OR preference = kind) WHERE (c_custkey + subscriber) % 7 > 0")
+@register(f"WITH {SUBS_SQL} SELECT sha256(c_custkey || '|' || subscriber) AS job, c_custkey AS intent, subscriber FROM (SELECT c_custkey, c_mktsegment, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE '3-MEDIUM' END AS kind FROM customer) JOIN s ON active AND (preference = 'all' OR preference = kind) WHERE c_mktsegment <> 'BUILDING'")
 def outbox_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    intents = table(spark, sf_dir, "customer").select(k.alias("intent"), F.when(k % 3 == 0, "1-URGENT").when(k % 3 == 1, "5-LOW").otherwise("3-MEDIUM").alias("kind"))
-    every = outbox.fan_out(intents, _subscribers(spark, sf_dir))
-    return outbox.fan_out(intents, _subscribers(spark, sf_dir), every.filter((F.col("intent") + F.col("subscriber")) % 7 == 0))
+    intents = table(spark, sf_dir, "customer").select(k.alias("intent"), F.when(k % 3 == 0, "1-URGENT").when(k % 3 == 1, "5-LOW").otherwise("3-MEDIUM").alias("kind"), F.col("c_mktsegment").alias("segment"))
+    made = outbox.fan_out(intents.filter("segment = 'BUILDING'"), _subscribers(spark, sf_dir))  # a fan-out that broke off
+    return outbox.fan_out(intents, _subscribers(spark, sf_dir), made)
 
 
 @register(f"WITH {SUBS_SQL} SELECT preference, count(*) FILTER (active) AS active, count(*) AS total FROM (SELECT * FROM s UNION ALL SELECT -1, 'all', true) GROUP BY preference")
@@ -125,11 +125,11 @@ def outbox_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.claim(_jobs(spark, sf_dir), F.lit(dt.datetime(2024, 1, 15)), 100).select("job")
 
 
-@register(f"WITH {JOBS_SQL}, i AS (SELECT DISTINCT user_id AS intent, 1 + user_id % 90 AS wanted FROM events), d AS (SELECT intent, count(*) AS jobs, count(*) FILTER (state = 'delivered') AS delivered FROM j WHERE job % 50 = 0 GROUP BY intent) SELECT i.intent, wanted::BIGINT AS wanted, coalesce(jobs, 0) AS jobs, coalesce(delivered, 0) AS delivered, coalesce(jobs, 0) = wanted AND coalesce(delivered, 0) = wanted AS notified FROM i LEFT JOIN d USING (intent)")
+@register(f"WITH {JOBS_SQL}, i AS (SELECT DISTINCT user_id AS intent, 1 + user_id % 90 AS wanted FROM events), d AS (SELECT intent, count(*) AS jobs, count(*) FILTER (state = 'delivered') AS delivered FROM j WHERE state <> 'pending' GROUP BY intent) SELECT i.intent, wanted::BIGINT AS wanted, coalesce(jobs, 0) AS jobs, coalesce(delivered, 0) AS delivered, coalesce(jobs, 0) = wanted AND coalesce(delivered, 0) = wanted AS notified FROM i LEFT JOIN d USING (intent)")
 def intent_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = _jobs(spark, sf_dir)
     intents = jobs.select("intent", (F.col("intent") % 90 + 1).alias("wanted")).distinct()
-    return outbox.reconciled(intents, jobs.filter("job % 50 = 0"))  # some jobs are missing
+    return outbox.reconciled(intents, jobs.filter("state <> 'pending'"))  # jobs that were never made
 
 
 @register(f"WITH {JOBS_SQL} SELECT greatest((SELECT count(DISTINCT intent) FROM j WHERE intent % 3 > 0), (SELECT count(*) FROM j WHERE state IN ('pending', 'retryable', 'processing'))) AS pending")
@@ -138,10 +138,10 @@ def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.pending(jobs.select("intent", (F.col("intent") % 3 == 0).alias("notified")).distinct(), jobs)
 
 
-@register(f"WITH {JOBS_SQL}, {SUBS_SQL}, e AS (SELECT c_custkey AS event, CASE c_custkey % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END AS kind FROM customer WHERE c_custkey % 5 > 0) SELECT job, CASE WHEN e.event IS NULL THEN 'event_gone' WHEN NOT coalesce(s.active, false) THEN 'unsubscribed' WHEN s.preference <> 'all' AND s.preference <> e.kind THEN 'not_wanted' ELSE 'send' END AS verdict FROM j LEFT JOIN e ON e.event = j.job % 1000 LEFT JOIN s ON s.subscriber = j.intent")
+@register(f"WITH {JOBS_SQL}, {SUBS_SQL}, e AS (SELECT c_custkey AS event, CASE c_custkey % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END AS kind FROM customer WHERE c_acctbal > 0) SELECT job, CASE WHEN e.event IS NULL THEN 'event_gone' WHEN NOT coalesce(s.active, false) THEN 'unsubscribed' WHEN s.preference <> 'all' AND s.preference <> e.kind THEN 'not_wanted' ELSE 'send' END AS verdict FROM j LEFT JOIN e ON e.event = j.job % 1000 LEFT JOIN s ON s.subscriber = j.intent")
 def outbox_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    events = table(spark, sf_dir, "customer").filter(k % 5 > 0).select(k.alias("event"), F.when(k % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("kind"))
+    events = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(k.alias("event"), F.when(k % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("kind"))
     jobs = _jobs(spark, sf_dir).select("job", (F.col("job") % 1000).alias("event"), F.col("intent").alias("subscriber"))
     return outbox.rechecked(jobs, events, _subscribers(spark, sf_dir))
 
