@@ -50,7 +50,9 @@ def canonical(rows: DataFrame, now: dt.datetime, zone: str | None = None) -> Dat
     """rows (id, title, organizer, source, link, mode, city, prize, status, opens, closes, starts, ends as
     texts, tags array<string>, seen timestamp, confirmed boolean, conflicts array<string>) as canonical
     events. Unsafe links become null; unknown texts become null; only named conflicts are kept."""
-    x = rows.select("id", "status", "seen", *[event_date(F.col(c), zone).alias(c) for c in ("opens", "closes", "starts", "ends")], *[c for c in rows.columns if c not in ("id", "status", "seen", "opens", "closes", "starts", "ends")])
+    # one element of an array: the date is worked out once and not written out wherever it is used
+    once = lambda c: F.transform(F.array(c), lambda t: event_date(t, zone))[0].alias(c)
+    x = rows.select("id", "status", "seen", *map(once, ("opens", "closes", "starts", "ends")), *[c for c in rows.columns if c not in ("id", "status", "seen", "opens", "closes", "starts", "ends")])
     link = F.when(public_url_ok(F.col("link")), canonical_url(F.col("link")))
     kept = x.select(
         "id", clean(F.col("title")).alias("title"), clean(F.col("organizer")).alias("organizer"), clean(F.col("source")).alias("source"), link.alias("registration_url"),
