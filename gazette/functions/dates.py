@@ -75,7 +75,7 @@ def urgency(deadline: Column, as_of: dt.date) -> Column:
     return F.when(deadline.isNull(), "Open").when(left < 0, "Expired").when(left == 0, "Today").when(left <= 2, "Soon").when(left <= 7, "Week").otherwise("Open")
 
 
-def instant_in_zone(text: Column, zone: str) -> Column:
+def instant_in_zone(text: Column, zone: Column | str) -> Column:
     """(kind, at) of a date-time without an offset, read in a zone. 'instant' with the UTC time if the
     zone has exactly one such moment; 'local' with the time as given where clocks skip or repeat it;
     null if the text is no date-time."""

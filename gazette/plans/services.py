@@ -200,40 +200,54 @@ def newest_of_each_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-NOW = dt.datetime.combine(AS_OF, dt.time(12))
-EVENTS_SQL = f"""WITH {LISTINGS_SQL}, e AS (SELECT id, id % 4 AS f, id % 7 AS g, deadline AS d, source, city, status_text, id % 3 > 0 AS confirmed, TIMESTAMP '{AS_OF} 12:00:00' AS now,
-deadline::TIMESTAMP + INTERVAL 10 HOUR - INTERVAL 330 MINUTE AS moment, deadline::TIMESTAMP AS seen FROM listings),
-s AS (SELECT *, CASE f WHEN 0 THEN 'date' WHEN 1 THEN 'instant' WHEN 2 THEN 'local' ELSE 'unknown' END AS precision,
-CASE WHEN f = 3 THEN false WHEN f = 1 THEN moment <= now ELSE (d + 1)::TIMESTAMP <= now END AS closed, CASE WHEN f < 3 THEN d END AS day FROM e),
-t AS (SELECT *, CASE WHEN closed OR status_text = 'closed' OR day < now::DATE THEN 'closed' WHEN day - now::DATE <= 5 THEN 'closing' WHEN day IS NOT NULL THEN 'open' ELSE status_text END AS state FROM s)"""
+NOW = dt.datetime.combine(AS_OF, dt.time(20))
+LATER = NOW + dt.timedelta(days=3)
+#: The closing date by id % 8: a date; one in a zone where the next day has begun; a moment; a local date-time; one that is a
+#: moment in its zone; one in a zone in the east; a date in a zone that does not exist; nothing.
+EVENTS_SQL = f"""WITH {LISTINGS_SQL}, e AS (SELECT id, id % 8 AS f, id % 7 AS g, deadline AS d, CASE WHEN id % 3 = 0 THEN 'pending' END AS held, status_text AS status, deadline::TIMESTAMP AS seen, n.* FROM listings,
+(VALUES ('now', TIMESTAMP '{NOW}'), ('later', TIMESTAMP '{LATER}')) n(point, now)),
+s AS (SELECT *, CASE WHEN f IN (0, 1, 6) THEN 'date' WHEN f IN (2, 4, 5) THEN 'timestamp' WHEN f = 3 THEN 'local_datetime' ELSE 'unknown' END AS precision,
+CASE f WHEN 2 THEN d::TIMESTAMP + INTERVAL 270 MINUTE WHEN 4 THEN d::TIMESTAMP + INTERVAL 14 HOUR WHEN 5 THEN d::TIMESTAMP + INTERVAL 30 MINUTE END AS moment FROM e),
+t AS (SELECT *, CASE WHEN moment IS NOT NULL THEN moment <= now WHEN f = 1 THEN d < (now + INTERVAL 330 MINUTE)::DATE WHEN f IN (0, 6) THEN d < now::DATE ELSE false END AS behind, CASE WHEN f IN (0, 1, 6) THEN d ELSE moment::DATE END AS due FROM s),
+v AS (SELECT *, CASE WHEN status = 'closed' OR behind THEN 'closed' WHEN due - now::DATE <= 5 THEN 'closing' WHEN due IS NOT NULL OR status = 'open' THEN 'open' ELSE 'upcoming' END AS plain, seen < now - INTERVAL 14 DAY AS stale FROM t),
+w AS (SELECT *, CASE WHEN stale AND f = 7 AND plain IN ('open', 'upcoming') THEN 'unknown' ELSE plain END AS state FROM v)"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("id"), F.date_format("deadline", "yyyy-MM-dd")
-    closes = F.when(k % 4 == 0, d).when(k % 4 == 1, F.concat(d, F.lit("T10:00:00+05:30"))).when(k % 4 == 2, F.concat(d, F.lit(" 10:00:00"))).otherwise("TBA")
+    f = k % 8
+    closes = F.when(f.isin(0, 1, 6), d).when(f == 2, F.concat(d, F.lit("T10:00:00+05:30"))).when(f.isin(3, 5), F.concat(d, F.lit(" 10:00:00"))).when(f == 4, F.concat(d, F.lit("T10:00"))).otherwise("TBA")
+    zone = F.when(f == 1, "Asia/Kolkata").when(f == 4, "-04:00").when(f == 5, "+0930").when(f == 6, "Mars/Base")
     none = F.lit(None).cast("string")
     rows = listings(spark, sf_dir).select(
         k, F.when(k % 5 == 0, " tba ").otherwise(F.concat(F.lit(" Sprint  "), k)).alias("title"), "organizer", "source", F.when(k % 7 == 0, none).when(k % 7 == 1, "http://localhost/x").otherwise(F.concat(F.lit("HTTPS://H.example/"), k, F.lit("?utm_a=1"))).alias("link"),
-        "mode", "city", F.concat(F.lit("₹"), k).alias("prize"), F.col("status_text").alias("status"), none.alias("opens"), closes.alias("closes"), none.alias("starts"), none.alias("ends"), F.array("tag", F.lit(" ")).alias("tags"),
-        F.col("deadline").cast("timestamp").alias("seen"), (k % 3 > 0).alias("confirmed"), F.array(F.lit("title"), F.lit("secret")).alias("conflicts"),
+        "mode", "city", F.concat(F.lit("₹"), k).alias("prize"), F.col("status_text").alias("status"), closes.alias("closes"), zone.alias("timezone"), F.array("tag", F.lit(" ")).alias("tags"),
+        F.col("deadline").cast("timestamp").alias("seen"), F.when(k % 3 == 0, "pending").alias("publication"), F.array(F.lit("title"), F.lit("secret"), F.lit("edition_identity")).alias("conflicts"),
     )
     return canonical.canonical(rows, NOW)
 
 
-@register(f"""{EVENTS_SQL} SELECT id, CASE WHEN id % 5 > 0 THEN 'Sprint ' || id END AS title, CASE WHEN g > 1 THEN 'https://h.example/' || id END AS registration_url, CASE g WHEN 0 THEN 'missing' WHEN 1 THEN 'unsafe' ELSE 'safe' END AS url_status,
-precision, 'INR ' || id AS prize, 'title' AS conflicts, state AS registration_state, CASE WHEN seen > now THEN 'unknown' WHEN seen < now - INTERVAL 14 DAY THEN 'stale' ELSE 'fresh' END AS freshness,
-CASE WHEN NOT confirmed THEN 'pending' WHEN state = 'closed' THEN 'archived' ELSE 'published' END AS publication_state FROM t""")
+@register(f"""{EVENTS_SQL} SELECT id, CASE WHEN id % 5 > 0 THEN 'Sprint ' || id END AS title, CASE WHEN g > 1 THEN 'https://h.example/' || id END AS registration_url, CASE WHEN g > 1 THEN 'source_reported' ELSE 'unknown' END AS url_status,
+precision, strftime(moment, '%Y-%m-%d %H:%M') AS closes_at, CASE WHEN f < 7 THEN d END AS closes_date, CASE f WHEN 1 THEN 'Asia/Kolkata' WHEN 2 THEN '+0530' WHEN 4 THEN '-04:00' WHEN 5 THEN '+0930' END AS zone, 'INR ' || id AS prize, 'title,edition_identity' AS conflicts, state AS registration_state,
+CASE WHEN seen > now THEN 'unknown' WHEN stale THEN 'stale' ELSE 'fresh' END AS freshness, CASE WHEN held IS NOT NULL THEN held WHEN state = 'closed' THEN 'archived' ELSE 'published' END AS publication_state FROM w WHERE point = 'now'""")
 def canonical_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    return e.select("id", "title", "registration_url", F.col("registration_url_status").alias("url_status"), "closes.precision", "prize", F.array_join("conflicting_fields", ",").alias("conflicts"), "registration_state", "freshness", "publication_state")
+    return e.select("id", "title", "registration_url", F.col("registration_url_status").alias("url_status"), "closes.precision", F.date_format("closes.at", "yyyy-MM-dd HH:mm").alias("closes_at"), F.col("closes.date").alias("closes_date"), F.col("closes.timezone").alias("zone"), "prize", F.array_join("conflicting_fields", ",").alias("conflicts"), "registration_state", "freshness", "publication_state")
 
 
-@register(f"{EVENTS_SQL} SELECT count(*) AS records, count(*) FILTER (f = 3) AS unknown_dates, count(*) FILTER (g < 2) AS unsafe_links, count(*) FILTER (seen > now OR seen < now - INTERVAL 14 DAY) AS not_fresh FROM t")
+@register(f"""{EVENTS_SQL} SELECT b.id, b.state AS registration_state, CASE WHEN b.stale THEN 'stale' ELSE 'fresh' END AS freshness, CASE WHEN b.held IS NOT NULL THEN b.held WHEN a.state = 'closed' OR b.state = 'closed' THEN 'archived' ELSE 'published' END AS publication_state
+FROM w a JOIN w b ON a.id = b.id AND a.point = 'now' AND b.point = 'later'""")
+def canonical_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of canonical_event, three days on."""
+    return canonical.refreshed(_events(spark, sf_dir), LATER).select("id", "registration_state", "freshness", "publication_state")
+
+
+@register(f"{EVENTS_SQL} SELECT count(*) AS records, count(*) FILTER (f = 7) AS unknown_dates, count(*) FILTER (g < 2) AS unsafe_links, count(*) FILTER (seen > now OR stale) AS not_fresh FROM w WHERE point = 'now'")
 def event_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.audit(_events(spark, sf_dir))
 
 
-@register(f"{EVENTS_SQL} SELECT id FROM t WHERE confirmed")
+@register(f"{EVENTS_SQL} SELECT id FROM w WHERE point = 'now' AND held IS NULL")
 def catalog_visible_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.visible(_events(spark, sf_dir)).select("id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +28,25 @@ def local_session(cores: int | None = None, shuffle_partitions: int = 8) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, one of this machine, but only if
-    the session runs on this machine alone."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset and the
+    session runs on this machine alone (tests), one is made for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='gazette-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gazette-')}")
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: worked out once, and not anew where an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

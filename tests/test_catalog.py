@@ -219,7 +219,7 @@ def test_the_published_view_is_read_again_and_renewed(spark, tmp_path):
     import shutil
 
     for name in views.SOURCES:
-        shutil.copy(f"{SF}/{name}.parquet", tmp_path)
+        shutil.copyfile(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
     one, two = views.published_view(spark, str(tmp_path)), views.published_view(spark, str(tmp_path))
     assert one.inputFiles() == two.inputFiles() and one.count() == 1500
     pq.write_table(pq.read_table(f"{SF}/orders.parquet").slice(0, 9), tmp_path / "orders.parquet")

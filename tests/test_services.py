@@ -54,12 +54,61 @@ def test_field_merge(spark):
 
 
 def test_dates_of_canonical_events(spark):
-    rows = [("2026-05-01",), ("2026-05-01T10:00:00+05:30",), ("2026-05-01 10:00:00",), ("TBA",), (None,)]
-    got = [r["d"] for r in spark.createDataFrame(rows, "t string").select(canonical.event_date(F.col("t")).alias("d")).collect()]
-    assert [d["precision"] for d in got] == ["date", "instant", "local", "unknown", "unknown"]
-    assert got[1]["at"] is not None and all(d["at"] is None for d in got[2:])
-    zoned = spark.createDataFrame(rows[2:3], "t string").select(canonical.event_date(F.col("t"), "Asia/Kolkata").alias("d")).first()["d"]
-    assert zoned["precision"] == "instant"
+    want = {
+        ("2026-05-01", None): (None, "2026-05-01", "date", None, None),
+        ("2026-05-01", "Asia/Kolkata"): (None, "2026-05-01", "date", "Asia/Kolkata", None),
+        ("2026-05-01T10:00:00+05:30", None): ("2026-05-01 04:30", "2026-05-01", "timestamp", "+0530", None),
+        ("2026-05-01T23:00:00Z", "Asia/Kolkata"): ("2026-05-01 23:00", "2026-05-02", "timestamp", "Asia/Kolkata", None),
+        ("2026-05-01 10:00:00", None): (None, "2026-05-01", "local_datetime", None, "2026-05-01 10:00:00"),
+        ("2026-05-01 10:00:00", "Asia/Kolkata"): ("2026-05-01 04:30", "2026-05-01", "timestamp", "Asia/Kolkata", None),
+        ("2026-05-01T10:00", "+0530"): ("2026-05-01 04:30", "2026-05-01", "timestamp", "+0530", None),
+        ("2026-03-08 02:30:00", "America/New_York"): (None, "2026-03-08", "local_datetime", "America/New_York", "2026-03-08 02:30:00"),  # skipped
+        ("2026-11-01 01:30:00", "America/New_York"): (None, "2026-11-01", "local_datetime", "America/New_York", "2026-11-01 01:30:00"),  # repeated
+        ("2026-05-01 10:00:00", "Mars/Base"): (None, "2026-05-01", "local_datetime", None, "2026-05-01 10:00:00"),
+        ("2026-05-01", "+15:00"): (None, "2026-05-01", "date", None, None),
+        ("TBA", "Asia/Kolkata"): (None, None, "unknown", None, None),
+        (None, None): (None, None, "unknown", None, None),
+    }
+    rows = spark.createDataFrame(list(want), "t string, z string").select("t", "z", canonical.event_date(F.col("t"), F.col("z")).alias("d"))
+    got = {(r["t"], r["z"]): (r["at"], r["date"], r["precision"], r["timezone"], r["local_value"]) for r in rows.select("t", "z", F.date_format("d.at", "yyyy-MM-dd HH:mm").alias("at"), F.col("d.date").cast("string").alias("date"), "d.precision", "d.timezone", "d.local_value").collect()}
+    assert got == want
+
+
+def test_a_day_ends_in_its_zone_and_a_local_time_never(spark):
+    rows = [("2024-07-01", "Asia/Kolkata"), ("2024-07-01", None), ("2024-07-01", "America/New_York"), ("2024-07-01 10:00", None), ("2024-07-01 10:00", "Asia/Kolkata")]
+    at = lambda now: [r[0] for r in spark.createDataFrame(rows, "t string, z string").select(canonical.over(canonical.event_date(F.col("t"), F.col("z")), now)).collect()]
+    assert at(dt.datetime(2024, 7, 1, 20)) == [True, False, False, False, True]
+    assert at(dt.datetime(2024, 7, 2, 1)) == [True, True, False, False, True]
+    assert at(dt.datetime(2024, 7, 3, 12)) == [True, True, True, False, True]
+
+
+def test_states_of_canonical_events(spark):
+    now = dt.datetime(2024, 7, 1, 12)
+    base = {"id": 1, "title": "T", "organizer": None, "source": "s", "link": "https://h.example/1", "mode": "On-site", "prize": None, "status": None, "tags": [], "conflicts": ["title", "city"], "seen": now, "timezone": None, "opens": None, "closes": None, "starts": None, "ends": None, "submission": None}
+    schema = "id int, title string, organizer string, source string, link string, mode string, prize string, status string, tags array<string>, conflicts array<string>, seen timestamp, timezone string, opens string, closes string, starts string, ends string, submission string, min_team_size long, max_team_size long, lat double, lng double, method string, evidence string, checked timestamp, confidence double, archive_reason string, publication string"
+
+    cases = [
+        ({"closes": "2024-07-04"}, ("closing", "unknown", "published")),
+        ({"closes": "2024-07-20", "opens": "2024-07-02"}, ("upcoming", "unknown", "published")),
+        ({"closes": "2024-07-20", "starts": "2024-06-01T00:00Z", "ends": "2024-08-01T00:00Z"}, ("open", "live", "published")),
+        ({"submission": "2024-06-30"}, ("closed", "unknown", "archived")),
+        ({"status": " Canceled "}, ("cancelled", "cancelled", "archived")),
+        ({"status": "upcoming", "seen": dt.datetime(2024, 6, 1)}, ("unknown", "unknown", "published")),
+        ({"closes": "2024-07-20", "archive_reason": "manual"}, ("open", "unknown", "archived")),
+        ({"closes": "2024-06-20", "publication": "suppressed"}, ("closed", "unknown", "suppressed")),
+        ({"status": "open", "closes": "2024-06-20 10:00"}, ("open", "unknown", "published")),
+    ]
+    names = [c.strip().split()[0] for c in schema.replace("array<string>", "x").split(",")]
+    rows = [tuple({**base, "id": k, **given}.get(c) for c in names) for k, (given, _) in enumerate(cases)]
+    out = canonical.canonical(spark.createDataFrame(rows, schema), now)
+    got = {r["id"]: r for r in out.collect()}
+    assert [(got[k]["registration_state"], got[k]["event_status"], got[k]["publication_state"]) for k in range(len(cases))] == [want for _, want in cases]
+    assert got[0]["format"] == "offline" and got[0]["conflicting_fields"] == ["title"] and got[0]["provenance"][0]["url"] == "https://h.example/1"
+    later = {r["id"]: r for r in canonical.refreshed(out, dt.datetime(2024, 7, 5, 12)).collect()}
+    assert (later[0]["registration_state"], later[0]["publication_state"]) == ("closed", "archived") and later[1]["registration_state"] == "open"
+    odd = {"min_team_size": 4, "max_team_size": 2, "lat": 95.0, "lng": 3.0, "method": "administrator_evidence", "evidence": "seen it", "checked": now, "confidence": 1.5}
+    r = canonical.canonical(spark.createDataFrame([tuple({**base, **odd}.get(c) for c in names)], schema), now).first()
+    assert tuple(r["team"]) == (None, None) and r["place"]["latitude"] is None and (r["verification"]["status"], r["verification"]["confidence"]) == ("verified", None)
 
 
 def test_small_samples_and_horizon(spark):
