@@ -279,9 +279,10 @@ def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stays = F.col("first").isNull() | (F.struct("doc_id", "t") == F.col("first"))
     gone = materialize(placed.filter(~stays).select("doc_id", "t").distinct(), "gone")
     repeated = materialize(placed.filter(stays & (F.col("rows") > 1)).select("doc_id", "t"), "repeated")
-    keyed = docs.withColumn("t", F.xxhash64("text"))
+    # whole rows go into one column, so that no name of theirs clashes
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.struct(*docs.columns).alias("whole_row"))
     left = keyed.join(gone, ["doc_id", "t"], "left_anti")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(repeated, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
-    return left.join(repeated, ["doc_id", "t"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+        left = left.join(repeated, ["doc_id", "t"], "left_anti").unionByName(once)
+    return left.select("whole_row.*")

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -112,6 +114,41 @@ def test_html_teasers_are_not_the_article():
     assert got.startswith("Title This is") and got.count("This is a long sentence") == 24
 
 
+LONG = "A sentence of some length stands here for the text. " * 4
+
+
+def test_parts_of_an_article_with_doubtful_names_stay():
+    parts = f'<p>One. {LONG}</p><p class="legal">Two. {LONG}</p><p class="search">Three. {LONG}</p><p id="related-work">Four. {LONG}</p>'
+    got = html_extract.extract(f"<body><nav><a href=1>Menu</a></nav><article><header><h1>Title</h1></header>{parts}</article></body>")
+    assert all(x in got for x in ("Title", "One.", "Two.", "Three.", "Four.")) and "Menu" not in got
+    got = html_extract.extract(f'<body><div><h1>Title</h1>{parts}</div><div class="related"><p><a href=1>Read</a></p><p><a href=2>this</a></p></div><div class="share">Share</div></body>')
+    assert all(x in got for x in ("One.", "Two.", "Three.", "Four.")) and "Read" not in got and "Share" not in got
+    got = html_extract.extract(f'<body><article>{parts}<div class="comments"><p>{LONG} says a reader.</p></div><div class="ad">{LONG} Buy!</div></article></body>')
+    assert "reader" not in got and "Buy!" not in got
+
+
+def test_clustering_finds_the_article_without_its_marks(spark):
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = [html_extract.extract(x) == html_extract.extract(x.replace("<article>", "<div>").replace("</article>", "</div>")) for x in rows]
+    assert sum(same) >= 0.99 * len(rows)
+
+
+def test_smoothing_equals_brute_force():
+    rng = random.Random(1)
+    for n in (0, 1, 3, 40):
+        x = [rng.uniform(0, 90) for _ in range(n)]
+        weight = lambda i, j: math.exp(-((i - j) ** 2) / (2 * html_extract.SIGMA**2)) if abs(i - j) <= html_extract.REACH else 0
+        want = [sum(weight(i, j) * x[j] for j in range(n)) / sum(weight(i, j) for j in range(n)) for i in range(n)]
+        assert html_extract._smooth(x) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</b>" * 40_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000, "<p>" * 80_000, "<i>" * 40_000 + "</div>" * 40_000])
+def test_broken_nesting_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.extract(page + "text")
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "</p></div>", "<script>never closed", "<!-- open", "&#xFFFFFFF; &bogus;", "<a" * 500, "<div>" * 3000 + "deep"])
 def test_html_broken(html):
     assert isinstance(html_extract.extract(html), str)
