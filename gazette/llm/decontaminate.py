@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Every word is brought to a literal form (lower case, outer punctuation dropped) and a template form,
-in which numbers become <num>, units <unit> and names (capitalised words) <name>. A capitalised word at
+in which numbers (digits or words) become <num>, units <unit> and names (runs of capitalised words) <name>. A capitalised word at
 the beginning of a sentence may be a name or not, so its windows have a template for either reading.
 Windows of SIZE words of all forms are hashed. Document windows meet the benchmark's in a hash
 join; what a Bloom filter of the benchmark's windows rules out never leaves the scan. An item leaks
@@ -17,14 +17,18 @@ enough, whatever else the document holds. Literal windows count wherever in the
 
 Cases: null or empty texts have no windows and nothing leaks into or from them; an item shorter
 than a window is one window of all its words and is compared as such, so it is found in documents
-only where its words stand together; repeated items give a row each by item_id; repeated documents
-give one row by doc_id; null ids are left out of the result; empty tables give an empty result.
+only where its words stand together; repeated items give a row each by item_id; of repeated documents
+each distinct text under an id gives a row, whatever others share the id; a document without an id is judged
+like any other, an item without one is left out; very long texts are read whole, and what they have in
+common with one item (their hits) is judged in one row; empty tables give an empty result. Only ids and
+texts are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,10 @@ WORD_CACHE = 200_000
 
 #: Units of measure and money in their literal form.
 UNITS = frozenset("kg g mg km m cm mm mi mile miles inch inches ft feet yard yards l ml litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degrees kmh mph".split())
+#: Numbers as words, each alone or tens and ones with a hyphen.
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = frozenset([*ONES, *TENS, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million half dozen".split(), *(f"{t}-{o}" for t in TENS for o in ONES)])
 OUTER = ".,;:!?\"'()[]{}<>*#%$&|«»„“”‘’¿¡…-–—_~`"
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 NUMBER_UNIT = re.compile(r"[+-]?\d+(?:[.,]\d+)*([a-z]+)")
@@ -59,7 +67,9 @@ def _read(word: str) -> tuple[int, int, int, int]:
         return (0, LITERAL, LITERAL, ends)
     low = core.lower()
     h = xxhash.xxh3_64_intdigest(low) or 1
-    if (low[0].isdigit() or low[0] in "+-") and (NUMBER.fullmatch(low) or ((m := NUMBER_UNIT.fullmatch(low)) and m[1] in UNITS)):
+    if low in NUMBER_WORDS:
+        kind = NUM
+    elif (low[0].isdigit() or low[0] in "+-") and (NUMBER.fullmatch(low) or ((m := NUMBER_UNIT.fullmatch(low)) and m[1] in UNITS)):
         kind = NUM
     elif low in UNITS:
         kind = UNIT
@@ -101,12 +111,31 @@ class _Words(dict):
 _words = _Words()
 
 
-Form = tuple[bool, np.ndarray, np.ndarray]
+class Form(NamedTuple):
+    """One reading of a text. In a template a run of name words is one token, with the run's first word
+    and the word after its last in begins and ends."""
+
+    templ: bool
+    hashes: np.ndarray
+    kinds: np.ndarray
+    values: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+
+
+def _folded(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> Form:
+    named = kinds == NAME
+    begins = np.flatnonzero(~(named & np.concatenate([[False], named[:-1]])))
+    ends = np.append(begins[1:], len(kinds))
+    own = values[begins].copy()
+    for k in np.flatnonzero(ends - begins > 1).tolist():
+        own[k] = xxhash.xxh3_64_intdigest(values[begins[k] : ends[k]].tobytes())
+    return Form(True, hashes[begins], kinds[begins], own, begins, ends)
 
 
 def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
-    """Literal hashes of the words, words without a letter or digit left out; and the forms: whether
-    it is a template, the hashes, and the kinds of slot. The last has names at the beginnings of sentences."""
+    """Literal hashes of the words, words without a letter or digit left out; and the readings: as it is, as
+    a template, and as a template with names at the beginnings of sentences."""
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint64), []
@@ -114,13 +143,19 @@ def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
     plain, inside, ends = marks & 3, marks >> 2 & 3, marks >> 4
     first = np.concatenate([[1], ends[:-1]]).astype(bool)
     keep = literal != 0
-    forms = [(False, literal[keep], plain[keep])]
+    every = literal[keep]
+    at = np.arange(len(every))
+    forms = [Form(False, every, plain[keep], every, at, at + 1)]
     for kind in (np.where(first, plain, inside), inside):
-        template = literal.copy()
+        template, kind = every.copy(), kind[keep]
         for k, h in _SLOT.items():
             template[kind == k] = h
-        forms.append((True, template[keep], kind[keep]))
-    return literal[keep], forms
+        named = kind == NAME
+        if (named[1:] & named[:-1]).any():
+            forms.append(_folded(template, kind, every))
+        else:
+            forms.append(Form(True, template, kind, every, at, at + 1))
+    return every, forms
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
@@ -137,41 +172,47 @@ def _windows(x: np.ndarray, size: int) -> np.ndarray:
     return ((acc ^ (acc >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
 
 
-def _slots(literal: np.ndarray, kind: np.ndarray, at: int, n: int) -> np.ndarray:
-    """The values in the slots of the window of n words at a place, in order."""
-    return literal[at : at + n][kind[at : at + n] != LITERAL].view(np.int64)
+def _slots(form: Form, at: int, n: int) -> np.ndarray:
+    """The values in the slots of the window of n tokens at a place, in order."""
+    return form.values[at : at + n][form.kinds[at : at + n] != LITERAL].view(np.int64)
 
 
-def _form_windows(forms: list[Form], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A row a form: the hashes of its windows, and which of these differ from the form before."""
+def _form_windows(forms: list[Form], size: int) -> list[tuple[Form, np.ndarray, np.ndarray]]:
+    """Each form that has size tokens with the hashes of its windows, and which of these differ from the
+    form before. Forms of one length are hashed together."""
+    forms = [f for f in forms if len(f.hashes) >= size]
     if not forms:
-        return np.empty((0, 0), np.int64), np.empty((0, 0), bool)
-    w = _windows(np.stack([x for _, x, _ in forms]), size)
-    return w, np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
+        return []
+    if len({len(f.hashes) for f in forms}) > 1:
+        single = [_windows(f.hashes[None], size)[0] for f in forms]
+        return [(f, w, np.ones(len(w), bool)) for f, w in zip(forms, single, strict=True)]
+    w = _windows(np.stack([f.hashes for f in forms]), size)
+    fresh = np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
+    return list(zip(forms, w, fresh, strict=True))
 
 
-WINDOW_SCHEMA = "id bigint, n_words int, pos int, h bigint, templ boolean, slots array<bigint>"
+WINDOW_SCHEMA = "id bigint, n_words int, pos int, span int, h bigint, templ boolean, slots array<bigint>"
 
 
 def _item_windows(items: DataFrame, size: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         slots = []
         for item, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             literal, forms = _canonical(text)
             n = min(size, len(literal))
-            hashes, fresh = _form_windows(forms, size)
-            for k, (templ, _, kind) in enumerate(forms):
-                for pos in np.flatnonzero(fresh[k]).tolist():
-                    h = int(hashes[k, pos])
-                    own = _slots(literal, kind, pos, n) if templ else np.empty(0, np.int64)
-                    if templ and (not len(own) or len(own) == n):
+            for form, hashes, fresh in _form_windows(forms, n) if n else ():
+                for at in np.flatnonzero(fresh).tolist():
+                    own = _slots(form, at, n) if form.templ else np.empty(0, np.int64)
+                    if form.templ and (not len(own) or len(own) == n):
                         continue  # the same as the literal window, or slots only, which say nothing
-                    for c, v in zip(out, (item, len(literal), pos, h, templ), strict=True):
+                    pos = int(form.begins[at])
+                    for c, v in zip(out, (item, len(literal), pos, int(form.ends[at + n - 1]) - pos, int(hashes[at]), form.templ), strict=True):
                         c.append(v)
                     slots.append(own)
-        cols = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64())], names=["id", "n_words", "pos", "h", "templ", "slots"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        cols = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64())], names=["id", "n_words", "pos", "span", "h", "templ", "slots"])
 
     return mapped(items, run, WINDOW_SCHEMA)
 
@@ -182,29 +223,27 @@ def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
     beside = max(sizes) - 1
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at, hs, ts, slots, near = [], [], [], [], [], []
-        for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        rows, at, hs, ts, slots, near = [], [], [], [], [], []
+        for row, text in enumerate(b.column("text").to_pylist()):
             literal, forms = _canonical(text)
             for size in sizes:
-                if len(literal) < size:
-                    continue
-                w, fresh = _form_windows(forms, size)
-                maybe = in_bitmap(held, w) & fresh
-                for k, (templ, _, kind) in enumerate(forms):
-                    for pos in np.flatnonzero(maybe[k]).tolist():
-                        own = _slots(literal, kind, pos, size) if templ else np.empty(0, np.int64)
-                        if templ and not len(own):
+                for form, w, fresh in _form_windows(forms, size):
+                    for k in np.flatnonzero(in_bitmap(held, w) & fresh).tolist():
+                        own = _slots(form, k, size) if form.templ else np.empty(0, np.int64)
+                        if form.templ and not len(own):
                             continue
-                        ids.append(doc)
+                        pos, end = int(form.begins[k]), int(form.ends[k + size - 1])
+                        rows.append(row)
                         at.append(pos)
-                        hs.append(int(w[k, pos]))
-                        ts.append(templ)
+                        hs.append(int(w[k]))
+                        ts.append(form.templ)
                         slots.append(own)
-                        near.append(literal[max(0, pos - beside) : pos + size + beside].view(np.int64))
-        cols = [pa.array(c, t) for c, t in zip((ids, at, hs, ts), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, lists(slots, pa.int64()), lists(near, pa.int64())], names=["doc_id", "doc_pos", "h", "templ", "slots", "near"])
+                        near.append(literal[max(0, pos - beside) : end + beside].view(np.int64))
+        cols = [pa.array(c, t) for c, t in zip((at, hs, ts), (pa.int32(), pa.int64(), pa.bool_()), strict=True)]
+        own = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("text_hash").take(own), *cols, lists(slots, pa.int64()), lists(near, pa.int64())], names=["doc_id", "text_hash", "doc_pos", "h", "templ", "slots", "near"])
 
-    return mapped(docs, run, "doc_id bigint, doc_pos int, h bigint, templ boolean, slots array<bigint>, near array<bigint>")
+    return mapped(docs, run, "doc_id bigint, text_hash bigint, doc_pos int, h bigint, templ boolean, slots array<bigint>, near array<bigint>")
 
 
 def _steady(pairs: list[tuple[int, int]], share: int) -> bool:
@@ -233,11 +272,11 @@ def _occurrences(places: dict[int, list[int]], slack: int) -> list[list[tuple[in
     return [list(x) for x in found]
 
 
-def _covered(laid: list[tuple[int, int]], words: list[int], near: dict[int, list[int]], size: int) -> int:
+def _covered(laid: list[tuple[int, int]], words: list[int], near: dict[int, list[int]], spans: dict[tuple[int, int], int], size: int) -> int:
     """Words of the item in the windows of an occurrence, and equal words in line with one of them."""
     seen: set[int] = set()
     for pos, at in laid:
-        seen.update(range(pos, min(pos + size, len(words))))
+        seen.update(range(pos, min(pos + spans.get((pos, at), size), len(words))))
         first = at - max(0, at - size + 1)  # words before the window in near
         seen.update(i for k, x in enumerate(near[at]) if 0 <= (i := pos + k - first) < len(words) and words[i] == x)
     return len(seen)
@@ -246,11 +285,12 @@ def _covered(laid: list[tuple[int, int]], words: list[int], near: dict[int, list
 def _verdict(hits: list[dict], words: list[int], n_windows: int, size: int, share: int) -> tuple[int, int, bool]:
     """n_literal, n_found and whether the item leaks, from the windows of one item met in one document."""
     places: dict[int, set[int]] = {}
-    plain, slots, near = set(), {}, {}
+    plain, slots, near, spans = set(), {}, {}, {}
     for x in hits:
         key = (x["pos"], x["doc_pos"])
         places.setdefault(x["pos"], set()).add(x["doc_pos"])
-        near[x["doc_pos"]] = x["near"]
+        near[x["doc_pos"]] = max(near.get(x["doc_pos"], ()), x["near"], key=len)
+        spans[key] = max(spans.get(key, 0), x["span"])
         if x["templ"]:
             slots.setdefault(key, []).extend(zip(x["item_slots"], x["slots"], strict=True))
         else:
@@ -262,17 +302,20 @@ def _verdict(hits: list[dict], words: list[int], n_windows: int, size: int, shar
             if (leak and len(laid) <= n_found) or not _steady([v for x in laid for v in slots.get(x, ())], share):
                 continue
             n_found = max(n_found, len(laid))
-            leak = leak or _covered(laid, words, near, size) * 100 >= len(words) * share
+            leak = leak or _covered(laid, words, near, spans, size) * 100 >= len(words) * share
     return n_literal, n_found, leak
 
 
+JUDGED = ("doc_id", "text_hash", "item_id", "n_windows")
+
+
 def _judged(pairs: DataFrame, size: int, share: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [_verdict(r["hits"], r["words"], r["n_windows"], size, share) for r in b.to_pylist()]
         cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), b.column("n_windows"), *cols], names=["doc_id", "item_id", "n_windows", "n_literal", "n_found", "contaminated"])
+        return pa.RecordBatch.from_arrays([*map(b.column, JUDGED), *cols], names=[*JUDGED, "n_literal", "n_found", "contaminated"])
 
-    return mapped(pairs, run, "doc_id bigint, item_id bigint, n_windows bigint, n_literal bigint, n_found bigint, contaminated boolean")
+    return mapped(pairs, run, "doc_id bigint, text_hash bigint, item_id bigint, n_windows bigint, n_literal bigint, n_found bigint, contaminated boolean")
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -283,21 +326,37 @@ def _item_words(items: DataFrame) -> DataFrame:
     return mapped(items, run, "item_id bigint, words array<bigint>")
 
 
-def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, n_literal, n_found, contaminated): one row for each document and
-    item that leaks into it; contaminated is true in each."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+def leaking_texts(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """As leaks, a row for each distinct id and text, with text_hash, the text's xxhash64, to tell texts of one
+    id apart. Rows without an id are judged like others."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).alias("text")).filter("id is not null")
     windows = materialize(_item_windows(bench, size).withColumnRenamed("id", "item_id"), "items")
     held = bitmap(windows, "h", least_bits=1 << 24)
     short = [r[0] for r in windows.filter(F.col("n_words") < size).select("n_words").distinct().collect()]  # at most size - 1
     hits = materialize(_doc_hits(rows, held, sorted({size, *short})), "hits")
     met = hits.join(windows.withColumnRenamed("slots", "item_slots"), ["h", "templ"])
-    hit = F.struct("pos", "doc_pos", "templ", "item_slots", "slots", "near")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"))
-    # a window covers size words and at most size - 1 to either side: fewer hits can't be a leak
-    pairs = pairs.filter(F.size("hits") * (3 * size - 2) * 100 >= F.col("n_words") * share)
+    hit = F.struct("pos", "span", "doc_pos", "templ", "item_slots", "slots", "near")
+    pairs = met.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"))
+    # a window covers its span and at most size - 1 words to either side: fewer hits can't be a leak
+    reach = F.aggregate("hits", F.lit(0), lambda n, x: n + x["span"] + 2 * (size - 1))
+    pairs = pairs.filter(reach * 100 >= F.col("n_words") * share)
     total = windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
     words = _item_words(bench).groupBy("item_id").agg(F.first("words").alias("words"))
     pairs = pairs.join(total, "item_id").join(words, "item_id")
-    return _judged(pairs.select("doc_id", "item_id", "words", "n_windows", "hits"), size, share).filter("contaminated")
+    return _judged(pairs.select("doc_id", "text_hash", "item_id", "words", "n_windows", "hits"), size, share).filter("contaminated")
+
+
+def leaks(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_windows, n_literal, n_found, contaminated): one row for each document and
+    item that leaks into it; contaminated is true in each."""
+    return leaking_texts(docs, items, size, share, id_col, text_col, item_col, item_text_col).drop("text_hash")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows into whose text an item leaks; other texts under the same id stay."""
+    found = materialize(leaking_texts(docs, items, id_col=id_col, text_col=text_col).select("doc_id", "text_hash").distinct(), "leaking")
+    # whole rows go into one column, so that no name of theirs clashes
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.struct(*docs.columns).alias("whole_row"))
+    same = keyed["id"].eqNullSafe(found["doc_id"]) & (keyed["hash"] == found["text_hash"])
+    return keyed.join(found, same, "left_anti").select("whole_row.*")

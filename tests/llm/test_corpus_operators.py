@@ -10,6 +10,9 @@ import pytest
 from gazette.llm import decontaminate, graph, minhash, toxicity
 
 
+LONG_A = "a text of some words that is long enough to have shingles of five words in it"
+
+
 def shingles(text, size):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
@@ -104,8 +107,8 @@ def test_components_of_a_path_and_a_star(spark):
 ITEMS = [(0, "A train leaves London at 60 km per hour and meets Alice after 3 hours on the way to Paris in the rain."), (1, "too short"), (2, None), (3, "")]
 
 
-def found(spark, docs):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+def found(spark, docs, items=ITEMS):
+    items = spark.createDataFrame(items, "item_id long, text string")
     return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
 
 
@@ -122,7 +125,7 @@ def test_leaks(spark):
         (None, item),
         (7, item.replace("London", "Rome").replace(".", ".\n")),
     ]
-    assert found(spark, docs) == {(0, 0), (1, 0), (2, 0), (6, 1), (7, 0)}
+    assert found(spark, docs) == {(0, 0), (1, 0), (2, 0), (6, 1), (7, 0), (None, 0)}
     assert found(spark, docs[4:6]) == set()
 
 
@@ -175,6 +178,63 @@ def test_literal_leaks_equal_brute_force(spark):
     assert got == {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in bench if i["text"] in d["text"]}
 
 
+def test_names_of_several_words_and_numbers_in_words(spark):
+    item = "Tom has 5 apples and gives 3 of them to Mary before the bus leaves the old town and he walks home"
+    docs = [
+        (0, "Mary Ann has 8 apples and gives 2 of them to Anna Lee Smith before the bus leaves the old town and he walks home"),
+        (1, "Tom has nine apples and gives two of them to Mary before the bus leaves the old town and he walks home"),
+        (2, "So it began. Jean Luc has twenty-one apples and gives seven of them to Bo before the bus leaves the old town and he walks home. The end."),
+        (3, "Mary Ann has a bus and Anna Lee walks home before the old town has nine apples"),
+    ]
+    assert found(spark, docs, [(0, item)]) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_reparameterised_items_are_found(spark):
+    """A generated set: items of several sentences, each asked again with other names, numbers and units."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    name = lambda: " ".join(word().capitalize() for _ in range(rng.choice((1, 1, 2, 3))))
+    number = lambda: rng.choice((str(rng.randint(2, 999)), rng.choice(decontaminate.ONES), f"{rng.choice(decontaminate.TENS)}-{rng.choice(decontaminate.ONES)}"))
+
+    def template():
+        slots = [f"{{{kind}{k}}}" for kind in "nku" for k in range(3)]
+        return [[rng.choice(slots) if rng.random() < 0.3 else word() for _ in range(rng.randint(9, 16))] for _ in range(rng.randint(2, 4))]
+
+    def filled(parts):
+        """Each slot stands for one value throughout, and no two for the same."""
+        units = rng.sample(("km", "kg", "hours", "euros", "miles"), 3)
+        values = {}
+        while len(set(values.values())) < 9:
+            values = {f"{{{kind}{k}}}": make(k) for kind, make in (("n", lambda _: name()), ("k", lambda _: number()), ("u", units.__getitem__)) for k in range(3)}
+        sentences = [" ".join(values.get(w, w) for w in p) for p in parts]
+        return " ".join(x[0].upper() + x[1:] + "." for x in sentences)
+
+    filler = lambda n: " ".join(word() for _ in range(n)) + "."
+    templates = [template() for _ in range(60)]
+    items = [(k, filled(t)) for k, t in enumerate(templates)]
+    docs = [(k, f"{filler(30)} {filled(t)} {filler(25)}") for k, t in enumerate(templates)] + [(100 + k, filled(template()) + " " + filler(40)) for k in range(60)]
+    got = found(spark, docs, items)
+    missed = [k for k in range(60) if (k, k) not in got]
+    assert len(missed) <= 6, [(dict(items)[k], dict(docs)[k]) for k in missed]
+    assert all(d == i for d, i in got)
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    item = ITEMS[0][1]
+    docs = [(1, f"words before {item}", "x"), (1, "a clean text under the same id with enough words", "y"), (None, item, "z"), (None, "clean and without an id", "w"), (None, None, "v"), (1, f"words before {item}", "u")]
+    given = spark.createDataFrame(docs, "doc_id long, text string, hash string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.without_leaks(given, bench)
+    assert got.columns == given.columns and {r["hash"] for r in got.collect()} == {"y", "w", "v"}
+    assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(given, bench).collect()) == {(1, 0): 1, (None, 0): 1}
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, LONG_A, "keep me", 5), (2, LONG_A, "copy", 6), (3, "other words entirely here", "mine", 7)], "doc_id long, text string, t string, whole_row int")
+    got = minhash.survivors(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, LONG_A, "keep me", 5), (3, "other words entirely here", "mine", 7)}
+
+
 def toxic_corpus(spark, n=400):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdkst") for _ in range(3))
