@@ -19,7 +19,8 @@ EXACT, BY_ORGANIZER, BY_TITLE, BY_WORD = 0, 1, 2, 3
 
 def profiles(rows: DataFrame) -> DataFrame:
     """rows (id, title, organizer, day, registration_day, format, location, urls array<string>,
-    source_ids array<string> of the form "platform|id") brought to the forms that are compared."""
+    source_ids array<string> of the form "platform|id"; edition, if there is one, is a key of its own)
+    brought to the forms that are compared."""
     title, organizer = identity_form(F.col("title")), identity_form(F.col("organizer"), organizer=True)
     own_years = F.array_distinct(F.regexp_extract_all(title, F.lit("\\b(?:19|20|21)[0-9]{2}\\b"), F.lit(0)))
     day_year = F.date_format("day", "yyyy")
@@ -39,6 +40,7 @@ def profiles(rows: DataFrame) -> DataFrame:
         "format",
         F.coalesce("urls", none).alias("urls"),
         F.coalesce("source_ids", none).alias("source_ids"),
+        *(["edition"] if "edition" in rows.columns else []),
     )
 
 
@@ -63,6 +65,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     keys = F.concat(
         one(EXACT, "u:", F.col("urls")),
         one(EXACT, "s:", F.col("source_ids")),
+        *([one(EXACT, "e:", F.filter(F.array("edition"), lambda e: e.isNotNull()))] if "edition" in rows.columns else []),
         F.coalesce(F.when(named, by_day(BY_ORGANIZER, "o:", F.array("organizer"))), none),
         F.coalesce(by_day(BY_TITLE, "t:", titles), none),
         F.when(named, one(BY_WORD, "ot:", F.transform("tokens", lambda t: F.concat_ws("+", "organizer", t)))).otherwise(none),

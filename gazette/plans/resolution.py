@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.operators import coalesce
+from gazette.operators import coalesce, ingest_batch as batches
 from gazette.plans.queries import register
-from gazette.session import table
+from gazette.session import shared_dir, table
 
 #: Orders as listings: those of a customer are one organizer's, on one day. Kinds by key: 0 and 4 share the
 #: customer's URL (0 online, 4 in a hall), 1 is like 0 under a URL of its own, 2 names another year, 3 another title.
@@ -55,3 +56,42 @@ def coalesced_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id that a bookmark of any id leads to."""
     return coalesce.groups(order_listings(spark, sf_dir).drop("provenance")).select(F.col("id").cast("bigint").alias("id"), F.col("head").cast("bigint").alias("head"))
+
+
+def _observations(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
+    """Each customer's event: as it is first seen, and a second time. By key % 6 the second time brings 0 a new prize,
+    1 another edition under the same URL, 2 the same event under another URL, 3 an older page, 4 another event, 5 no title."""
+    k = F.col("c_custkey")
+    kind = F.when(F.lit(second), k % 6).otherwise(-1)
+    lot = F.concat(F.lit("lot"), k + F.when(kind == 4, 10_000_000).otherwise(0))
+    link = F.concat(F.lit("https://h.example/"), F.when(kind.isin(2, 4), "b/").otherwise("a/"), k)
+    day = F.date_add(F.lit(dt.date(2027, 1, 1)), (k * 7 % 180).cast("int"))
+    known = {
+        "source": F.when(kind == 2, "other").otherwise("feed"),
+        "link": link,
+        "title": F.when(kind != 5, F.concat(F.lit("Sprint "), lot, F.when(kind == 1, " 2031").otherwise(""))),
+        "organizer": F.concat(F.lit("Org "), lot),
+        "format": F.lit("online"),
+        "day": F.when(kind == 1, F.lit(dt.date(2031, 1, 1))).otherwise(day),
+        "prize": F.concat(F.lit("Q" if second else "P"), F.col("c_nationkey")),
+        "authority": F.lit(1),
+        "observed_at": F.when(kind == -1, F.lit(dt.datetime(2026, 1, 2))).when(kind == 3, F.lit(dt.datetime(2026, 1, 1))).otherwise(F.lit(dt.datetime(2026, 1, 3))),
+    }
+    fields = [f.split() for f in batches.OBSERVATION.split(", ")]
+    return table(spark, sf_dir, "customer").select(*[known.get(name, F.lit(None)).cast(kind_).alias(name) for name, kind_ in fields])
+
+
+@register("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 6 AS kind FROM customer)
+SELECT 'https://h.example/a/' || k AS link, CASE WHEN kind = 0 THEN 'Q' ELSE 'P' END || n AS prize, CASE kind WHEN 1 THEN 'edition_identity' WHEN 2 THEN 'prize' ELSE '' END AS conflicts,
+CASE WHEN kind = 2 THEN 2 ELSE 1 END::INT AS n_aliases, CASE WHEN kind IN (0, 2) THEN 2 ELSE 1 END::BIGINT AS revision, CASE kind WHEN 0 THEN 'MATCH:,NEW:' WHEN 1 THEN 'NEW:,REVIEW:possible_new_edition' WHEN 2 THEN 'MATCH:,NEW:' WHEN 3 THEN 'MATCH:older_observation,NEW:' ELSE 'NEW:' END AS log FROM c
+UNION ALL SELECT 'https://h.example/b/' || k, 'Q' || n, '', 1, 1, 'NEW:' FROM c WHERE kind = 4""")
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events after two batches and a replay of the second, each with what the ledger says of it."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    batches.ingest_batch(spark, root, _observations(spark, sf_dir, second=False))
+    batches.ingest_batch(spark, root, _observations(spark, sf_dir, second=True))
+    batches.ingest_batch(spark, root, _observations(spark, sf_dir, second=True))
+    said = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "outcome", F.coalesce("ignored_reason", F.lit(""))))), ",")
+    log = batches.ledger(spark, root).groupBy("event_id").agg(said.alias("log"))
+    shown = batches.events(spark, root).join(log, "event_id")
+    return shown.select("link", "prize", F.array_join("conflicting_fields", ",").alias("conflicts"), F.size("url_aliases").alias("n_aliases"), "revision", "log")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators import catalog
 from gazette.session import shared_dir, table
-from gazette.sources import generations
+from gazette.sources import files, generations
 
 AS_OF = dt.date(1998, 7, 1)
 OBSERVED_TO = dt.datetime(2024, 1, 31)
@@ -52,17 +52,25 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Raised when what is published changes, so that no older generation is taken for it.
-VIEW = 2
+VIEW = 3
 SOURCES = ("orders", "lineitem", "part", "customer", "nation", "region")
 
 
-def published_view(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
+def published_view(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, now: dt.datetime | None = None) -> DataFrame:
     """The published generation of the listings that requests read: narrow, partitioned by past and
-    sorted as pages are. It is published anew when a file of its sources or the day has changed."""
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{name}.parquet" for name in SOURCES])
-    listed = sorted(map(tuple, files.select("path", "modificationTime", "length").coalesce(1).collect()))  # no contents
-    root = f"{shared_dir(spark)}/views/{hashlib.sha256(repr((listed, as_of, VIEW)).encode()).hexdigest()[:32]}"
+    sorted as pages are. It is published anew when a file of its sources has changed, or at its end (the day's,
+    as "past" depends on the day). Of requests that find none at once one publishes, and all read that."""
+    now = now or dt.datetime.combine(as_of, dt.time())
+    listed = [f for name in SOURCES for f in files.listed(spark, f"{sf_dir}/{name}.parquet")]
+    root = f"{shared_dir(spark)}/views/{hashlib.sha256(repr((listed, VIEW)).encode()).hexdigest()[:32]}"
     held = generations.current(spark, root)
-    if held is None:
-        held = generations.publish(catalog.published(listings(spark, sf_dir), as_of), root, None, ("past",), ("missing", "deadline", "id"))
+    if held is None or generations.expired(held, now) or held["as_of"] != now.date().isoformat():
+        until = dt.datetime.combine(now.date() + dt.timedelta(days=1), dt.time())
+        try:
+            new = generations.publish(catalog.published(listings(spark, sf_dir), now.date()), root, held, ("past",), ("missing", "deadline", "id"), as_of=now.date().isoformat(), valid_until=until.isoformat())
+            if new["retired"]:
+                files.removed(spark, f"{root}/{new['retired']}")
+            held = new
+        except generations.StaleManifest:
+            held = generations.current(spark, root)
     return generations.read(spark, root, held)

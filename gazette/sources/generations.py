@@ -1,13 +1,15 @@
-"""Published generations of a view: written whole, then named by one small manifest.
+"""Published generations: written whole, then named by one small manifest.
 
-A generation is a folder of Parquet files that never changes; readers follow the manifest. A write
-that fails leaves the manifest as it was. Publishing compares the manifest that the writer started
-from with the present one (single writer at a time, as with any file store without locks) and keeps
-the generation before; older ones are returned for the caller to remove.
+A generation is a folder of Parquet tables that never change; readers follow the manifest. A write that
+fails leaves the manifests as they were. Manifests are numbered, and the file of a number can be created
+once: of several writers that start from the same manifest one publishes and the others are told
+(StaleManifest), so no generation is lost or named twice. The generation before is kept for readers that
+still follow it; older ones are returned for the caller to remove.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 
@@ -15,14 +17,19 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gazette.sources import files
 
-MANIFEST = "serial bigint, generation string, previous string, n bigint, layout string"
+ROWS = "rows"
 
 
 class StaleManifest(RuntimeError):
     """Somebody else has published since."""
 
 
+class ExpiredView(RuntimeError):
+    """The generation is no longer valid; it has to be published anew."""
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """One row: n and an order-free digest of all rows (sum and xor of row hashes)."""
     cols = sorted(rows.columns)
@@ -31,44 +38,56 @@ def fingerprint(rows: DataFrame) -> DataFrame:
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    """The last manifest: generation, previous, n; None before the first."""
-    try:
-        found = spark.read.schema(MANIFEST).json(f"{root}/manifests")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    last = found.agg(F.max_by(F.struct("*"), "serial").alias("m")).select("m.*").first()
-    return last.asDict() if last["serial"] is not None else None
-
-
-def publish(rows: DataFrame, root: str, seen: dict | None, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> dict:
-    """Writes rows as a new generation, partitioned and sorted so that filters skip files and row
-    groups, and names it in the manifest if that is still the one in seen (else StaleManifest).
-    The new manifest's ``retired`` is the generation that no reader needs any more, or None."""
-    spark = rows.sparkSession
+    """The last manifest: serial, generation, previous, n, layouts and what the publisher noted; None before the first."""
+    for path, _, _ in reversed(files.listed(spark, f"{root}/manifests")):
+        try:
+            return json.loads(files.read_text(spark, path))
+        except json.JSONDecodeError:  # just being written: not yet published
+            continue
+    return None
+
+
+def publish_tables(tables: dict[str, DataFrame], root: str, seen: dict | None, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), **notes: str | None) -> dict:
+    """Writes tables as one new generation, partitioned and sorted so that filters skip files and row groups,
+    and names it in the manifest after the one in seen (else StaleManifest). notes are kept in the manifest;
+    valid_until (ISO, UTC) among them lets readers refuse it when it has expired. The new manifest's
+    ``retired`` is the generation that no reader needs any more, or None."""
+    spark = next(iter(tables.values())).sparkSession
     generation = f"generations/{uuid.uuid4().hex}"
-    counted = Observation()
-    laid = rows.hint("rebalance", *partition_by)  # files of the advisory size, whatever the values' shares
-    laid = laid.sortWithinPartitions(*partition_by, *sort_by) if partition_by or sort_by else laid
-    laid.observe(counted, F.count(F.lit(1)).alias("n")).write.partitionBy(*partition_by).parquet(f"{root}/{generation}")
-    n = counted.get["n"]
-    now = current(spark, root)
-    if (now or {}).get("serial") != (seen or {}).get("serial"):
-        raise StaleManifest(f"{generation} is not published")
-    manifest = {"serial": ((now or {}).get("serial") or 0) + 1, "generation": generation, "previous": (now or {}).get("generation"), "n": n, "layout": rows.schema.json()}
-    row = spark.createDataFrame([tuple(manifest.values())], MANIFEST)
-    row.coalesce(1).write.mode("append").json(f"{root}/manifests")
-    return manifest | {"retired": (now or {}).get("previous")}
-
-
-def read(spark: SparkSession, root: str, held: dict | None = None) -> DataFrame:
-    """The generation that a manifest names, the present one if none is given."""
+    counts, layouts = {}, {}
+    for name, rows in tables.items():
+        counted = Observation()
+        laid = rows.hint("rebalance", *partition_by)  # files of the advisory size, whatever the values' shares
+        laid = laid.sortWithinPartitions(*partition_by, *sort_by) if partition_by or sort_by else laid
+        laid.observe(counted, F.count(F.lit(1)).alias("n")).write.partitionBy(*partition_by).parquet(f"{root}/{generation}/{name}")
+        counts[name], layouts[name] = counted.get["n"], rows.schema.json()
+    manifest = {"serial": ((seen or {}).get("serial") or 0) + 1, "generation": generation, "previous": (seen or {}).get("generation"), "n": sum(counts.values()), "counts": counts, "layouts": layouts, **notes}
+    if not files.create_text(spark, f"{root}/manifests/{manifest['serial']:012d}.json", json.dumps(manifest)):
+        files.removed(spark, f"{root}/{generation}")
+        raise StaleManifest(f"manifest {manifest['serial']} is another writer's")
+    return manifest | {"retired": (seen or {}).get("previous")}
+
+
+def publish(rows: DataFrame, root: str, seen: dict | None, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), **notes: str | None) -> dict:
+    """publish_tables for one table."""
+    return publish_tables({ROWS: rows}, root, seen, partition_by, sort_by, **notes)
+
+
+def read(spark: SparkSession, root: str, held: dict | None = None, name: str = ROWS, now: dt.datetime | None = None) -> DataFrame:
+    """A table of the generation that a manifest names, the present one if none is given. With now, a
+    generation whose time has run out is refused."""
     held = held or current(spark, root)
     if held is None:
         raise FileNotFoundError(f"nothing is published in {root}")
-    layout = StructType.fromJson(json.loads(held["layout"]))  # columns that files are partitioned by keep their types
-    return spark.read.schema(layout).parquet(f"{root}/{held['generation']}").select(*layout.names)
+    if now is not None and expired(held, now):
+        raise ExpiredView(f"valid until {held['valid_until']}")
+    layout = StructType.fromJson(json.loads(held["layouts"][name]))  # columns that files are partitioned by keep their types
+    return spark.read.schema(layout).parquet(f"{root}/{held['generation']}/{name}").select(*layout.names)
+
+
+def expired(manifest: dict, now: dt.datetime) -> bool:
+    until = manifest.get("valid_until")
+    return until is not None and dt.datetime.fromisoformat(until) <= now
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:
