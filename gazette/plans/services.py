@@ -14,6 +14,7 @@ from gazette.plans.queries import observations, register
 from gazette.plans.views import AS_OF, LISTINGS_SQL, listings
 from gazette.session import table
 from gazette.sources import generations
+from gazette.streaming import outbox as outbox_stream
 
 FIELDS = ["source", "source_event_id", "link", "title", "prize", "registrations"]
 CUSTOMERS_SQL = """o AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS seg FROM customer),
@@ -138,6 +139,39 @@ def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.pending(jobs.select("intent", (F.col("intent") % 3 == 0).alias("notified")).distinct(), jobs)
 
 
+#: What happened to each user's job: made by the first event, then claimed and finished by the others in turn (by the
+#: hour of the day): two seconds after the claim, delivered by a purchase, refused by an error, to be retried otherwise.
+#: The recursion has the state as (state, attempts, due, lease) and takes a claim and its finish in one step each.
+OUTBOX_SQL = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job, epoch(date_trunc('second', ts))::BIGINT AS mo, event_id, event_type FROM events),
+h AS (SELECT job, min(mo) AS mo, 0 AS o, '' AS token, 'create' AS kind, NULL::VARCHAR AS outcome FROM e GROUP BY job
+UNION ALL SELECT job, mo, 2, event_id::VARCHAR, 'claim', NULL FROM e
+UNION ALL SELECT job, mo + 2, 1, event_id::VARCHAR, 'finish', CASE event_type WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'refused' ELSE 'retryable' END FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY mo, o, token) AS n FROM h),
+s AS (SELECT job, 0::BIGINT AS n, NULL::VARCHAR AS state, 0 AS attempts, NULL::VARCHAR AS own, NULL::BIGINT AS due, NULL::BIGINT AS lease FROM (SELECT DISTINCT job FROM r)
+UNION ALL SELECT r.job, r.n,
+CASE WHEN r.kind = 'create' AND f.state IS NULL THEN 'pending' WHEN r.kind = 'claim' AND f.state IN ('pending', 'retryable') AND f.due <= r.mo AND s.attempts < 5 THEN 'processing'
+     WHEN r.kind = 'finish' AND f.state = 'processing' AND s.own = r.token THEN CASE WHEN r.outcome = 'delivered' THEN 'delivered' WHEN r.outcome = 'retryable' AND s.attempts < 5 THEN 'retryable' ELSE 'failed' END ELSE f.state END,
+s.attempts + CASE WHEN r.kind = 'claim' AND f.state IN ('pending', 'retryable') AND f.due <= r.mo AND s.attempts < 5 THEN 1 ELSE 0 END,
+CASE WHEN r.kind = 'claim' AND f.state IN ('pending', 'retryable') AND f.due <= r.mo AND s.attempts < 5 THEN r.token WHEN f.state = 'processing' AND NOT (r.kind = 'finish' AND s.own = r.token) THEN s.own END,
+CASE WHEN r.kind = 'create' AND f.state IS NULL THEN r.mo WHEN r.kind = 'finish' AND f.state = 'processing' AND s.own = r.token THEN CASE WHEN r.outcome = 'retryable' AND s.attempts < 5 THEN r.mo + least(3600, (2 ** s.attempts)::BIGINT) END
+     WHEN r.kind = 'claim' AND f.state IN ('pending', 'retryable') AND f.due <= r.mo AND s.attempts < 5 THEN NULL ELSE f.due END,
+CASE WHEN r.kind = 'claim' AND f.state IN ('pending', 'retryable') AND f.due <= r.mo AND s.attempts < 5 THEN r.mo + 60 WHEN f.state = 'processing' AND NOT (r.kind = 'finish' AND s.own = r.token) THEN s.lease END
+FROM s JOIN r ON r.job = s.job AND r.n = s.n + 1, LATERAL (SELECT CASE WHEN s.state = 'processing' AND s.lease <= r.mo THEN CASE WHEN s.attempts >= 5 THEN 'failed' ELSE 'retryable' END ELSE s.state END AS state, CASE WHEN s.state = 'processing' AND s.lease <= r.mo AND s.attempts < 5 THEN s.lease ELSE s.due END AS due) f)
+SELECT job, state, attempts, due AS due_at FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY n DESC) AS z FROM s) WHERE z = 1"""
+
+
+@register(OUTBOX_SQL)
+def outbox_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's job after all of their events."""
+    e = observations(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), F.date_trunc("second", "ts").alias("at"), F.col("event_id").cast("string").alias("token"), "event_type")
+    none = F.lit(None).cast("string")
+    happening = lambda df, kind, at, token, outcome=none: df.select("job", at.alias("at"), F.lit(kind).alias("kind"), token.alias("token"), outcome.alias("outcome"), none.alias("code"), F.lit(None).cast("int").alias("retry_after"))
+    outcome = F.when(F.col("event_type") == "purchase", "delivered").when(F.col("event_type") == "error", "refused").otherwise("retryable")
+    made = happening(e.groupBy("job").agg(F.min("at").alias("at")), "create", F.col("at"), none)
+    told = made.unionByName(happening(e, "claim", F.col("at"), F.col("token"))).unionByName(happening(e, "finish", F.col("at") + F.expr("INTERVAL 2 SECONDS"), F.col("token"), outcome))
+    return outbox_stream.job_states(told, dt.datetime(2100, 1, 1)).select("job", "state", "attempts", F.unix_timestamp("due").alias("due_at"))
+
+
 @register(f"WITH {JOBS_SQL}, {SUBS_SQL}, e AS (SELECT c_custkey AS event, CASE c_custkey % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END AS kind FROM customer WHERE c_acctbal > 0) SELECT job, CASE WHEN e.event IS NULL THEN 'event_gone' WHEN NOT coalesce(s.active, false) THEN 'unsubscribed' WHEN s.preference <> 'all' AND s.preference <> e.kind THEN 'not_wanted' ELSE 'send' END AS verdict FROM j LEFT JOIN e ON e.event = j.job % 1000 LEFT JOIN s ON s.subscriber = j.intent")
 def outbox_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
