@@ -123,9 +123,9 @@ class Form(NamedTuple):
     ends: np.ndarray
 
 
-def _folded(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> Form:
-    named = kinds == NAME
-    begins = np.flatnonzero(~(named & np.concatenate([[False], named[:-1]])))
+def _folded(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, runs: np.ndarray) -> Form:
+    """runs: which words go on with the name before."""
+    begins = np.flatnonzero(~runs)
     ends = np.append(begins[1:], len(kinds))
     own = values[begins].copy()
     for k in np.flatnonzero(ends - begins > 1).tolist():
@@ -143,7 +143,7 @@ def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
     plain, inside, ends = marks & 3, marks >> 2 & 3, marks >> 4
     first = np.concatenate([[1], ends[:-1]]).astype(bool)
     keep = literal != 0
-    every = literal[keep]
+    every, opens = literal[keep], first[keep]
     at = np.arange(len(every))
     forms = [Form(False, every, plain[keep], every, at, at + 1)]
     for kind in (np.where(first, plain, inside), inside):
@@ -151,8 +151,9 @@ def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
         for k, h in _SLOT.items():
             template[kind == k] = h
         named = kind == NAME
-        if (named[1:] & named[:-1]).any():
-            forms.append(_folded(template, kind, every))
+        runs = np.concatenate([[False], named[1:] & named[:-1]]) & ~opens  # a name ends with its sentence
+        if runs.any():
+            forms.append(_folded(template, kind, every, runs))
         else:
             forms.append(Form(True, template, kind, every, at, at + 1))
     return every, forms
@@ -180,15 +181,14 @@ def _slots(form: Form, at: int, n: int) -> np.ndarray:
 def _form_windows(forms: list[Form], size: int) -> list[tuple[Form, np.ndarray, np.ndarray]]:
     """Each form that has size tokens with the hashes of its windows, and which of these differ from the
     form before. Forms of one length are hashed together."""
-    forms = [f for f in forms if len(f.hashes) >= size]
-    if not forms:
-        return []
-    if len({len(f.hashes) for f in forms}) > 1:
-        single = [_windows(f.hashes[None], size)[0] for f in forms]
-        return [(f, w, np.ones(len(w), bool)) for f, w in zip(forms, single, strict=True)]
-    w = _windows(np.stack([f.hashes for f in forms]), size)
-    fresh = np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
-    return list(zip(forms, w, fresh, strict=True))
+    found = []
+    for n in dict.fromkeys(len(f.hashes) for f in forms):
+        if n >= size:
+            alike = [f for f in forms if len(f.hashes) == n]
+            w = _windows(np.stack([f.hashes for f in alike]), size)
+            fresh = np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
+            found += zip(alike, w, fresh, strict=True)
+    return found
 
 
 WINDOW_SCHEMA = "id bigint, n_words int, pos int, span int, h bigint, templ boolean, slots array<bigint>"

@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType, DoubleType
 
 from gazette.functions.dates import day_bucket
 from gazette.functions.text import identity_form, search_form, title_tokens
+from gazette.session import held
 
 CANDIDATE_CAP = 100
 MATCH_SCORE, REVIEW_SCORE, NEAR_TIE = 91.0, 65.0, 5.0
@@ -78,18 +79,20 @@ def candidate_pairs(rows: DataFrame, stored: DataFrame | None = None, cap: int =
     it has any; and the ids that abstain, because a block of that tier has more than cap others, or
     all its blocks together have. Without stored, rows are held against each other. Block sizes are
     counted before anything is paired, so crowded blocks are never joined."""
-    own, same = blocks(rows), stored is None
-    held = own if same else blocks(stored)
+    same = stored is None
+    own = held(blocks(rows), "blocks")
+    others_blocks = own if same else held(blocks(stored), "stored-blocks")
     others = F.col("size") - 1 if same else F.col("size")
-    sizes = held.groupBy("tier", "block").agg(F.count(F.lit(1)).alias("size")).filter(others > 0).withColumn("size", others)
+    sizes = others_blocks.groupBy("tier", "block").agg(F.count(F.lit(1)).alias("size")).filter(others > 0).withColumn("size", others)
     met = own.join(sizes, ["tier", "block"])
     tiers = met.groupBy("id", "tier").agg(F.max("size").alias("most"))
     first = tiers.groupBy("id").agg(F.min(F.struct("tier", "most")).alias("x")).select("id", "x.*")
+    first = held(first, "first-tiers")
     fit = met.join(first.filter(F.col("most") <= cap), ["id", "tier"]).select("tier", "block", F.col("id").alias("left_id"))
-    pairs = fit.join(held.select("tier", "block", F.col("id").alias("right_id")), ["tier", "block"])
+    pairs = fit.join(others_blocks.select("tier", "block", F.col("id").alias("right_id")), ["tier", "block"])
     if same:
         pairs = pairs.filter("left_id <> right_id")
-    pairs = pairs.groupBy("left_id", "right_id").agg(F.min("tier").alias("tier"))
+    pairs = held(pairs.groupBy("left_id", "right_id").agg(F.min("tier").alias("tier")), "pairs")
     many = pairs.groupBy("left_id").count().filter(F.col("count") > cap).select(F.col("left_id").alias("id"))
     return pairs.join(many, F.col("left_id") == F.col("id"), "left_anti"), first.filter(F.col("most") > cap).select("id").union(many)
 
@@ -211,6 +214,44 @@ def resolve(ids: DataFrame, compared: DataFrame, overflow: DataFrame) -> DataFra
     )
 
 
+def resolution(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """resolve for all of rows against stored (or each other), from profiles: every step is worked out once."""
+    mine = held(rows, "profiles")
+    theirs = None if stored is None else held(stored, "stored-profiles")
+    pairs, overflow = candidate_pairs(mine, theirs)
+    return resolve(mine, held(compare(pairs, mine, theirs), "compared"), overflow)
+
+
+def same_exact(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Baseline: left_id, right_id and outcome of pairs, a MATCH where a URL or platform id is shared."""
+    side = lambda name, key: rows.select(F.col("id").alias(key), F.struct("urls", "source_ids").alias(name))
+    x = pairs.join(side("l", "left_id"), "left_id").join(side("r", "right_id"), "right_id")
+    hit = F.arrays_overlap("l.urls", "r.urls") | F.arrays_overlap("l.source_ids", "r.source_ids")
+    return x.select("left_id", "right_id", F.when(hit, "MATCH").otherwise("DISTINCT").alias("outcome"))
+
+
+def same_edition(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Baseline: a MATCH where the edition keys (edition of rows) are equal."""
+    side = lambda name, key: rows.select(F.col("id").alias(key), F.col("edition").alias(name))
+    x = pairs.join(side("l", "left_id"), "left_id").join(side("r", "right_id"), "right_id")
+    return x.select("left_id", "right_id", F.when(F.coalesce(F.col("l") == F.col("r"), F.lit(False)), "MATCH").otherwise("DISTINCT").alias("outcome"))
+
+
+def typos(text: Column, seed: Column, every: int = 3) -> Column:
+    """text with one letter of about one in every words doubled, dropped or swapped with the next, by a hash of the
+    seed, the word and its place: the same on every run."""
+
+    def one(word: Column, k: Column) -> Column:
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), word, k.cast("string"))), 1, 6), 16, 10).cast("int")
+        at = (F.pmod(F.floor(h / 16), F.length(word) - 1) + 1).cast("int")
+        head, a, b, tail = F.substr(word, F.lit(1), at - 1), F.substr(word, at, F.lit(1)), F.substr(word, at + 1, F.lit(1)), F.substr(word, at + 2)
+        kind = F.pmod(h, F.lit(3))
+        wrong = F.when(kind == 0, F.concat(head, a, a, b, tail)).when(kind == 1, F.concat(head, b, tail)).otherwise(F.concat(head, b, a, tail))
+        return F.when((F.pmod(F.floor(h / 4), F.lit(every)) == 0) & (F.length(word) >= 5), wrong).otherwise(word)
+
+    return F.array_join(F.transform(F.split(text, " "), one), " ")
+
+
 def quality(judged: DataFrame) -> DataFrame:
     """One row over judged (expected_same boolean, outcome): counts of a MATCH against the truth, with
     precision, recall, F1 and the share of different pairs that were merged."""

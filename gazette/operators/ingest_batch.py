@@ -73,7 +73,7 @@ def resolved(observations: DataFrame, stored: DataFrame) -> DataFrame:
     observation that does not match, but has an exact key in common with a stored event, is HELD at that event."""
     mine, theirs = held(_incoming_profiles(observations), "incoming"), held(_stored_profiles(stored), "stored")
     pairs, overflow = identity.candidate_pairs(mine, theirs)
-    pairs, overflow = held(pairs, "pairs"), held(overflow, "overflow")
+    overflow = held(overflow, "overflow")
     compared = held(identity.compare(pairs, mine, theirs), "compared")
     found = identity.resolve(mine, compared, overflow)
     tier = pairs.select("left_id", "right_id", "tier")
