@@ -45,3 +45,28 @@ TITLE_PLATFORMS = ("Devfolio", "Unstop", "Devpost", "HackerEarth", "MLH", "Event
 UNKNOWN_VALUES = ("", "TBA", "Unknown")
 # Fields that are counted or stamped, and never in conflict.
 METADATA_FIELDS = ("scraped_at", "last_seen_at", "total_registrations", "registrations")
+
+# Campuses of the institutes of a family, in natural order.
+IIT_CAMPUSES = (
+    "bombay", "delhi", "madras", "kanpur", "kharagpur", "roorkee", "guwahati", "hyderabad", "indore",
+    "bhu", "varanasi", "dhanbad", "ism", "ropar", "rupnagar", "patna", "bhubaneswar", "mandi", "jodhpur",
+    "tirupati", "palakkad", "dharwad", "bhilai", "goa", "jammu",
+)
+NIT_CAMPUSES = (
+    "trichy", "tiruchirappalli", "surathkal", "warangal", "rourkela", "calicut", "jamshedpur",
+    "kurukshetra", "hamirpur", "raipur", "durgapur", "allahabad", "prayagraj", "nagpur", "silchar",
+    "srinagar", "jaipur", "bhopal", "patna", "agartala", "arunachal", "delhi", "goa", "manipur",
+    "meghalaya", "mizoram", "nagaland", "puducherry", "sikkim", "uttarakhand",
+)
+IIIT_CAMPUSES = (
+    "hyderabad", "bangalore", "bengaluru", "delhi", "allahabad", "prayagraj", "gwalior", "jabalpur",
+    "kancheepuram", "lucknow", "kurnool", "sri city", "vadodara", "sonepat", "nagpur", "pune",
+    "ranchi", "una", "kalyani", "bhopal", "dharwad", "tiruchirappalli", "trichy", "kottayam",
+    "manipur", "raichur", "agartala", "bhagalpur", "surat",
+)
+BITS_CAMPUSES = ("pilani", "goa", "hyderabad", "dubai")
+
+# What stands before the date on which a registration ends, and the forms of such a date.
+REGISTRATION_LABEL = "(?i)(?:registration\\s+(?:deadline|closes|ends)|apply\\s+by|last\\s+date\\s+to\\s+register)\\s*[:–—-]?\\s*"
+LABELLED_DATE = "(?i)^(\\d{4}-\\d{2}-\\d{2}|\\d{1,2}(?:st|nd|rd|th)?\\s+[A-Za-z]+\\s+\\d{4}|[A-Za-z]+\\s+\\d{1,2}(?:st|nd|rd|th)?,?\\s+\\d{4})"
+DATE_RANGE = "(?i)^\\s*(?:[-–—]|to\\b|through\\b|until\\b|and\\b)\\s*\\d"

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazette.data import DATE_RANGE, LABELLED_DATE, REGISTRATION_LABEL
+
 CLOSING_DAYS = 5
 STALE_DAYS = 14
 BUCKET_DAYS = 14
@@ -90,3 +92,19 @@ def instant_in_zone(text: Column, zone: Column | str) -> Column:
 def local_day_end(at: Column, zone: str) -> Column:
     """The UTC time at which the zone's day that holds the moment ends."""
     return F.to_utc_timestamp(F.date_add(F.from_utc_timestamp(at, zone).cast("date"), 1).cast("timestamp"), zone)
+
+
+def labelled_registration_date(text: Column) -> Column:
+    """The date that a text names as the end of registration: every label has to be followed by one complete date
+    that begins no range, in its line and before the next label, and all have to name the same day; else null."""
+    after = lambda x: F.filter(x, lambda _, k: k > 0)
+    # what follows each label, up to the next one, the line's end or a tag
+    spans = F.transform(after(F.split(text, REGISTRATION_LABEL)), lambda s: F.trim(F.substring(F.split(s, "[\n<]")[0], 1, 100)))
+
+    def day(span: Column) -> Column:
+        token = F.regexp_extract(span, LABELLED_DATE, 1)
+        ranged = F.substr(span, F.length(token) + 1).rlike(DATE_RANGE)
+        return F.when((token != "") & ~ranged, single_date(F.initcap(F.regexp_replace(token, "(?i)(?<=\\d)(st|nd|rd|th)\\b", ""))))
+
+    days = F.transform(spans, day)
+    return F.when((F.size(F.array_distinct(days)) == 1), days[0])

@@ -12,19 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Institutes by family, in the order in which they are tried, with their campuses.
-IIT_CAMPUSES = "bombay delhi madras kanpur kharagpur roorkee guwahati hyderabad indore bhu varanasi dhanbad ism ropar rupnagar patna bhubaneswar mandi jodhpur tirupati palakkad dharwad bhilai goa jammu".split()
-NIT_CAMPUSES = "trichy tiruchirappalli surathkal warangal rourkela calicut jamshedpur kurukshetra hamirpur raipur durgapur allahabad prayagraj nagpur silchar srinagar jaipur bhopal patna agartala arunachal delhi goa manipur meghalaya mizoram nagaland puducherry sikkim uttarakhand".split()
-IIIT_CAMPUSES = ["sri city", *"hyderabad bangalore bengaluru delhi allahabad prayagraj gwalior jabalpur kancheepuram lucknow kurnool vadodara sonepat nagpur pune ranchi una kalyani bhopal dharwad tiruchirappalli trichy kottayam manipur raichur agartala bhagalpur surat".split()]
-BITS_CAMPUSES = "pilani goa hyderabad dubai".split()
-INSTITUTES: tuple[tuple[str, tuple[str, ...], list[str]], ...] = (
+from gazette.data import BITS_CAMPUSES, IIIT_CAMPUSES, IIT_CAMPUSES, NIT_CAMPUSES
+
+# Institutes by family, in the order in which they are tried.
+INSTITUTES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("IIT", (r"iit\b", r"iits\b", r"indian\s+institute\s+of\s+technology"), IIT_CAMPUSES),
     ("NIT", (r"nit\b", r"nits\b", r"national\s+institute\s+of\s+technology"), NIT_CAMPUSES),
     ("IIIT", (r"iiit\b", r"iiits\b", r"indian\s+institute\s+of\s+information\s+technology"), IIIT_CAMPUSES),
     ("BITS", (r"bits\b", r"birla\s+institute\s+of\s+technology\s+(?:and|&)\s+science"), BITS_CAMPUSES),
-    ("IISc", (r"iisc\b", r"indian\s+institute\s+of\s+science"), []),
-    ("IIM", (r"iim\b", r"iims\b", r"indian\s+institute\s+of\s+management"), []),
-    ("CFTI", (r"coep\b", r"college\s+of\s+engineering\s+pune", r"pict\b", r"pune\s+institute\s+of\s+computer\s+technology", r"vjti\b", r"veermata\s+jijabai", r"dtu\b", r"delhi\s+technological\s+university", r"nsut\b", r"netaji\s+subhas\s+(?:university|institute)", r"dce\b", r"delhi\s+college\s+of\s+engineering"), []),
+    ("IISc", (r"iisc\b", r"indian\s+institute\s+of\s+science"), ()),
+    ("IIM", (r"iim\b", r"iims\b", r"indian\s+institute\s+of\s+management"), ()),
+    ("CFTI", (r"coep\b", r"college\s+of\s+engineering\s+pune", r"pict\b", r"pune\s+institute\s+of\s+computer\s+technology", r"vjti\b", r"veermata\s+jijabai", r"dtu\b", r"delhi\s+technological\s+university", r"nsut\b", r"netaji\s+subhas\s+(?:university|institute)", r"dce\b", r"delhi\s+college\s+of\s+engineering"), ()),
 )
 # Patterns of internships, of large employers, of titles and of spam.
 INTERNSHIP = r"(?i)\b(?:internship|intern\b|hiring\s+challenge|placement|job\s+offer|ppo\b|ppi\b|stipend|career\s+track|hiring|recruit)"
@@ -47,7 +45,7 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), F.lit(None))
 
 
-def institute_pattern(forms: tuple[str, ...], campuses: list[str]) -> str:
+def institute_pattern(forms: tuple[str, ...], campuses: tuple[str, ...]) -> str:
     campus = rf"(?:\s+(?:{'|'.join(campuses)}))?" if campuses else ""
     return rf"(?i)\b(?:{'|'.join(forms)}){campus}"
 

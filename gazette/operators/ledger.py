@@ -67,13 +67,11 @@ def failing(runs: DataFrame, source: str, order: list[Column], bad: Column, stre
 
 def recipient_counts(events: DataFrame, subscribers: DataFrame, shard: Column) -> DataFrame:
     """(shard, subscriber, n): how many events of a shard reach a subscriber, whose preference is 'all' or
-    the event's source. Events are counted first; only the small counts meet the subscribers."""
-    counts = events.groupBy(shard.alias("shard"), "source").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.groupBy("shard").agg(F.sum("n").alias("n"))
-    everyone = subscribers.filter("preference = 'all'").select("subscriber").crossJoin(F.broadcast(every))
-    picked = subscribers.filter("preference <> 'all'").join(counts, F.col("preference") == F.col("source"))
-    cols = ("shard", "subscriber", "n")
-    return everyone.select(*cols).union(picked.select(*cols)).groupBy("shard", "subscriber").agg(F.sum("n").alias("n"))
+    the event's source. Events are counted by what reaches them; only the counts meet the subscribers, by an
+    equality of keys."""
+    counts = events.groupBy(shard.alias("shard"), F.col("source").alias("preference")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.lit("all").alias("preference"), "n")
+    return subscribers.join(counts.filter("preference <> 'all'").unionByName(every), "preference").select("shard", "subscriber", "n")
 
 
 def backoff(attempts: Column, retry_after: Column) -> Column:

@@ -167,7 +167,7 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT page_id, upper(s[1:1]) || s[2:] || ' Direct' AS site FROM (SELECT page_id, split_part(regexp_replace(regexp_extract(url, '^https?://([^/?#:]*)', 1), '^(www|m|blog)\\.', ''), '.', 1) AS s FROM pages)")
 def url_source_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(text.url_source_name(F.col("url")), F.lit("\0"), F.lit("")).alias("site"))
+    return table(spark, sf_dir, "pages").select("page_id", text.url_source_name(F.col("url")).alias("site"))
 
 
 @register("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -472,3 +472,66 @@ ALIASES = {"crimson": "red"}
 @register()
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "wiget crimson", ALIASES).select("p_partkey", "p_name")
+
+
+#: Fixed values of the search query: what is asked for, and the words that stand for each word asked, as SQL.
+ASKED = ("iiith", "Poona", "NIT-T ", "  ", "?!", "blr expo")
+_SEARCHED = """raw AS (SELECT *, lower(concat_ws(' ', title, organizer, source, array_to_string(platforms, ' '), venue, location, college_name, college_type, city, description, tagline, opportunity_type, array_to_string(tags, ' '))) AS raw FROM rows),
+norm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\b([a-z0-9]+)-([a-z0-9]+)\\b', '\\1\\2 \\1 \\2', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS form FROM raw),
+said AS (SELECT *, string_split(form, ' ') AS w FROM norm)"""
+SEARCH_SQL = f"""WITH {LISTINGS_SQL},
+rows AS (SELECT id, title, organizer, source, ['feed', 'site' || id % 3] AS platforms, region AS venue, CASE id % 6 WHEN 0 THEN 'IIIT Hyderabad' WHEN 1 THEN 'Blr campus' WHEN 2 THEN 'Old Poona' WHEN 3 THEN 'NIT Trichy' WHEN 4 THEN 'PICT' END AS location,
+CASE id % 5 WHEN 0 THEN 'iiith' WHEN 1 THEN 'IIIT-D' WHEN 2 THEN 'Tiruchirappalli NIT' END AS college_name, CASE WHEN id % 7 = 0 THEN 'Top College' END AS college_type, city, 'no. ' || id AS description, CASE id % 4 WHEN 0 THEN 'Open Expo' END AS tagline, tag AS opportunity_type, ['a-b', 'hyd' || id % 9] AS tags FROM listings),
+{_SEARCHED}
+SELECT id, contains(raw, 'iiith') OR contains(form, 'iiith') OR (contains(form, 'iiit') OR list_has_any(w, ['iiith', 'iiitb', 'iiitd', 'iiita', 'iiitm'])) AND (contains(form, 'hyderabad') OR list_has_any(w, ['hydrerabad', 'hydrabad', 'hyderbad', 'hydrabaad', 'hyd', 'iiith', 'iith', 'bitsh'])) AS a0,
+contains(raw, 'poona') OR contains(form, 'pune') OR list_has_any(w, ['poona', 'coep', 'pict']) AS a1,
+contains(raw, 'nit-t') OR contains(form, 'nitt nit t') OR (contains(form, 'nit') OR list_has_any(w, ['nitt', 'nitk', 'nitw', 'nitc', 'nitr'])) AND (contains(form, 'tiruchirappalli') OR list_has_any(w, ['trichy', 'nitt'])) AND contains(form, 't') AS a2,
+true AS a3, true AS a4, contains(raw, 'blr expo') OR (contains(form, 'bengaluru') OR list_has_any(w, ['bangalore', 'banglore', 'bengluru', 'blr', 'iiitb', 'iisc'])) AND contains(form, 'expo') AS a5 FROM said"""
+
+
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with all fields that a search looks at."""
+    k = F.col("id")
+    return listings(spark, sf_dir).select(
+        k, "title", "organizer", "source", F.array(F.lit("feed"), F.concat(F.lit("site"), k % 3)).alias("platforms"), F.col("region").alias("venue"),
+        F.when(k % 6 == 0, "IIIT Hyderabad").when(k % 6 == 1, "Blr campus").when(k % 6 == 2, "Old Poona").when(k % 6 == 3, "NIT Trichy").when(k % 6 == 4, "PICT").alias("location"),
+        F.when(k % 5 == 0, "iiith").when(k % 5 == 1, "IIIT-D").when(k % 5 == 2, "Tiruchirappalli NIT").alias("college_name"), F.when(k % 7 == 0, "Top College").alias("college_type"), "city",
+        F.concat(F.lit("no. "), k).alias("description"), F.when(k % 4 == 0, "Open Expo").alias("tagline"), F.col("tag").alias("opportunity_type"), F.array(F.lit("a-b"), F.concat(F.lit("hyd"), k % 9)).alias("tags"),
+    )
+
+
+@register(SEARCH_SQL)
+def search_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which listings answer each of the queries ASKED, in all thirteen fields, words replaced by what they stand
+    for; without likeness, which SQL has not."""
+    rows = search_rows(spark, sf_dir)
+    said = rows.select("id", search.corpus(rows.columns).alias("said"))
+    return said.select("id", *[search.matches(F.col("said"), q, fuzzy=False).alias(f"a{n}") for n, q in enumerate(ASKED)])
+
+
+#: A line with a date is written after the first of each document: by id % 7 a date, two labels of one day, of two days, a range,
+#: no date, no label, and a label of another form with the date in another.
+LABELLED_SQL = """WITH d AS (SELECT doc_id, doc_id % 28 + 1 AS n, split_part(text, chr(10), 1) AS first, text[length(split_part(text, chr(10), 1)) + 1:] AS rest FROM documents),
+t AS (SELECT doc_id, first || chr(10) || CASE doc_id % 7 WHEN 0 THEN 'Registration closes: ' || n || 'th March 2026!' WHEN 1 THEN 'Apply by 2026-03-' || lpad(n::VARCHAR, 2, '0') || ', so registration ends ' || n || ' mar 2026' WHEN 2 THEN 'Apply by ' || n || ' March 2026. Last date to register: April ' || n || ', 2026'
+WHEN 3 THEN 'Registration deadline - ' || n || ' March 2026 to 30 March 2026' WHEN 4 THEN 'Registration ends soon' WHEN 5 THEN 'It is on ' || n || ' March 2026' ELSE 'LAST DATE TO REGISTER — march ' || n || ' 2026<br>' END || rest AS text FROM d),
+s AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '(?i)(?:registration\\s+(?:deadline|closes|ends)|apply\\s+by|last\\s+date\\s+to\\s+register)\\s*[:–—-]?\\s*')[2:], lambda x: trim(regexp_split_to_array(x, '[\\n<]')[1][1:100])) AS spans FROM t),
+k AS (SELECT doc_id, list_transform(spans, lambda x: {'token': regexp_extract(x, '(?i)^(\\d{4}-\\d{2}-\\d{2}|\\d{1,2}(?:st|nd|rd|th)?\\s+[a-z]+\\s+\\d{4}|[a-z]+\\s+\\d{1,2}(?:st|nd|rd|th)?,?\\s+\\d{4})', 1), 'x': x}) AS k FROM s),
+v AS (SELECT doc_id, list_transform(k, lambda y: CASE WHEN y.token <> '' AND NOT regexp_matches(y.x[length(y.token) + 1:], '(?i)^\\s*(?:[-–—]|to\\b|through\\b|until\\b|and\\b)\\s*\\d') THEN try_strptime(regexp_replace(y.token, '(\\d)(st|nd|rd|th)\\b', '\\1'), ['%Y-%m-%d', '%d %b %Y', '%d %B %Y', '%b %d, %Y', '%B %d, %Y', '%b %d %Y', '%B %d %Y'])::DATE END) AS days FROM k)
+SELECT doc_id, CASE WHEN len(days) > 0 AND len(list_distinct(days)) = 1 AND len(list_filter(days, lambda z: z IS NULL)) = 0 THEN days[1] END AS closes FROM v"""
+
+
+@register(LABELLED_SQL)
+def labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    n, first = k % 28 + 1, F.split_part("text", F.lit("\n"), F.lit(1))
+    line = (
+        F.when(k % 7 == 0, F.concat(F.lit("Registration closes: "), n, F.lit("th March 2026!")))
+        .when(k % 7 == 1, F.concat(F.lit("Apply by 2026-03-"), F.lpad(n.cast("string"), 2, "0"), F.lit(", so registration ends "), n, F.lit(" mar 2026")))
+        .when(k % 7 == 2, F.concat(F.lit("Apply by "), n, F.lit(" March 2026. Last date to register: April "), n, F.lit(", 2026")))
+        .when(k % 7 == 3, F.concat(F.lit("Registration deadline - "), n, F.lit(" March 2026 to 30 March 2026")))
+        .when(k % 7 == 4, "Registration ends soon")
+        .when(k % 7 == 5, F.concat(F.lit("It is on "), n, F.lit(" March 2026")))
+        .otherwise(F.concat(F.lit("LAST DATE TO REGISTER — march "), n, F.lit(" 2026<br>")))
+    )
+    whole = F.concat(first, F.lit("\n"), line, F.substr("text", F.length(first) + 1))
+    return table(spark, sf_dir, "documents").select("doc_id", dates.labelled_registration_date(whole).alias("closes"))
