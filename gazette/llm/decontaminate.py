@@ -55,7 +55,8 @@ NUMBER_UNIT = re.compile(r"[+-]?\d+(?:[.,]\d+)*([a-z]+)")
 SENTENCE_END = (".", "!", "?", ":", ";", ".\"", ".'", ".)", "?\"", "!\"")
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 
-_SLOT = {k: xxhash.xxh3_64_intdigest(f"<{k}>") for k in (NUM, UNIT, NAME)}
+#: Hash of a slot by its kind.
+_SLOT = np.array([0, *(xxhash.xxh3_64_intdigest(f"<{k}>") for k in (NUM, UNIT, NAME))], np.uint64)
 
 
 def _read(word: str) -> tuple[int, int, int, int]:
@@ -112,25 +113,28 @@ _words = _Words()
 
 
 class Form(NamedTuple):
-    """One reading of a text. In a template a run of name words is one token, with the run's first word
-    and the word after its last in begins and ends."""
+    """One reading of a text. In a template a run of name words is one token; begins then has the first word
+    of each token, and at last the number of words. Without such runs it is None: tokens are words."""
 
     templ: bool
     hashes: np.ndarray
     kinds: np.ndarray
     values: np.ndarray
-    begins: np.ndarray
-    ends: np.ndarray
+    begins: np.ndarray | None = None
 
+    def place(self, at: int, n: int) -> tuple[int, int]:
+        """The words from which and before which the window of n tokens stands."""
+        return (at, at + n) if self.begins is None else (int(self.begins[at]), int(self.begins[at + n]))
 
-def _folded(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, runs: np.ndarray) -> Form:
+
+def _folded(form: Form, runs: np.ndarray) -> Form:
     """runs: which words go on with the name before."""
     begins = np.flatnonzero(~runs)
-    ends = np.append(begins[1:], len(kinds))
-    own = values[begins].copy()
+    ends = np.append(begins[1:], len(runs))
+    own = form.values[begins].copy()
     for k in np.flatnonzero(ends - begins > 1).tolist():
-        own[k] = xxhash.xxh3_64_intdigest(values[begins[k] : ends[k]].tobytes())
-    return Form(True, hashes[begins], kinds[begins], own, begins, ends)
+        own[k] = xxhash.xxh3_64_intdigest(form.values[begins[k] : ends[k]].tobytes())
+    return Form(True, form.hashes[begins], form.kinds[begins], own, np.append(begins, len(runs)))
 
 
 def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
@@ -140,23 +144,23 @@ def _canonical(text: str | None) -> tuple[np.ndarray, list[Form]]:
     if not words:
         return np.empty(0, np.uint64), []
     literal, marks = _words.columns(words)
-    plain, inside, ends = marks & 3, marks >> 2 & 3, marks >> 4
-    first = np.concatenate([[1], ends[:-1]]).astype(bool)
-    keep = literal != 0
-    every, opens = literal[keep], first[keep]
-    at = np.arange(len(every))
-    forms = [Form(False, every, plain[keep], every, at, at + 1)]
-    for kind in (np.where(first, plain, inside), inside):
-        template, kind = every.copy(), kind[keep]
-        for k, h in _SLOT.items():
-            template[kind == k] = h
-        named = kind == NAME
-        runs = np.concatenate([[False], named[1:] & named[:-1]]) & ~opens  # a name ends with its sentence
-        if runs.any():
-            forms.append(_folded(template, kind, every, runs))
-        else:
-            forms.append(Form(True, template, kind, every, at, at + 1))
-    return every, forms
+    first = np.empty(len(marks), bool)
+    first[0] = True
+    np.not_equal(marks[:-1] & 16, 0, out=first[1:])
+    keep = np.flatnonzero(literal)
+    literal, marks, first = literal[keep], marks[keep], first[keep]
+    plain, inside = marks & 3, marks >> 2 & 3
+    kinds = (np.where(first, plain, inside), inside)
+    forms = [Form(False, literal, plain, literal), *(Form(True, np.where(k == LITERAL, literal, _SLOT[k]), k, literal) for k in kinds)]
+    named = inside == NAME
+    follows = named[1:] & named[:-1] & ~first[1:]  # a name ends with its sentence
+    if follows.any():
+        for n in (1, 2):
+            named = forms[n].kinds == NAME
+            runs = np.concatenate([[False], named[1:] & named[:-1] & follows])
+            if runs.any():
+                forms[n] = _folded(forms[n], runs)
+    return literal, forms
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
@@ -178,16 +182,15 @@ def _slots(form: Form, at: int, n: int) -> np.ndarray:
     return form.values[at : at + n][form.kinds[at : at + n] != LITERAL].view(np.int64)
 
 
-def _form_windows(forms: list[Form], size: int) -> list[tuple[Form, np.ndarray, np.ndarray]]:
-    """Each form that has size tokens with the hashes of its windows, and which of these differ from the
-    form before. Forms of one length are hashed together."""
+def _form_windows(forms: list[Form], size: int) -> list[tuple[list[Form], np.ndarray, np.ndarray]]:
+    """The forms of each length that have size tokens, and a row a form: the hashes of its windows, and which
+    of these differ from the form before."""
     found = []
     for n in dict.fromkeys(len(f.hashes) for f in forms):
         if n >= size:
             alike = [f for f in forms if len(f.hashes) == n]
             w = _windows(np.stack([f.hashes for f in alike]), size)
-            fresh = np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])
-            found += zip(alike, w, fresh, strict=True)
+            found.append((alike, w, np.concatenate([np.ones((1, w.shape[1]), bool), w[1:] != w[:-1]])))
     return found
 
 
@@ -201,13 +204,14 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
         for item, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             literal, forms = _canonical(text)
             n = min(size, len(literal))
-            for form, hashes, fresh in _form_windows(forms, n) if n else ():
-                for at in np.flatnonzero(fresh).tolist():
+            for alike, hashes, fresh in _form_windows(forms, n) if n else ():
+                for k, at in np.argwhere(fresh).tolist():
+                    form = alike[k]
                     own = _slots(form, at, n) if form.templ else np.empty(0, np.int64)
                     if form.templ and (not len(own) or len(own) == n):
                         continue  # the same as the literal window, or slots only, which say nothing
-                    pos = int(form.begins[at])
-                    for c, v in zip(out, (item, len(literal), pos, int(form.ends[at + n - 1]) - pos, int(hashes[at]), form.templ), strict=True):
+                    pos, end = form.place(at, n)
+                    for c, v in zip(out, (item, len(literal), pos, end - pos, int(hashes[k, at]), form.templ), strict=True):
                         c.append(v)
                     slots.append(own)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
@@ -227,15 +231,16 @@ def _doc_hits(docs: DataFrame, held: np.ndarray, sizes: list[int]) -> DataFrame:
         for row, text in enumerate(b.column("text").to_pylist()):
             literal, forms = _canonical(text)
             for size in sizes:
-                for form, w, fresh in _form_windows(forms, size):
-                    for k in np.flatnonzero(in_bitmap(held, w) & fresh).tolist():
+                for alike, w, fresh in _form_windows(forms, size):
+                    for f, k in np.argwhere(in_bitmap(held, w) & fresh).tolist():
+                        form = alike[f]
                         own = _slots(form, k, size) if form.templ else np.empty(0, np.int64)
                         if form.templ and not len(own):
                             continue
-                        pos, end = int(form.begins[k]), int(form.ends[k + size - 1])
+                        pos, end = form.place(k, size)
                         rows.append(row)
                         at.append(pos)
-                        hs.append(int(w[k]))
+                        hs.append(int(w[f, k]))
                         ts.append(form.templ)
                         slots.append(own)
                         near.append(literal[max(0, pos - beside) : end + beside].view(np.int64))
