@@ -59,6 +59,30 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((words[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+def cleared(rows: DataFrame, keys: DataFrame, on: list[str], least_bits: int = 1 << 20, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+    """rows that are not in keys for certain, and those that may be. A one-hash Bloom filter of keys is joined to
+    the rows as a broadcast table of its words: at most most_bits / 64 = 2 million rows of two numbers, whatever
+    the keys. So wide rows are shuffled to meet the keys only where it is likely that they do."""
+    bits = least_bits
+    wanted = 16 * keys.count()
+    while bits < wanted and bits < most_bits:
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(*on), F.lit(bits))
+    one = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (place() % 64).cast("int"))
+    words = keys.select(F.floor(place() / 64).cast("long").alias("_w"), one().alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    met = rows.withColumn("_w", F.floor(place() / 64).cast("long")).join(F.broadcast(materialize(words, "words")), "_w", "left")
+    maybe = F.coalesce(F.col("_m").bitwiseAND(one()) != 0, F.lit(False))
+    return met.filter(~maybe).select(*rows.columns), met.filter(maybe).select(*rows.columns)
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows that are not in keys; nulls are equal."""
+    sure, open_ = cleared(rows, keys, on)
+    named = keys.select(*[F.col(c).alias(f"_{c}") for c in on])
+    same = [open_[c].eqNullSafe(named[f"_{c}"]) for c in on]
+    return sure.unionByName(open_.join(named, same, "left_anti"))
+
+
 #: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise, and rows
 #: taken from it at a time. Long texts then come a few at a time and a worker's memory is bounded.
 BATCH_BYTES = "8m"

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import bitmap, in_bitmap, lists, mapped, materialize
+from gazette.llm.common import bitmap, in_bitmap, lists, mapped, materialize, without
 
 SIZE = 5
 SHARE = 80
@@ -362,6 +362,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """docs without the rows into whose text an item leaks; other texts under the same id stay."""
     found = materialize(leaking_texts(docs, items, id_col=id_col, text_col=text_col).select("doc_id", "text_hash").distinct(), "leaking")
     # whole rows go into one column, so that no name of theirs clashes
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.struct(*docs.columns).alias("whole_row"))
-    same = keyed["id"].eqNullSafe(found["doc_id"]) & (keyed["hash"] == found["text_hash"])
-    return keyed.join(found, same, "left_anti").select("whole_row.*")
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.struct(*docs.columns).alias("whole_row"))
+    return without(keyed, found, ["doc_id", "text_hash"]).select("whole_row.*")

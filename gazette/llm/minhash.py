@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import bitmap, in_bitmap, lists, mapped, materialize
+from gazette.llm.common import bitmap, cleared, in_bitmap, lists, mapped, materialize, without
 from gazette.llm.graph import components
 
 K = 64
@@ -281,8 +281,9 @@ def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     repeated = materialize(placed.filter(stays & (F.col("rows") > 1)).select("doc_id", "t"), "repeated")
     # whole rows go into one column, so that no name of theirs clashes
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.struct(*docs.columns).alias("whole_row"))
-    left = keyed.join(gone, ["doc_id", "t"], "left_anti")
+    left = without(keyed, gone, ["doc_id", "t"])
     if not repeated.isEmpty():
-        once = left.join(repeated, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
-        left = left.join(repeated, ["doc_id", "t"], "left_anti").unionByName(once)
+        single, open_ = cleared(left, repeated, ["doc_id", "t"])
+        once = open_.join(repeated, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+        left = single.unionByName(open_.join(repeated, ["doc_id", "t"], "left_anti")).unionByName(once)
     return left.select("whole_row.*")

@@ -320,3 +320,17 @@ def test_toxicity_odd_rows(spark, odd_docs):
     texts = spark.createDataFrame([(1, "good day"), (1, "grim day"), (4, "grim"), (3, "fine day")], "doc_id long, text string")
     both = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
     assert toxicity.score(texts, both).count() == 4
+
+def test_rows_without_keys_equal_an_anti_join(spark):
+    from gazette.llm.common import without
+
+    rng = random.Random(1)
+    rows = [(rng.choice((None, *range(200))), rng.randint(0, 9), f"text {k}") for k in range(3000)]
+    keys = list({(a, b) for a, b, _ in rows[:300]} | {(None, 3), (9999, 1)})
+    for least in (1 << 20, 64):  # a filter that is full lets everything through to the join
+        import gazette.llm.common as common
+
+        sure, open_ = common.cleared(spark.createDataFrame(rows, "a long, b long, text string"), spark.createDataFrame(keys, "a long, b long"), ["a", "b"], least, max(least, 64))
+        assert sure.count() + open_.count() == 3000
+    got = without(spark.createDataFrame(rows, "a long, b long, text string"), spark.createDataFrame(keys, "a long, b long"), ["a", "b"])
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[:2] not in set(keys))
