@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gazette.functions.dates import registration_state
@@ -119,7 +119,9 @@ class CatalogQuery:
 
     def results(self, rows: DataFrame) -> DataFrame:
         """The page: filter, tab, order, offset and limit (one TakeOrderedAndProject)."""
-        rows = self.matches(rows)
+        return self._paged(self.matches(rows))
+
+    def _paged(self, rows: DataFrame) -> DataFrame:
         if self.geo:
             rows = rows.withColumn("distance_km", distance_km(F.col("lat"), F.col("lng"), self.lat, self.lng))
         if self.tab in PAST_TABS:
@@ -128,6 +130,16 @@ class CatalogQuery:
             rows = rows.filter("not past")
         return rows.orderBy(*self.order()).offset((self.page - 1) * self.limit).limit(self.limit)
 
+    def page_with_totals(self, rows: DataFrame) -> DataFrame:
+        """The page, with upcoming and missed of all that match, whatever the tab, in each of its rows. One
+        scan: the totals are observed on the way to the page, which has up to limit rows. Without rows, none."""
+        seen = Observation()
+        found = self.matches(rows).observe(seen, F.count_if(~F.col("past")).alias("upcoming"), F.count_if("past").alias("missed"))
+        page = self._paged(found).collect()
+        totals = seen.get
+        shown = rows.sparkSession.createDataFrame(page, self._paged(rows).schema)
+        return shown.select("*", *[F.lit(totals[c]).cast("bigint").alias(c) for c in ("upcoming", "missed")])
+
     def totals(self, rows: DataFrame) -> DataFrame:
         """Upcoming and missed, in one pass."""
         return self.matches(rows).agg(F.count_if(~F.col("past")).alias("upcoming"), F.count_if("past").alias("missed"))
