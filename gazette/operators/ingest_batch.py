@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions.text import canonical_url, clean, public_url_ok
+from gazette.functions.unicode import folded
 from gazette.operators import coalesce, identity, ingest
 from gazette.session import held
 from gazette.sources import generations
@@ -31,6 +32,8 @@ OBSERVATION = "source string, source_event_id string, link string, title string,
 STORED = f"event_id string, source string, source_event_id string, link string, title string, organizer string, format string, location string, day date, registration_day date, prize string, registrations bigint, url_aliases array<string>, records array<{ingest.RECORD}>, conflicting_fields array<string>, authority int, last_seen_at timestamp, archive_reason string, revision bigint, verification_stale boolean, review string"
 LEDGER = "observation string, event_id string, observed_at timestamp, outcome string, reasons array<string>, ignored_reason string, changes map<string,struct<before:string,after:string>>"
 EVENTS, LOG = "events", "ledger"
+#: Compared in their Unicode forms.
+NAMES = ["title", "organizer", "location"]
 
 
 def observation_id(rows: DataFrame) -> Column:
@@ -50,11 +53,12 @@ def _source_ids(source: str, own: str) -> Column:
 
 
 def _incoming_profiles(rows: DataFrame) -> DataFrame:
+    rows = folded(rows, NAMES)
     return identity.profiles(rows.select(F.col("observation").alias("id"), "title", "organizer", "day", "registration_day", "format", "location", F.array("link").alias("urls"), _source_ids("source", "source_event_id").alias("source_ids"), _edition().alias("edition")))
 
 
 def _stored_profiles(stored: DataFrame) -> DataFrame:
-    none = F.array().cast("array<string>")
+    none, stored = F.array().cast("array<string>"), folded(stored, NAMES)
     urls = F.array_distinct(F.filter(F.concat(F.array("link"), F.coalesce("url_aliases", none), F.transform("records", lambda r: r["url"])), lambda u: u.isNotNull()))
     of_records = F.transform(F.filter("records", lambda r: r["platform"].isNotNull() & r["external_id"].isNotNull()), lambda r: F.concat_ws("|", F.lower(r["platform"]), r["external_id"]))
     ids = F.array_distinct(F.concat(F.coalesce(_source_ids("source", "source_event_id"), none), of_records))
@@ -93,7 +97,7 @@ def _new_events(rows: DataFrame) -> DataFrame:
     """observation, event_id, outcome and reasons of observations that match nothing stored: NEW for those that
     become events, MATCH for those that join one of them, HELD where one shares an exact key but cannot."""
     arrival = F.concat_ws("|", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "observation")
-    keyed = held(rows.withColumn("arrival", arrival), "arrivals")
+    keyed = held(folded(rows.withColumn("arrival", arrival), NAMES), "arrivals")
     as_rows = lambda df: df.select(F.col("arrival").alias("id"), "title", "organizer", "day", "registration_day", "format", "location", F.array("link").alias("urls"), _source_ids("source", "source_event_id").alias("source_ids"), _edition().alias("edition"))
     groups = held(coalesce.groups(as_rows(keyed)), "new-groups")
     keys = identity.blocks(identity.profiles(as_rows(keyed)))

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.functions import text, unicode
 from gazette.operators import coalesce, ingest_batch as batches
-from gazette.plans.queries import register
+from gazette.plans.queries import _form_sql, _tokens_sql, register
 from gazette.session import shared_dir, table
 
 #: Orders as listings: those of a customer are one organizer's, on one day. Kinds by key: 0 and 4 share the
@@ -95,3 +96,12 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = batches.ledger(spark, root).groupBy("event_id").agg(said.alias("log"))
     shown = batches.events(spark, root).join(log, "event_id")
     return shown.select("link", "prize", F.array_join("conflicting_fields", ",").alias("conflicts"), F.size("url_aliases").alias("n_aliases"), "revision", "log")
+
+
+@register(f"SELECT p_partkey, {_form_sql(chr(39) + 'hack strasse ' + chr(39) + ' || p_name || ' + chr(39) + ' final 1 ' + chr(39) + ' || p_partkey')} AS form, array_to_string({_tokens_sql(_form_sql(chr(39) + 'hack strasse ' + chr(39) + ' || p_name || ' + chr(39) + ' final 1' + chr(39)))}, ',') AS tokens FROM part")
+def unicode_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in full-width letters, with a sharp s, a ligature and a ringed number compare as plain ones."""
+    name = F.col("p_name")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ＨＡＣＫ Straße "), name, F.lit(" ﬁnal ① "), F.col("p_partkey")).alias("whole"), F.concat(F.lit("ＨＡＣＫ STRAẞE "), name, F.lit(" ﬁnal ①")).alias("short"))
+    x = unicode.folded(rows, ["whole", "short"])
+    return x.select("p_partkey", text.identity_form(F.col("whole")).alias("form"), F.array_join(text.title_tokens(text.identity_form(F.col("short"))), ",").alias("tokens"))

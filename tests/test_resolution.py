@@ -155,3 +155,23 @@ def test_odd_listings_and_limits(spark):
     got = {r["id"]: (r["head"], r["reason"]) for r in coalesce.groups(listings, most=50).collect()}
     assert all(got[f"{k:03d}"] == (f"{k:03d}", "component_limit_exceeded") for k in range(300))
     assert coalesce.groups(listings.filter("false")).isEmpty()
+
+
+def test_unicode_forms_of_all_scripts(spark):
+    import unicodedata
+
+    from gazette.functions import unicode
+
+    words = ["".join(chr(c) for c in range(start, start + 40) if chr(c).isprintable() and not 0xD800 <= c < 0xE000) for start in range(0x20, 0x1FB00, 40)]
+    rows = [(k, w, w[::-1] or None) for k, w in enumerate(w for w in words if w)] + [(10**6, "Plain ASCII", None)]
+    got = {r["k"]: (r["a"], r["b"]) for r in unicode.folded(spark.createDataFrame(rows, "k int, a string, b string"), ["a", "b"]).collect()}
+    form = lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x).casefold()
+    assert got == {k: (form(a), form(b)) for k, a, b in rows}
+
+
+def test_hosts_in_ascii(spark):
+    from gazette.functions import unicode
+
+    want = {"https://bücher.example/ä?q=ü": "https://xn--bcher-kva.example/ä?q=ü", "https://plain.example": "https://plain.example", "http://..ü/": None, "no url": "no url", None: None}
+    got = dict(unicode.with_ascii_hosts(spark.createDataFrame([(u, u) for u in want], "t string, u string"), "u").select("t", "u").collect())
+    assert got == want
