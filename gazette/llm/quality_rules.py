@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import SPACE, SPACE_CLASS, bind, text_of
+from gazette.llm.common import SPACE, SPACE_CLASS, bind, materialize, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -134,6 +134,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     return measurements(docs, id_col, text_col, keep).withColumn("failed_bits", rule_bits())
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations then read bits and never a text."""
+    return materialize(rows, "ledger")
+
+
 def apply_policy(rows: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """Adds base_failed and kept; kept is false whenever the base rules fail."""
     hit = lambda mask: F.col("failed_bits").bitwiseAND(F.lit(mask).cast("long")) != 0

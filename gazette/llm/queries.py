@@ -51,6 +51,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule: how many documents fail it, and how many it alone rejects, from the stored ledger's bits."""
+    return quality_rules.ablations(quality_rules.stored(quality_rules.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_fill_middle": op11_fill_middle,
@@ -190,3 +196,8 @@ SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, fa AS fingerprint, fb AS edi
        len(list_distinct(ch))::BIGINT AS n_changed, (list_position(pd, ch[1]) - 1)::BIGINT AS first_changed FROM z
 """,
 }
+
+#: The bits of the rules in their order, over the masks of the documents.
+ORACLES["quality_rule_ablations"] = f"""WITH q AS ({ORACLES["op8_quality_rules"]}),
+r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbol_heavy', 4), ('mean_word_length', 8), ('duplicate_lines', 16), ('mostly_upper_case', 32), ('few_letters', 64))
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only_this_rule FROM q, r GROUP BY rule"""

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
-@pytest.mark.parametrize("name", ["op8_quality_rules", "op10_url_filter", "op6_minhash", "op11_fill_middle", "op12_resampling", "op13_fingerprints"])
+@pytest.mark.parametrize("name", ["op8_quality_rules", "op10_url_filter", "op6_minhash", "op11_fill_middle", "op12_resampling", "op13_fingerprints", "quality_rule_ablations"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
