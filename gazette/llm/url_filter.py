@@ -18,8 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 64-bit blocks of the filter and bits set in a block by each key. 4,096 blocks are 32 KB.
-BLOCKS = 4096
+#: Keys for each 64-bit block of the filter, the bounds of the number of blocks (32 KB to 512 KB: it is a constant
+#: of the plan), and the bits set in a block by each key. A fuller filter lets more through to the exact join.
+BLOCK_KEYS = 4
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 12, 1 << 16
 BITS = 4
 #: A list up to this many rows is broadcast in the exact join; a longer one is shuffled.
 BROADCAST_ROWS = 50_000
@@ -41,16 +43,21 @@ def _mask(h: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in range(BITS)])
 
 
-def _block(h: Column) -> Column:
-    return F.pmod(h, F.lit(BLOCKS)).cast("int")
+def _block(h: Column, blocks: int) -> Column:
+    return F.pmod(h, F.lit(blocks)).cast("int")
 
 
-def bloom(rules: DataFrame) -> Column:
-    """The filter as a constant array of BLOCKS words. Built by an aggregation on the executors; at
-    most BLOCKS rows come back, whatever the length of the list."""
+def blocks_for(n: int) -> int:
+    """Blocks of the filter of a list of n rows: a power of two."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (n // BLOCK_KEYS).bit_length()))
+
+
+def bloom(rules: DataFrame, blocks: int) -> Column:
+    """The filter as a constant array of words. Built by an aggregation on the executors; at most blocks
+    rows come back, whatever the length of the list."""
     h = _hash(F.col("host"), F.col("path"))
-    rows = rules.select(_block(h).alias("b"), _mask(h).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect()
-    words = [0] * BLOCKS
+    rows = rules.select(_block(h, blocks).alias("b"), _mask(h).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect()
+    words = [0] * blocks
     for r in rows:
         words[r["b"]] = r["m"]
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
@@ -60,7 +67,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """id, host, path, rule and verdict for every row of pages. rules: RULE_SCHEMA."""
     rules = rules.filter("host is not null and host <> '' and path is not null").select("host", "path", F.coalesce("verdict", F.lit("block")).alias("verdict"))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    filter_words = bloom(rules)
+    n_rules = rules.count()
+    blocks = blocks_for(n_rules)
+    filter_words = bloom(rules, blocks)
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
 
@@ -74,16 +83,19 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     def possible(c: Column) -> Column:
         h = _hash(c["h"], c["p"])
-        return (c["h"] != "") & (F.get(filter_words, _block(h)).bitwiseAND(_mask(h)) == _mask(h))
+        return (c["h"] != "") & (F.get(filter_words, _block(h, blocks)).bitwiseAND(_mask(h)) == _mask(h))
 
     labels = F.split(F.col("host"), "\\.")
     hits = F.filter(F.transform(F.array(labels), keys)[0], possible)
-    probes = rows.select("row", "id", "host", "path", F.explode_outer(hits).alias("c")).select("*", F.col("c.h").alias("h"), F.col("c.p").alias("p"))
+    probes = rows.select("row", "id", "host", "path", F.explode(hits).alias("c")).select("*", F.col("c.h").alias("h"), F.col("c.p").alias("p"))
+    # what the filter clears, nearly all rows, is neither joined nor grouped
+    clear = rows.filter(F.size(hits) == 0).select("id", "host", "path", F.lit(None).cast("bigint").alias("order"))
     order = (F.length("host") + F.length("path")).cast("long") * (1 << 21) + F.length("host") * 2 + F.when(F.col("verdict") == "block", 1).otherwise(0)
     listed = rules.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(order).alias("order"))
-    if rules.count() <= BROADCAST_ROWS:
+    if n_rules <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
     best = probes.join(listed, ["h", "p"], "left").groupBy("row", "id", "host", "path").agg(F.max("order").alias("order"))
+    best = best.drop("row").unionByName(clear)
     found = F.col("order").isNotNull()
     return best.select(
         F.col("id").alias(id_col),
