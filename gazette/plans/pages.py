@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.operators import places
 from gazette.operators.catalog import CatalogQuery
 from gazette.plans.queries import PUBLISHED_SQL, published, register
-from gazette.session import table
-from gazette.sources import structured
+from gazette.session import shared_dir, table
+from gazette.sources import backup, structured
 
 TITLE_SQL = "trim(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 
@@ -64,3 +66,16 @@ def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page and the totals of its tabs, out of one scan."""
     return CatalogQuery(page=2, limit=25, source="Machinery", tab="upcoming", sort="newest").page_with_totals(published(spark, sf_dir)).select("id", "upcoming", "missed")
+
+
+#: All of the driver's tables.
+BACKED_UP = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register(" UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}')::INT AS n_columns" for t in BACKED_UP))
+def backup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables, backed up, restored and read from what was restored; every count and digest has been checked twice."""
+    root = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    backup.dump({name: table(spark, sf_dir, name) for name in BACKED_UP}, f"{root}/kept")
+    backup.restore(spark, f"{root}/kept", f"{root}/restored")
+    return backup.summary(spark, f"{root}/restored")

@@ -105,3 +105,30 @@ def test_labelled_dates(spark):
     }
     rows = spark.createDataFrame([(t,) for t in [*want, None]], "t string").select("t", dates.labelled_registration_date(F.col("t")).cast("string").alias("d"))
     assert dict(rows.collect()) == {**want, None: None}
+
+
+def test_backups_are_restored_whole_or_refused(spark, tmp_path):
+    import glob
+
+    from gazette.sources import backup
+
+    root = f"file://{tmp_path}"
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("nation", "documents", "embeddings")} | {"none": spark.range(0)}
+    made = backup.dump(tables, f"{root}/b")
+    assert made["nation"]["n"] == 25 and made["none"]["n"] == 0
+    with pytest.raises(FileExistsError):
+        backup.restore(spark, f"{root}/b", f"{root}/b")
+    restored = backup.restore(spark, f"{root}/b", f"{root}/r")
+    assert {n: (m["n"], m["xor"]) for n, m in restored.items()} == {n: (m["n"], m["xor"]) for n, m in made.items()}
+    assert sorted(map(tuple, backup.checked(spark, f"{root}/r")["nation"].collect())) == sorted(map(tuple, tables["nation"].collect()))
+    part = glob.glob(f"{tmp_path}/b/documents/part-*.parquet")[0]
+    data = bytearray(open(part, "rb").read())
+    data[len(data) // 2] ^= 1
+    open(part, "wb").write(data)
+    for crc in glob.glob(f"{tmp_path}/b/documents/.part-*.crc"):
+        open(crc, "ab").close()
+    with pytest.raises(backup.BackupDamaged, match="documents"):
+        backup.restore(spark, f"{root}/b", f"{root}/r2")
+    assert not glob.glob(f"{tmp_path}/r2/*")
+    with pytest.raises(backup.BackupDamaged):
+        backup.checked(spark, f"{root}/nowhere")
