@@ -11,7 +11,8 @@ secret (value after a cue word, = or :, in quotes or bare, and access key ids),
 
 Cases: a null or empty text has no spans; positions are code points, end exclusive; a null doc_id
 passes through; repeated rows give repeated rows; an empty table gives an empty result. Texts of
-any length are searched whole, in one linear pass.
+any length are searched whole, in one linear pass. Detection reads the id and text columns only;
+redaction replaces the text column and keeps the others, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ labellers' log-odds, the latter with what the votes alone say.
 
 Cases: null and empty texts have no words: every labeller but the length one abstains, they score
 as their votes do, and are not kept; a null doc_id passes through; repeated rows get equal rows; an
-empty table gives an empty result. Only the id and text columns are read.
+empty table gives an empty result. Very long texts are scored whole; those in the sample come to the
+driver whole, so SAMPLE has to fit the longest. Only the id and text columns are read, so extra columns
+of any name do no harm.
 """
 
 from __future__ import annotations
