@@ -160,3 +160,38 @@ def verified(rows: DataFrame, as_of: dt.date, known_links: DataFrame | None = No
     verdict = F.when(c("_copy") | (c("_p") < 3500), "reject").when(c("_p") < 5500, "review").otherwise("accept")
     confidence = F.when(c("_copy"), 0.0).otherwise(F.round(c("_p") / 10000, 3))
     return out.withColumns({"issues": issues, "recommendation": verdict, "confidence": confidence}).drop("_p", "_copy")
+
+
+def exact_count(*texts: str) -> Column:
+    """The first of the columns that is a whole number from 1 to 100 million ("12", "12.0"); else null."""
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    whole = lambda n: F.when((n > 0) & (n <= 100_000_000) & (n == F.floor(n)), n.cast("bigint"))
+    return F.coalesce(*[whole(number(c)) for c in texts])
+
+
+def short_number(n: Column) -> Column:
+    """12,400 as 12.4k; less than a thousand as it is."""
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", F.floor(n / 100) / 10), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """One row over classified rows (active boolean, total_registrations, registrations): how many are of a top college or
+    internships, of all and of the active ones, the kinds of college among the active ones, and exact registrations."""
+    top, intern, active = F.col("is_top_college"), F.col("is_internship"), F.col("active")
+    registered = F.sum(F.coalesce(exact_count("total_registrations", "registrations"), F.lit(0)))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(top).alias("n_top"),
+        F.count_if(intern).alias("n_internships"),
+        F.count_if(top | intern).alias("n_kept"),
+        F.count_if(top & active).alias("active_top"),
+        F.count_if(intern & active).alias("active_internships"),
+        F.sort_array(F.collect_set(F.when(top & active, F.col("college_type")))).alias("college_types"),  # at most a kind each
+        registered.alias("registered"),
+    ).withColumn("registered_short", short_number(F.col("registered")))
+
+
+def notification_backlog(rows: DataFrame, most: int = 100) -> DataFrame:
+    """Published rows of a top college or internships that nobody has been told of, those that were looked at longest ago first."""
+    due = ~F.coalesce("notified", F.lit(False)) & (F.coalesce("publication_state", F.lit("published")) == "published") & (F.col("is_top_college") | F.col("is_internship"))
+    return rows.filter(due).orderBy(F.col("checked_at").asc_nulls_first(), "id").limit(most)

@@ -82,6 +82,27 @@ concat_ws(',', CASE WHEN title_quality < 30 THEN 'title' END, CASE WHEN domain_t
 _INTS = ("title_quality", "domain_trust", "content_relevance", "date_validity", "spam_check", "source_trust", "url_liveness")
 
 
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    rows = classify.classified(submissions(spark, sf_dir))
+    total = F.when(k % 4 == 0, "12").when(k % 4 == 1, "3.0").when(k % 4 == 2, "2.5")
+    return rows.withColumns({"active": k % 3 > 0, "total_registrations": total, "registrations": F.when(k % 2 == 0, 7), "notified": F.when(k % 5 == 0, True), "publication_state": F.when(k % 7 == 0, "pending"), "checked_at": F.when(k % 2 == 0, F.timestamp_seconds(k % 1000))})
+
+
+FOLLOWED_SQL = f"""WITH {SUBMISSIONS_SQL}, s AS (SELECT *, title || ' ' || descr AS whole FROM submissions), c AS (SELECT *, {KIND_SQL} AS kind, regexp_matches(whole, '{classify.INTERNSHIP}') AS intern, id % 3 > 0 AS active, CASE id % 4 WHEN 0 THEN 12 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 0 END AS reg FROM s)"""
+
+
+@register(f"""{FOLLOWED_SQL} SELECT count(*) AS n, count(*) FILTER (kind IS NOT NULL) AS n_top, count(*) FILTER (intern) AS n_internships, count(*) FILTER (intern OR kind IS NOT NULL) AS n_kept, count(*) FILTER (active AND kind IS NOT NULL) AS active_top, count(*) FILTER (active AND intern) AS active_internships,
+(SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM c WHERE active) AS college_types, sum(reg)::BIGINT AS registered, CASE WHEN sum(reg) >= 1000 THEN printf('%.1fk', floor(sum(reg) / 100) / 10) ELSE sum(reg)::VARCHAR END AS registered_short FROM c""")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.class_counts(_followed(spark, sf_dir)).withColumn("college_types", F.array_join("college_types", ","))
+
+
+@register(f"{FOLLOWED_SQL} SELECT id FROM c WHERE id % 5 > 0 AND id % 7 > 0 AND (intern OR kind IS NOT NULL) ORDER BY CASE WHEN id % 2 = 0 THEN id % 1000 END NULLS FIRST, id LIMIT 100")
+def notification_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.notification_backlog(_followed(spark, sf_dir)).select("id")
+
+
 @register(f"SELECT id, {', '.join(f'{c}::BIGINT AS {c}' for c in _INTS)}, recommendation, issues FROM ({VERIFY_SQL})")
 def verify_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify.verified(submissions(spark, sf_dir), AS_OF)
