@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, measures, text
 from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
-from gazette.plans import intake, queries, services, views  # noqa: F401
+from gazette.plans import intake, pages, queries, resolution, services, views  # noqa: F401
 from gazette.streaming import activity
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
