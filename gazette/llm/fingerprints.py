@@ -155,10 +155,12 @@ def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the next document's, in descending order of ids: doc_id, n_chars, edited, the fingerprints of both,
     likenesses to the edit and to the next document, how many paragraphs the edit changed and the first
     of them. A row without an id has no next document: its edit is cut short and near_next is null."""
-    found = with_next(fingerprints(docs, id_col, text_col), ["text", "fingerprint"])
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"), text.alias("text"))
+    found = with_next(rows, ["text"])  # texts alone are shuffled: fingerprints are worked out behind it
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.coalesce(F.substr(F.col("next.text"), F.lit(1), half), F.lit("")))
-    rows = found.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
+    rows = found.select("doc_id", "n_chars", edited.alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), F.when(F.col("next").isNotNull(), fingerprint(F.col("next.text"))).alias("next_fingerprint"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     mine, other = F.col("fingerprint"), F.col("edited_fingerprint")
     return rows.select(
