@@ -55,7 +55,7 @@ def bitmap(hashes: DataFrame, column: str, least_bits: int = 1 << 20, most_bits:
 
 def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the int64 hashes may be in the filter."""
-    h = np.mod(hashes, np.int64(len(words) * 64)).astype(np.uint64)
+    h = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)  # the remainder: the number of bits is a power of two
     return ((words[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 

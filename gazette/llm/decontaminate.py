@@ -61,6 +61,9 @@ _SLOT = np.array([0, *(xxhash.xxh3_64_intdigest(f"<{k}>") for k in (NUM, UNIT, N
 
 def _read(word: str) -> tuple[int, int, int, int]:
     """literal hash, kind of slot, kind of slot inside a sentence, whether it ends a sentence"""
+    if word.isalpha() and word.islower():  # most words
+        kind = NUM if word in NUMBER_WORDS else UNIT if word in UNITS else LITERAL
+        return (xxhash.xxh3_64_intdigest(word) or 1, kind, kind, 0)
     core, ends = word, 0
     if not word.isalnum():
         core, ends = word.strip(OUTER), int(word.endswith(SENTENCE_END))
