@@ -1,12 +1,14 @@
 """Coalescing, components and ingest against brute force."""
 
+import datetime as dt
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.operators import coalesce
+from gazette.functions import unicode
+from gazette.operators import coalesce, identity
 from gazette.operators.components import components
 
 
@@ -175,3 +177,37 @@ def test_hosts_in_ascii(spark):
     want = {"https://bücher.example/ä?q=ü": "https://xn--bcher-kva.example/ä?q=ü", "https://plain.example": "https://plain.example", "http://..ü/": None, "no url": "no url", None: None}
     got = dict(unicode.with_ascii_hosts(spark.createDataFrame([(u, u) for u in want], "t string, u string"), "u").select("t", "u").collect())
     assert got == want
+
+
+def test_listings_that_an_exact_key_decides_are_not_paired(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name):
+        made[name] = df.localCheckpoint().count()
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(coalesce, "held", counted)
+    day = dt.date(2027, 1, 1)
+    rows = [(f"k{k:02d}", "Relay lot", "Org lot", day, None, "online", None, ["https://h.example/g" if k < 40 else f"https://h.example/{k}"], []) for k in range(50)]
+    found = coalesce.groups(spark.createDataFrame(rows, LISTING)).collect()
+    assert {r["head"] for r in found} == {"k00"} and len(found) == 50
+    assert made["coalesce-pairs"] == sum(range(40, 50))  # before: of all 50
+
+
+def test_pairs_without_a_score_match_alike(spark):
+    rows = [(k, t, o, dt.date(2027, 1, d), None, f, p, [], []) for k, (t, o, d, f, p) in enumerate([
+        ("Relay sprint one", "Org lot", 1, "online", None), ("sprint one relay", "Org lot", 2, "online", None), ("Relay sprints one", "Org lot", 1, "online", None), ("Relay sprint 2031", "Org lot", 1, "online", None),
+        ("Zebra talk", "Org lot", 1, "online", None), ("Relay sprint one", "Org lots", 1, "online", None), ("Relay sprint one", None, 1, "online", None), ("Relay sprint one", "Org lot", 20, "online", None), ("Relay sprint one", "Org lot", 1, "offline", "hall"), ("Relay sprint one", "Org lot", 1, "offline", "hal"), (None, "Org lot", 1, "unknown", None),
+    ])]
+    x = identity.profiles(spark.createDataFrame(rows, LISTING.replace("id string", "id int")))
+    pairs = spark.createDataFrame([(a, b, 1) for a in range(11) for b in range(11) if a != b], "left_id int, right_id int, tier int")
+    show = lambda df: {(r["left_id"], r["right_id"]): (r["outcome"] == "MATCH", r["score"] if r["outcome"] == "MATCH" else None) for r in df.collect()}
+    full = show(identity.compare(pairs, x))
+    assert show(identity.compare(pairs, x, scored=False)) == full and any(m for m, _ in full.values())
+
+
+def test_folding_needs_no_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "ＨＡＣＫ"), (2, "plain"), (3, None), (4, "ＨＡＣＫ")], "k int, a string")
+    got = unicode.folded(rows, ["a"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # before: a distinct and a join
+    assert dict(got.collect()) == {1: "hack", 2: "plain", 3: None, 4: "hack"}
