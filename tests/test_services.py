@@ -125,3 +125,18 @@ def test_small_samples_and_horizon(spark):
 def test_agents_without_a_value(spark):
     row = spark.createDataFrame([(None,)], "a string").select(text.user_agent(F.col("a")).alias("u")).first()["u"]
     assert tuple(row) == ("Unknown", "Unknown", "Unknown")
+
+
+def test_fan_out_makes_each_job_once_in_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(outbox, "SHARE_JOBS", 100)
+    subs = spark.createDataFrame([(k, ("all", "x", "y", "none")[k % 4], k % 5 > 0) for k in range(40)] + [(0, "x", True), (1, "all", True), (1, "x", True)], "subscriber int, preference string, active boolean")
+    kinds = [(k, ("x", "y", "all", None)[k % 4]) for k in range(80)] + [(0, "y"), (0, "y"), (3, "x")]
+    intents = spark.createDataFrame(kinds, "intent int, kind string")
+    want = {(i, s) for i, kind in kinds for s, p, active in subs.collect() if active and p in ("all", kind)}
+    every = outbox.fan_out(intents, subs)
+    assert every.rdd.getNumPartitions() > 8  # before: as few as files of the size make
+    rows = [tuple(r) for r in every.select("intent", "subscriber").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    made = every.filter("intent < 40 and (intent + subscriber) % 3 > 0").localCheckpoint()
+    rest = [tuple(r) for r in outbox.fan_out(intents, subs, made).select("intent", "subscriber").collect()]
+    assert len(rest) == len(set(rest)) and set(rest) == want - {(r["intent"], r["subscriber"]) for r in made.collect()}
