@@ -1,10 +1,11 @@
 """Unicode forms that the JVM has no function for: compatibility forms with folded case, and host names in ASCII.
-They are worked out once for each distinct value that needs them, and joined back; ASCII values never leave the JVM."""
+They are worked out row by row, once for each value of a batch that needs them, so nothing is shuffled or held; ASCII
+values never leave the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,18 +25,13 @@ def ascii_host(value: str) -> str | None:
 
 
 def _replaced(rows: DataFrame, names: list[str], form: Callable[[str], str | None], suffix: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"value": part["value"], "form": part["value"].map(form)})
-
-    every = rows.select(F.explode(F.array(*names)).alias("value")).filter(F.col("value").rlike("[^\\x00-\\x7F]")).distinct()
-    forms = every.mapInPandas(run, "value string, form string")
-    out = rows
-    for n in names:
-        own = forms.select(F.col("value").alias(f"_{n}"), F.col("form").alias(f"_form_{n}"))
-        new = F.when(F.col(f"_{n}").isNotNull(), F.col(f"_form_{n}")).otherwise(F.col(n))
-        out = out.join(own, out[n] == own[f"_{n}"], "left").withColumn(f"{n}{suffix}", new).drop(f"_{n}", f"_form_{n}")
-    return out
+    @F.pandas_udf("string")
+    def formed(values: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}  # of this batch
+        return pd.Series([None if v is None else known[v] if v in known else known.setdefault(v, form(v)) for v in values], dtype=object)
+
+    other = lambda n: F.col(n).rlike("[^\\x00-\\x7F]")
+    return rows.withColumns({f"{n}{suffix}": F.when(other(n), formed(F.when(other(n), F.col(n)))).otherwise(F.col(n)) for n in names})
 
 
 def folded(rows: DataFrame, names: list[str]) -> DataFrame:
