@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import text
 from gazette.operators import canonical, ingest, ledger, outbox
+from gazette.plans import services, views
 
 
 def test_fan_out_is_repaired_and_reconciled(spark):
@@ -140,3 +141,10 @@ def test_fan_out_makes_each_job_once_in_tasks_by_their_number(spark, monkeypatch
     made = every.filter("intent < 40 and (intent + subscriber) % 3 > 0").localCheckpoint()
     rest = [tuple(r) for r in outbox.fan_out(intents, subs, made).select("intent", "subscriber").collect()]
     assert len(rest) == len(set(rest)) and set(rest) == want - {(r["intent"], r["subscriber"]) for r in made.collect()}
+
+
+def test_scans_that_show_no_title_do_not_read_the_lines(spark):
+    shown = services.catalog_visible_scan(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in " ".join(shown.inputFiles())  # before: aggregated and joined for titles that nobody reads
+    assert "lineitem" in " ".join(views.listings(spark, "/root/testdata/sf0.001").inputFiles())
+    assert "closes" not in shown._jdf.queryExecution().optimizedPlan().toString()  # nor work out dates for a hold
