@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, measures, text
 from gazette.operators import catalog, identity, ledger, search
 from gazette.operators.catalog import CatalogQuery
+from gazette import session
 from gazette.plans import intake, pages, queries, resolution, services, views  # noqa: F401
 from gazette.streaming import activity
 
@@ -237,3 +238,10 @@ def test_recipients_of_all_listings(spark):
     got = queries.QUERIES["recipients_all"](spark, SF)
     subs = queries.subscribers(spark, SF).filter("preference = 'all'")
     assert {r["n"] for r in got.join(subs, "subscriber").groupBy("subscriber").agg(F.sum("n").alias("n")).collect()} == {n}
+
+
+def test_rows_are_spread_before_steps_that_make_many_of_one(spark):
+    keyed = queries.part_profiles(spark, "/root/testdata/sf0.1")
+    wide = session.spread(spark.range(100).repartition(1), 10, "id")
+    assert wide.rdd.getNumPartitions() == 10 and wide.count() == 100
+    assert "REPARTITION_BY_NUM" in keyed._jdf.queryExecution().executedPlan().toString()  # before: as few tasks as files
