@@ -26,11 +26,16 @@ def known(value: Column) -> Column:
     return value.isNotNull() & ~value.cast("string").isin(*UNKNOWN_VALUES)
 
 
-def newest(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The newest observation of each event, and the others; new events (null) are all newest."""
+def ranked(incoming: DataFrame) -> DataFrame:
+    """incoming with first: whether it is the newest observation of its event; new events (null) are all newest."""
     order = F.struct("observed_at", "source", "link", F.xxhash64(*incoming.columns))
     last = incoming.filter("event_id is not null").groupBy("event_id").agg(F.max(order).alias("last"))
-    marked = incoming.join(last, "event_id", "left").withColumn("first", F.col("last").isNull() | (order == F.col("last"))).drop("last")
+    return incoming.join(last, "event_id", "left").withColumn("first", F.col("last").isNull() | (order == F.col("last"))).drop("last")
+
+
+def newest(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The newest observation of each event, and the others."""
+    marked = ranked(incoming)
     return marked.filter("first").drop("first"), marked.filter("not first").drop("first")
 
 
@@ -88,9 +93,14 @@ def held(incoming: DataFrame) -> DataFrame:
     return incoming.filter("outcome = 'REVIEW' and event_id is not null").withColumn("ignored_reason", why)
 
 
+def changes(fields: list[str], before: str, after: str) -> Column:
+    """Map of field to before and after of the fields that differ; before and after: what their names begin with."""
+    pair = lambda f: F.struct(F.col(f"{before}{f}").cast("string").alias("before"), F.col(f"{after}{f}").cast("string").alias("after"))
+    every = F.create_map(*[x for f in fields for x in (F.lit(f), pair(f))])
+    return F.map_filter(every, lambda _, v: ~v["before"].eqNullSafe(v["after"]))
+
+
 def ledger_rows(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
     """event_id and changes (map of field to before and after) of events that changed."""
-    pair = lambda f: F.struct(F.col(f"b.{f}").cast("string").alias("before"), F.col(f"a.{f}").cast("string").alias("after"))
     both = before.alias("b").join(after.alias("a"), "event_id")
-    every = F.create_map(*[x for f in fields for x in (F.lit(f), pair(f))])
-    return both.select("event_id", F.map_filter(every, lambda _, v: ~v["before"].eqNullSafe(v["after"])).alias("changes")).filter(F.size("changes") > 0)
+    return both.select("event_id", changes(fields, "b.", "a.").alias("changes")).filter(F.size("changes") > 0)

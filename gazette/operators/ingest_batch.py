@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gazette.functions.text import canonical_url, clean, public_url_ok
 from gazette.functions.unicode import folded
 from gazette.operators import coalesce, identity, ingest
-from gazette.session import held
+from gazette.session import held, spread
 from gazette.sources import generations
 
 FIELDS = ["source", "source_event_id", "link", "title", "organizer", "format", "location", "day", "registration_day", "prize", "registrations"]
@@ -66,22 +66,25 @@ def _stored_profiles(stored: DataFrame) -> DataFrame:
 
 
 def _least_holders(own: DataFrame, keys: DataFrame) -> DataFrame:
-    """id and the least other id that holds an exact key of it: one row a key is joined, however many hold it."""
-    exact = lambda df: df.filter(F.col("tier") == identity.EXACT)
-    least = exact(keys).groupBy("block").agg(F.min("id").alias("least"))
-    return exact(own).join(least, "block").groupBy("id").agg(F.min("least").alias("least"))
+    """id and the least other id that holds an exact key of it: one row a key is joined, however many hold it. own
+    and keys: rows with id, urls, source_ids and edition."""
+    least = identity.exact_blocks(keys).groupBy("block").agg(F.min("id").alias("least"))
+    return identity.exact_blocks(own).join(least, "block").groupBy("id").agg(F.min("least").alias("least"))
 
 
 def resolved(observations: DataFrame, stored: DataFrame) -> DataFrame:
     """observation, event_id (null: a new event), outcome (MATCH, REVIEW, DISTINCT or HELD) and reasons. An
     observation that does not match, but has an exact key in common with a stored event, is HELD at that event."""
+    if stored.isEmpty():
+        return observations.select("observation", F.lit(None).cast("string").alias("event_id"), F.lit("DISTINCT").alias("outcome"), F.array(F.lit("no_candidates")).alias("reasons"))
     mine, theirs = held(_incoming_profiles(observations), "incoming"), held(_stored_profiles(stored), "stored")
     pairs, overflow = identity.candidate_pairs(mine, theirs)
     overflow = held(overflow, "overflow")
     compared = held(identity.compare(pairs, mine, theirs), "compared")
-    found = identity.resolve(mine, compared, overflow)
+    found = held(identity.resolve(mine, compared, overflow), "found")
     tier = pairs.select("left_id", "right_id", "tier")
-    holders = _least_holders(identity.blocks(mine), identity.blocks(theirs)).withColumnRenamed("id", "left_id")
+    unmatched = mine.join(found.filter("outcome <> 'MATCH'").select(F.col("left_id").alias("id")), "id", "left_semi")
+    holders = _least_holders(unmatched, theirs).withColumnRenamed("id", "left_id")
     x = found.join(tier, ["left_id", "right_id"], "left").join(holders, "left_id", "left")
     collides = (F.col("outcome") != "MATCH") & F.col("least").isNotNull()
     at = F.when(F.col("tier") == identity.EXACT, F.col("right_id")).otherwise(F.col("least"))
@@ -97,18 +100,18 @@ def _new_events(rows: DataFrame) -> DataFrame:
     """observation, event_id, outcome and reasons of observations that match nothing stored: NEW for those that
     become events, MATCH for those that join one of them, HELD where one shares an exact key but cannot."""
     arrival = F.concat_ws("|", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "observation")
-    keyed = held(folded(rows.withColumn("arrival", arrival), NAMES), "arrivals")
-    as_rows = lambda df: df.select(F.col("arrival").alias("id"), "title", "organizer", "day", "registration_day", "format", "location", F.array("link").alias("urls"), _source_ids("source", "source_event_id").alias("source_ids"), _edition().alias("edition"))
-    groups = held(coalesce.groups(as_rows(keyed)), "new-groups")
-    keys = identity.blocks(identity.profiles(as_rows(keyed)))
-    holders = _least_holders(keys, keys).filter("least < id")
-    apart = groups.filter("id = head and outcome = 'REVIEW'").join(holders, "id").select("id", "least")
+    keyed = folded(rows.withColumn("id", arrival), NAMES)
+    keyed = held(keyed.select("id", "observation", "title", "organizer", "day", "registration_day", "format", "location", F.array("link").alias("urls"), _source_ids("source", "source_event_id").alias("source_ids"), _edition().alias("edition")), "arrivals")
+    groups = held(coalesce.groups(keyed.drop("observation")), "new-groups")
+    doubtful = groups.filter("id = head and outcome = 'REVIEW'").select("id")
+    apart = _least_holders(keyed.join(doubtful, "id", "left_semi"), keyed).filter("least < id")
     of_least = groups.select(F.col("id").alias("least"), F.col("head").alias("least_head"))
-    x = groups.join(apart, "id", "left").join(of_least, "least", "left")
+    held_at = apart.join(of_least, "least").select("id", "least_head")
+    x = groups.join(held_at, "id", "left")
     own_id = lambda c: F.substring(F.sha2(c, 256), 1, 24)
     head = F.coalesce("least_head", "head")
     outcome = F.when(F.col("least_head").isNotNull(), "HELD").when(F.col("id") == F.col("head"), "NEW").otherwise("MATCH")
-    return x.join(keyed.select(F.col("arrival").alias("id"), "observation"), "id").select("observation", own_id(head).alias("event_id"), outcome.alias("outcome"), F.array("reason").alias("reasons"))
+    return x.join(keyed.select("id", "observation"), "id").select("observation", own_id(head).alias("event_id"), outcome.alias("outcome"), F.array("reason").alias("reasons"))
 
 
 def _record(prefix: str = "") -> Column:
@@ -120,50 +123,52 @@ def applied(stored: DataFrame, taken: DataFrame, observations: DataFrame) -> tup
     """The events after a batch, and the ledger rows that it adds. taken: ids of observations (observation)
     that have been taken in before."""
     link = F.col("link")
-    named = observations.withColumn("observation", observation_id(observations)).dropDuplicates(["observation"])
-    cleaned = named.withColumns({"title": clean(F.col("title")), "link": F.when(public_url_ok(link), canonical_url(link)), "format": F.coalesce("format", F.lit("unknown"))})
-    fresh = held(cleaned.join(taken.select("observation"), "observation", "left_anti"), "fresh")
-    usable = fresh.filter("title is not null and link is not null and observed_at is not null")
-    rejected = fresh.join(usable.select("observation"), "observation", "left_anti")
+    # few tasks read a file of few bytes: rows are dealt before digests are made of them
+    named = spread(observations, 50_000).withColumn("observation", observation_id(observations)).join(taken.select("observation"), "observation", "left_anti").dropDuplicates(["observation"])
+    fresh = held(named.withColumns({"title": clean(F.col("title")), "link": F.when(public_url_ok(link), canonical_url(link)), "format": F.coalesce("format", F.lit("unknown"))}), "fresh")
+    if fresh.isEmpty():
+        return stored, _empty(stored.sparkSession, LEDGER)
+    whole = F.col("title").isNotNull() & F.col("link").isNotNull() & F.col("observed_at").isNotNull()
+    usable, rejected = fresh.filter(whole), fresh.filter(~whole)
     against = held(resolved(usable, stored), "resolved")
     open_ = usable.join(against.filter("event_id is null").select("observation"), "observation", "left_semi")
     new = held(_new_events(open_), "new")
-    review = against.filter("event_id is null").select("observation", F.when(F.col("outcome") == "REVIEW", F.to_json(F.struct("outcome", "reasons"))).alias("review"))
-    decided = held(against.filter("event_id is not null").unionByName(new), "decided")
-    rows = usable.join(decided, "observation")
+    review = against.filter("event_id is null and outcome = 'REVIEW'").select("observation", F.to_json(F.struct("outcome", "reasons")).alias("review"))
+    rows = held(usable.join(against.filter("event_id is not null").unionByName(new), "observation"), "decided")
 
     heads = rows.filter("outcome = 'NEW'").join(review, "observation", "left").select(
         "event_id", *FIELDS, F.array("link").alias("url_aliases"), F.array(_record()).alias("records"), F.array().cast("array<string>").alias("conflicting_fields"), "authority", F.col("observed_at").alias("last_seen_at"),
         F.lit(None).cast("string").alias("archive_reason"), F.lit(1).cast("bigint").alias("revision"), F.lit(False).alias("verification_stale"), "review",
     )
-    before = held(stored.unionByName(heads), "before")
-    matching = rows.filter("outcome = 'MATCH'")
-    newest, superseded = ingest.newest(matching)
-    newest, superseded = held(newest, "newest"), held(superseded, "superseded")
-    after = held(ingest.merged(before.drop("verification_stale"), newest.drop("observation", "reasons"), FIELDS).withColumnRenamed("verification_stale", "now_stale"), "after")
+    # only events that an observation matches or is held at can change
+    met = rows.filter("outcome <> 'NEW'").select("event_id").distinct().withColumn("met", F.lit(True))
+    before = held(stored.unionByName(heads).join(met, "event_id", "left"), "before")
+    same = before.filter("met is null").withColumn("verification_stale", F.coalesce("verification_stale", F.lit(False)))
+    marked = held(ingest.ranked(rows.filter("outcome = 'MATCH'")), "matching")
+    newest, superseded = marked.filter("first").drop("first"), marked.filter("not first").drop("first")
+    logged = [f for f in FIELDS if f not in ("day", "registration_day")]
+    changing = before.filter("met").drop("met").withColumnRenamed("verification_stale", "was_stale").withColumn("was", F.struct(*logged))
+    after = ingest.merged(changing, newest.drop("observation", "reasons"), FIELDS).withColumnRenamed("verification_stale", "now_stale")
     # URLs and records of what was superseded: a row for each event, platform and URL
     records = superseded.groupBy("event_id", F.col("source").alias("p"), F.col("link").alias("u")).agg(F.max_by(_record(), F.col("observed_at")).alias("record"))
     late = records.groupBy("event_id").agg(F.array_sort(F.collect_list("record")).alias("late"))
     editions = rows.filter("outcome = 'HELD'").filter(F.exists("reasons", lambda r: r.contains("year") | (r == "event_dates_far_apart"))).select("event_id").distinct().withColumn("edition", F.lit(True))
     here = lambda r: F.struct(r["platform"], r["url"])
     more = F.filter("late", lambda r: ~F.exists("records", lambda o: here(o).eqNullSafe(here(r))))
-    was = before.select("event_id", F.col("verification_stale").alias("was_stale"))
-    joined = held(after.join(was, "event_id").join(late, "event_id", "left").join(editions, "event_id", "left"), "merged")
+    joined = held(after.join(late, "event_id", "left").join(editions, "event_id", "left"), "merged")
     events = joined.select(
-        *[c for c in before.columns if c not in ("url_aliases", "records", "conflicting_fields", "verification_stale")],
+        *[c for c in stored.columns if c not in ("url_aliases", "records", "conflicting_fields", "verification_stale")],
         F.when(F.col("late").isNull(), F.col("url_aliases")).otherwise(F.array_sort(F.array_union("url_aliases", F.transform("late", lambda r: r["url"])))).alias("url_aliases"),
         F.when(F.col("late").isNull(), F.col("records")).otherwise(F.concat("records", more)).alias("records"),
         F.when(F.col("edition"), F.array_sort(F.array_union("conflicting_fields", F.array(F.lit("edition_identity"))))).otherwise(F.col("conflicting_fields")).alias("conflicting_fields"),
         (F.coalesce("was_stale", F.lit(False)) | F.coalesce("now_stale", F.lit(False))).alias("verification_stale"),
-    ).select(*before.columns)
+    ).unionByName(same.drop("met")).select(*stored.columns)
 
-    changes = ingest.ledger_rows(before, events, [f for f in FIELDS if f not in ("day", "registration_day")])
-    ignored = joined.select("event_id", "ignored")
     none = F.lit(None).cast("map<string,struct<before:string,after:string>>")
     entry = lambda df, why, changed=none: df.select("observation", "event_id", "observed_at", "outcome", "reasons", why.alias("ignored_reason"), changed.alias("changes"))
     nothing = F.lit(None).cast("string")
-    merged_rows = newest.join(ignored, "event_id").join(changes, "event_id", "left")
-    log = entry(merged_rows, F.col("ignored"), F.col("changes"))
+    merged_rows = newest.join(joined.select("event_id", "ignored", ingest.changes(logged, "was.", "").alias("changes")), "event_id")
+    log = entry(merged_rows, F.col("ignored"), F.when(F.size("changes") > 0, F.col("changes")))
     log = log.unionByName(entry(superseded, F.lit("superseded")))
     log = log.unionByName(entry(rows.filter("outcome = 'NEW'"), nothing))
     held_rows = ingest.held(rows.filter("outcome = 'HELD'").withColumn("outcome", F.lit("REVIEW")))

@@ -5,6 +5,8 @@ import threading
 
 import pytest
 
+from gazette import session
+from gazette.operators import coalesce, identity
 from gazette.operators import ingest_batch as ib
 from gazette.sources import generations
 
@@ -63,6 +65,28 @@ def test_new_events_of_one_batch_that_collide(take):
     assert len(events) == 1 and sorted(r["outcome"] for r in log) == ["NEW", "REVIEW"]
 
 
+def test_a_batch_works_on_what_it_can_change(take, spark, monkeypatch):
+    tables = []
+
+    def counted(df, name):
+        out = session.held(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    for module in (ib, identity, coalesce):
+        monkeypatch.setattr(module, "held", counted)
+    first = [seen(k, link=f"https://h.example/{k}", title=f"Winter Chess {w}", organizer=f"Club {w}") for k, w in enumerate(("Porto", "Faro", "Braga"))]
+    take(*first)
+    assert not {"incoming", "stored", "compared"} & {name for name, _ in tables}  # an empty store has nothing to be held against
+    tables.clear()
+    assert take(*first)[0] is None and tables == [("fresh", 0), ("log", 0)]
+    second = [seen(9, link="https://h.example/1", title="Winter Chess Faro", organizer="Club Faro", prize="Q"), seen(9, link="https://h.example/d", title="Autumn Go Evora", organizer="Guild")]
+    _, events, _ = take(*second)
+    rows = dict(tables)
+    assert rows["merged"] == 1 and rows["inexact"] == 1 and rows["before"] == 4  # one is merged, one has no exact key in common
+    assert len(events) == 4 and events["https://h.example/1"]["prize"] == "Q" and events["https://h.example/0"]["revision"] == 1
+
+
 def test_odd_observations(take):
     made, events, log = take(seen(title=None), seen(link="http://localhost/x"), seen(link=None), seen(organizer=None, day=None, format=None, link="https://h.example/z", prize=None), tuple([None] * len(NAMES)))
     assert set(events) == {"https://h.example/z"} and sorted(r["outcome"] for r in log) == ["NEW", "REJECTED", "REJECTED", "REJECTED", "REJECTED"]
