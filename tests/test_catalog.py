@@ -2,6 +2,7 @@ import datetime as dt
 import os
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,16 @@ def test_unknown_texts(spark):
     assert [x for x, in got] == ["a b", None, None, None, None]
 
 
+def test_plain_texts_of_odd_documents_equal_their_sql(spark, tmp_path):
+    texts = ["tba", " N/A ", "-", "", None, "\u00a0 a\t\u3000b \u2003", "\u3000", "\u2003" * 3 + "é" * 600, "x \u0085", "x \u2028 ", "<a href=\"b\">'c' & d</a>"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = {tuple(r) for r in queries.plain_text_clean(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    assert got == set(con.execute(queries.ORACLES["plain_text_clean"]).fetchall())
+    assert {(0, "tba"), (3, ""), (5, "a \u3000b"), (6, "")} <= {(k, x) for k, x, _ in got}
+
+
 def test_query_options_are_checked():
     for bad in ({"page": 0}, {"limit": 101}, {"deadline_days": 31}, {"sort": "x"}, {"search": "a" * 101}):
         with pytest.raises(ValueError):
