@@ -148,3 +148,33 @@ def test_scans_that_show_no_title_do_not_read_the_lines(spark):
     assert "lineitem" not in " ".join(shown.inputFiles())  # before: aggregated and joined for titles that nobody reads
     assert "lineitem" in " ".join(views.listings(spark, "/root/testdata/sf0.001").inputFiles())
     assert "closes" not in shown._jdf.queryExecution().optimizedPlan().toString()  # nor work out dates for a hold
+
+
+def test_fan_out_reads_whole_jobs_once_and_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(outbox, "SHARE_JOBS", 400)
+    subs = spark.createDataFrame([(k, ("all", "x")[k % 2], True) for k in range(120)], "subscriber int, preference string, active boolean")
+    intents = spark.createDataFrame([(k, ("x", "y")[k % 2]) for k in range(90)], "intent long, kind string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(k):
+        seen.add(1)
+        return k
+
+    every = outbox.fan_out(intents, subs).localCheckpoint()
+    made = every.filter("intent < 60").withColumn("subscriber", F.udf(read, "long")("subscriber"))
+    rest = outbox.fan_out(intents, subs, made).select("intent", "subscriber")
+    assert {tuple(r) for r in rest.collect()} == {(r["intent"], r["subscriber"]) for r in every.collect() if r["intent"] >= 60}
+    assert seen.value == every.filter("intent < 60").count()  # before: each was read again and shuffled to meet its pair
+
+
+def test_fan_out_repairs_jobs_that_only_look_whole(spark):
+    subs = spark.createDataFrame([(k, "all", True) for k in range(6)] + [(7, "all", False), (None, "all", True)], "subscriber int, preference string, active boolean")
+    intents = spark.createDataFrame([(k, "x") for k in range(5)] + [(None, "x")], "intent int, kind string")
+    jobs = [(0, k) for k in (0, 1, 2, 3, 4, 4, None)]  # one twice, one missing
+    jobs += [(1, k) for k in (0, 1, 2, 3, 4, 7, None)]  # one for a subscriber who has left, one missing
+    jobs += [(2, k) for k in (0, 1, 2, 3, 4, 5, None)] + [(None, k) for k in (0, 1, 2, 3, 4, 5, None)]  # whole
+    jobs += [(3, k) for k in (0, 1, 2, 3, 4, 5, 7, None)]  # whole and one more
+    for kind in ("int", "long", "string"):
+        made = spark.createDataFrame(jobs, "intent long, subscriber long").selectExpr("'' AS job", f"cast(intent AS {kind}) AS intent", f"cast(subscriber AS {kind}) AS subscriber")
+        got = [(r["intent"], r["subscriber"]) for r in outbox.fan_out(intents, subs, made).collect()]
+        assert sorted(got, key=str) == sorted([(0, 5), (1, 5)] + [(4, k) for k in (0, 1, 2, 3, 4, 5, None)], key=str)
