@@ -211,3 +211,32 @@ def test_folding_needs_no_shuffle(spark, monkeypatch):
     got = unicode.folded(rows, ["a"])
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # before: a distinct and a join
     assert dict(got.collect()) == {1: "hack", 2: "plain", 3: None, 4: "hack"}
+
+
+def test_only_listings_that_may_match_are_paired(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name):
+        made[name] = df.localCheckpoint().count()
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(coalesce, "held", counted)
+    day = dt.date(2027, 1, 1)
+    kinds = ("Relay lot{g}", "Relay lot{g}", "Relay lot{g} 2031", "Zebra talk {g}", "Relay lot{g}")  # 2 has another year, 3 another number
+    rows = [(f"k{g:02d}{k}", title.format(g=g + 100 * (k == 3)), f"Org lot{g}", day, None, "online", None, [f"https://h.example/{g}/{k}"], []) for g in range(20) for k, title in enumerate(kinds)]
+    found = {r["id"]: r["head"] for r in coalesce.groups(spark.createDataFrame(rows, LISTING)).collect()}
+    assert found == {f"k{g:02d}{k}": f"k{g:02d}{0 if k in (1, 4) else k}" for g in range(20) for k in range(5)}
+    assert made["coalesce-pairs"] == 20 * (1 + 4)  # before: 20 * 10, of all
+    assert "coalesce-met" not in made  # before: the blocks of all tiers of all listings
+
+
+def test_crowded_windows_abstain(spark, monkeypatch):
+    for module in (coalesce, identity):
+        monkeypatch.setattr(module, "CANDIDATE_CAP", 3)
+    at = lambda buckets: dt.date(2027, 1, 4) + dt.timedelta(days=14 * buckets)
+    listing = lambda k, title, buckets: (k, title, "Org lot", at(buckets), None, "online", None, [], [])
+    rows = [listing(f"a{k}", "Relay lot", 0) for k in range(5)]  # a window of five
+    rows += [listing("b0", "Fair hall", 2), listing("b1", "Fair hall", 2)]  # one of their windows is that with the five beside it
+    rows += [listing("c0", "Jam den", 4), listing("c1", "Jam den", 4), listing("d0", "Jam den", 12), listing("d1", "Jam den", 12)]
+    got = {r["id"]: r["head"] for r in coalesce.groups(spark.createDataFrame(rows, LISTING)).collect()}
+    assert got == {**{r[0]: r[0] for r in rows}, "c1": "c0", "d1": "d0"}
